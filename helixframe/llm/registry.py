@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, token_counts
+from . import prefix_bpe, quality, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
+    "op7_byte_bpe": prefix_bpe.op7_byte_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLES = {"op9_quality_rules": quality.OP9_SQL}

@@ -21,40 +21,60 @@ import re
 from collections.abc import Callable
 
 #: Distinct segments kept by one Python worker; beyond it the cache starts anew (memory bound).
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 400_000
 #: Longer segments are encoded but not kept.
 CACHE_SEGMENT_CHARS = 200
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
-class SegmentCache:
-    """ids of texts from ids of segments.  encode(list of segments) returns a list of values."""
+class _Touching(Exception):
+    """White space touches a space: the quick cut is not safe for this text."""
 
-    def __init__(self, encode: Callable[[list[str]], list]) -> None:
-        self._encode, self._known = encode, {}
 
-    def parts(self, text: str) -> list[str]:
-        """Segments whose concatenation is the text, at safe cuts."""
+class SpacedSegments(dict):
+    """word -> encoded bytes of " " + word, filled on demand."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Touching
+        value = self._encode(" " + word)
+        if len(word) <= CACHE_SEGMENT_CHARS:
+            if len(self) >= CACHE_SEGMENTS:
+                self.clear()
+            self[word] = value
+        return value
+
+    def of(self, text: str) -> bytes:
+        """Encoded bytes of the whole text."""
         head, *rest = text.split(" ")
-        # '' or white space at either end of a part: white space touches a space somewhere
-        if rest and (head[-1:].isspace() or not head or any(not x or x[0].isspace() or x[-1].isspace() for x in set(rest))):
-            return _CUT.split(text)
-        return [head, *(" " + x for x in rest)]
+        try:
+            if rest and head[-1:].isspace():
+                raise _Touching
+            return (self._encode(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+        except _Touching:
+            return b"".join(map(self._encode, _CUT.split(text)))
 
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its segments, in order."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        return self.of_parts(cut)
+
+class BatchedSegments:
+    """Values of lists of segments; the distinct new ones of a step are encoded in one call."""
+
+    def __init__(self, encode: Callable[[list[str]], list]) -> None:
+        self._encode, self._known = encode, {}
 
     def of_parts(self, cut: list[list[str]]) -> list[list]:
         known = self._known
-        missing = list(set().union(*cut).difference(known)) if cut else []
+        present = set().union(*cut)
+        missing = list(present.difference(known))
         local: dict = {}
         if missing:
             if len(known) + len(missing) > CACHE_SEGMENTS:
                 # the segments of this step stay at hand; the rest is forgotten
-                local = {k: known[k] for k in set().union(*cut) if k in known}
+                local = {k: known[k] for k in present if k in known}
                 known.clear()
             for k, v in zip(missing, self._encode(missing), strict=True):
                 (known if len(k) <= CACHE_SEGMENT_CHARS and len(known) < CACHE_SEGMENTS else local)[k] = v

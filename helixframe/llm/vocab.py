@@ -11,11 +11,12 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 
-from .segments import SegmentCache
+from .segments import BatchedSegments, SpacedSegments
 
 _LOADED: dict = {}
 
@@ -54,7 +55,7 @@ class PieceEncoder:
         probe = "a  b ａ "
         self._safe = not any(re.search("[^▁]▁", p) for p in pieces) and self._sp.decode(self._sp.encode(probe)) == probe
         self._space = self._sp.piece_to_id("▁")
-        self._cache = SegmentCache(self._encode)
+        self._lengths = BatchedSegments(lambda parts: list(map(len, self._encode(parts))))
 
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [ids if part else [self._space] for part, ids in zip(parts, self._sp.encode(parts, num_threads=1), strict=True)]
@@ -65,8 +66,6 @@ class PieceEncoder:
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of ids of each text."""
-        if not hasattr(self, "_lengths"):
-            self._lengths = SegmentCache(lambda parts: list(map(len, self._encode(parts))))
         cut = [self._cut(t) if t and self._safe and "▁" not in t else [] for t in texts]
         sums = [sum(v) for v in self._lengths.of_parts(cut)]
         return [n if c or not t else len(self._sp.encode(t, num_threads=1)) for t, c, n in zip(texts, cut, sums, strict=True)]
@@ -106,21 +105,20 @@ class ByteLevelEncoder:
             import tiktoken
 
             self._ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self._cache = SegmentCache(self._encode)
+            self._segments = SpacedSegments(self._encode)
         else:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(path)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        one = self._ranked.encode
-        return [np.array(one(p, allowed_special="all"), dtype="<u4").tobytes() for p in parts]
+    def _encode(self, part: str) -> bytes:
+        return array("I", self._ranked.encode(part, allowed_special="all")).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self._library is not None:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch(texts, add_special_tokens=False)]
-        return list(map(b"".join, self._cache.values(texts)))
+        return list(map(self._segments.of, texts))
 
 
 def encoder(path: str):
