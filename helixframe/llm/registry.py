@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import prefix_bpe, quality, token_counts
+from . import packing, prefix_bpe, quality, token_counts
 
 QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op7_byte_bpe": prefix_bpe.op7_byte_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {"op9_quality_rules": quality.OP9_SQL}
