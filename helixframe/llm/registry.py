@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, prefix_bpe, quality, token_counts
+from . import ngram_join, packing, prefix_bpe, quality, token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_token_counts": token_counts.op3_token_counts,
     "op7_byte_bpe": prefix_bpe.op7_byte_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
