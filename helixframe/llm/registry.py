@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, prefix_bpe, quality, token_counts
+from . import ngram_join, packing, prefix_bpe, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_token_counts": token_counts.op3_token_counts,
     "op7_byte_bpe": prefix_bpe.op7_byte_bpe,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLES = {"op9_quality_rules": quality.OP9_SQL}
+ORACLES = {"op8_substring_dedup": substring_dedup.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
