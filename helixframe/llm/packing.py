@@ -25,6 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common, vocab
 
@@ -206,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str =
 
         return place(with_rank())
 
-    return ranked.mapInArrow(run, cut.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, StructType(list(cut.schema.fields)).add("sequence_id", "long").add("offset", "long"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
