@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, fuzzy_hash, language_id, ngram_join, packing, prefix_bpe, quality, substring_dedup, token_counts
+from . import class_lm, fuzzy_hash, language_id, ngram_join, packing, prefix_bpe, quality, substring_dedup, token_counts, training_order
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_language_id": language_id.op4_language_id,
     "op5_class_lm": class_lm.op5_class_lm,
+    "op6_training_order": training_order.op6_training_order,
     "op7_byte_bpe": prefix_bpe.op7_byte_bpe,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
