@@ -197,7 +197,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["row", "doc_id", "start", "n"])
 
 
-def _cut(span: int):
+def _cut(span: int, as_is: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, removed, kept = [], [], []
@@ -218,22 +218,31 @@ def _cut(span: int):
                     gone = len(words) - len(stay)
                     words = [words[j] for j in stay]
                 removed.append(gone)
-                kept.append(b" ".join(words))
+                kept.append((text or "").encode() if as_is and not gone else b" ".join(words))
+            carried = [(c, b.column(c)) for c in b.schema.names if c == "carried"]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["row", "doc_id", "n_words", "n_removed", "kept"],
+                [b.column("row"), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(x for _, x in carried)],
+                ["row", "doc_id", "n_words", "n_removed", "kept", *(c for c, _ in carried)],
             )
 
     return run
 
 
+def row_key_of(id_col: str, text_col: str):
+    """row_key over the columns of the caller's table."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """Key of a row: equal for repeated rows only, but for chance."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, n_removed, kept): kept are the words that stay, joined by one space."""
+def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """(row, doc_id, n_words, n_removed, kept): kept are the words that stay, joined by one space.
+
+    carry: further columns of docs to return, in a struct ``carried``; rows that repeat a doc_id and
+    text get those of one of them.  as_is: texts that lose nothing keep their own white space."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # one exchange of the texts by row serves both joins below
     keyed = named.filter("doc_id IS NOT NULL").withColumn("row", row_key())
@@ -245,9 +254,13 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     covered = ordered.mapInArrow(_group, "row long, doc_id long, start int, n int")
     covers = covered.groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "n")).alias("covers"))
     out = "row long, doc_id long, n_words long, n_removed long, kept string"
-    whole = keyed.join(covers, "row", "left").select("row", "doc_id", "text", "covers").mapInArrow(_cut(span), out)
     lone = named.filter("doc_id IS NULL").withColumn("row", row_key()).withColumn("covers", F.lit(None).cast("array<struct<doc_id:bigint,start:int,n:int>>"))
-    return whole.unionByName(lone.select("row", "doc_id", "text", "covers").mapInArrow(_cut(span), out))
+    found, columns = keyed.join(covers, "row", "left"), ["row", "doc_id", "text", "covers"]
+    if carry:
+        extra = docs.select(row_key_of(id_col, text_col).alias("row"), F.struct(*carry).alias("carried")).dropDuplicates(["row"])
+        found, lone, columns = found.join(extra, "row", "left"), lone.join(extra, "row", "left"), [*columns, "carried"]
+        out += f", carried {extra.schema['carried'].dataType.simpleString()}"
+    return found.select(*columns).unionByName(lone.select(*columns)).mapInArrow(_cut(span, as_is), out)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,8 +273,8 @@ WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\
 s AS (SELECT doc_id, unnest(range(1, greatest(len(w) - {SPAN - 2}, 1))) AS i, w FROM d),
 h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(w, i, i + {SPAN - 1}), ' ') ORDER BY doc_id, i) AS k FROM s),
 c AS (SELECT DISTINCT doc_id, i + j AS p FROM h, (SELECT unnest(range(0, {SPAN})) AS j) WHERE k > 1),
-g AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+g AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM p ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
