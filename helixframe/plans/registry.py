@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import alignment_queries, sequence_queries
+
+QUERIES: dict = alignment_queries.QUERIES | sequence_queries.QUERIES
+ORACLES: dict[str, str] = alignment_queries.ORACLES | sequence_queries.ORACLES
