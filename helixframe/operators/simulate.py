@@ -106,7 +106,17 @@ def simulate(contigs: DataFrame, n: int, prefix: str, keyword: str, model: Model
     w = Window.orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_s").over(Window.partitionBy())
     upto = F.round(F.sum("_s").over(w) / total * n).cast("long")
-    shares = sizes.withColumn("_to", upto).withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("_id")), F.lit(0).cast("long"))).filter("_to > _from")
-    work = shares.select("_id", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(CHUNK).cast("long"))).alias("first"), "_to")
-    tasks = work.join(keyed, "_id").select("contig", "seq", "first", F.least(F.lit(CHUNK), F.col("_to") - F.col("first")).alias("reads"))
-    return tasks.repartition("contig", "first").mapInPandas(_generate(model or Model(), prefix, keyword, substitution, indel, seed), READ_SCHEMA)
+    shares = sizes.withColumn("_to", upto).withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("_id")), F.lit(0).cast("long")))
+    return _run(keyed.join(shares.select("_id", "_from", "_to"), "_id"), model, prefix, keyword, substitution, indel, seed)
+
+
+def generate(tasks: DataFrame, prefix: str, keyword: str, model: Model | None = None, substitution: float = 0.0, indel: float = 0.0, seed: int = 0) -> DataFrame:
+    """Read pairs from tasks (contig, seq, reads): as many of each contig as it says."""
+    return _run(tasks.withColumns({"_from": F.lit(0).cast("long"), "_to": F.col("reads").cast("long")}), model, prefix, keyword, substitution, indel, seed)
+
+
+def _run(tasks: DataFrame, model: Model | None, prefix: str, keyword: str, substitution: float, indel: float, seed: int) -> DataFrame:
+    some = tasks.filter("_to > _from")
+    work = some.select("contig", "seq", "_to", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(CHUNK).cast("long"))).alias("first"))
+    chunks = work.select("contig", "seq", "first", F.least(F.lit(CHUNK), F.col("_to") - F.col("first")).alias("reads"))
+    return chunks.repartition("contig", "first").mapInPandas(_generate(model or Model(), prefix, keyword, substitution, indel, seed), READ_SCHEMA)
