@@ -17,12 +17,17 @@ def reverse_complement(seq) -> Column:
     return F.reverse(F.translate(_c(seq), "ACGTacgt", "TGCAtgca"))
 
 
+#: Windows are cut out of blocks of so many bases: finding a place in a text costs its distance.
+KMER_BLOCK = 256
+
+
 def kmers(seq, k: int) -> Column:
     """All windows of length k in order; none if the sequence is shorter."""
     if k < 1:
         raise ValueError("k must be at least 1")
     s = _c(seq)
-    windows = F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - k) / KMER_BLOCK).cast("int")), lambda i: F.substr(s, i * KMER_BLOCK + 1, F.lit(KMER_BLOCK + k - 1)))
+    windows = F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - k + 1), lambda i: F.substr(b, i, F.lit(k)))))
     return F.when(F.length(s) >= k, windows).otherwise(F.array().cast("array<string>"))
 
 

@@ -47,10 +47,10 @@ FLAG_DECODE = _sql("SELECT " + ", ".join(f"(flag & {b}) <> 0 AS {n}" for n, b in
 
 
 def tag_extract(spark, sf):
-    return _aln(spark, sf).select("qname", "ord", A.tag_int("tags", "NM").alias("nm"), A.tag_int("tags", "AS").alias("as_score"), A.tag("tags", "XZ").alias("xz"), A.tag("tags", "XX").alias("xx"), A.tag_float("tags", "NM").alias("nm_float"))
+    return _aln(spark, sf).select("qname", "ord", A.tag_int("tags", "NM").cast("double").alias("nm"), A.tag_int("tags", "AS").cast("double").alias("as_score"), A.tag("tags", "XZ").alias("xz"), A.tag("tags", "XX").alias("xx"), A.tag_float("tags", "NM").cast("double").alias("nm_float"))
 
 
-TAG_EXTRACT = _sql("SELECT qname, ord, nm, as_score, nullif(regexp_extract(tags, 'XZ:Z:([^ ]*)', 1), '') AS xz, CAST(NULL AS VARCHAR) AS xx, CAST(nm AS FLOAT) AS nm_float FROM x")
+TAG_EXTRACT = _sql("SELECT qname, ord, CAST(nm AS DOUBLE) AS nm, CAST(as_score AS DOUBLE) AS as_score, nullif(regexp_extract(tags, 'XZ:Z:([^ ]*)', 1), '') AS xz, CAST(NULL AS VARCHAR) AS xx, CAST(nm AS DOUBLE) AS nm_float FROM x")
 
 
 def qname_tokens(spark, sf):
@@ -63,24 +63,24 @@ QNAME_TOKENS = _sql("SELECT rname AS keyword, 'acc' || mapq AS accession, count(
 
 
 def cigar_summary(spark, sf):
-    return _aln(spark, sf).select("qname", "ord", A.align_length("cigar").alias("al"), A.indels("cigar").alias("indels"), A.soft_clips("cigar").alias("soft"), A.read_length("cigar").alias("rl"))
+    return _aln(spark, sf).select("qname", "ord", *[f("cigar").cast("double").alias(n) for n, f in (("al", A.align_length), ("indels", A.indels), ("soft", A.soft_clips), ("rl", A.read_length))])
 
 
-CIGAR_SUMMARY = _sql("SELECT qname, ord, al, indels, soft, rl FROM x")
+CIGAR_SUMMARY = _sql("SELECT qname, ord, CAST(al AS DOUBLE) AS al, CAST(indels AS DOUBLE) AS indels, CAST(soft AS DOUBLE) AS soft, CAST(rl AS DOUBLE) AS rl FROM x")
 
 
 def ref_span(spark, sf):
-    return _aln(spark, sf).select("qname", "ord", A.reference_span("cigar").alias("span"))
+    return _aln(spark, sf).select("qname", "ord", A.reference_span("cigar").cast("double").alias("span"))
 
 
-REF_SPAN = _sql("SELECT qname, ord, span FROM x")
+REF_SPAN = _sql("SELECT qname, ord, CAST(span AS DOUBLE) AS span FROM x")
 
 
 def align_metrics(spark, sf):
-    return al.with_metrics(_aln(spark, sf)).select("qname", "ord", "al", "ap", "pi", "sl")
+    return al.with_metrics(_aln(spark, sf)).select("qname", "ord", *[F.col(c).cast("double").alias(c) for c in ("al", "ap", "pi", "sl")])
 
 
-ALIGN_METRICS = _sql("SELECT qname, ord, al, ap, pi, sl FROM m")
+ALIGN_METRICS = _sql("SELECT qname, ord, CAST(al AS DOUBLE) AS al, CAST(ap AS DOUBLE) AS ap, CAST(pi AS DOUBLE) AS pi, CAST(sl AS DOUBLE) AS sl FROM m")
 
 
 def filter_lowpass(spark, sf):
@@ -142,13 +142,13 @@ ORPHANS = _sql(_EVENTS.format(where="is_primary") + "SELECT qname, ord, mate FRO
 
 def name_run_pairs(spark, sf):
     d = al.name_runs(_aln(spark, sf))
-    return d.select("qname", *[F.col(f"{r}.{c}").alias(f"{r}_{c}") for r in ("r1", "r2") for c in ("ord", "pos", "cigar")])
+    return d.select("qname", *[(F.col(f"{r}.{c}") if c == "cigar" else F.col(f"{r}.{c}").cast("double")).alias(f"{r}_{c}") for r in ("r1", "r2") for c in ("ord", "pos", "cigar")])
 
 
 _RUNS = """, p AS (SELECT * FROM x WHERE is_primary AND proper),
 n AS (SELECT qname, max(ord) FILTER (read1) AS o1, max(ord) FILTER ((flag & 128) <> 0) AS o2 FROM p GROUP BY qname)
 """
-NAME_RUN_PAIRS = _sql(_RUNS + """SELECT n.qname, o1 AS r1_ord, a.pos AS r1_pos, a.cigar AS r1_cigar, o2 AS r2_ord, b.pos AS r2_pos, b.cigar AS r2_cigar
+NAME_RUN_PAIRS = _sql(_RUNS + """SELECT n.qname, CAST(o1 AS DOUBLE) AS r1_ord, CAST(a.pos AS DOUBLE) AS r1_pos, a.cigar AS r1_cigar, CAST(o2 AS DOUBLE) AS r2_ord, CAST(b.pos AS DOUBLE) AS r2_pos, b.cigar AS r2_cigar
 FROM n LEFT JOIN p AS a ON a.qname = n.qname AND a.ord = o1 LEFT JOIN p AS b ON b.qname = n.qname AND b.ord = o2""")
 
 
