@@ -261,7 +261,7 @@ SELECT (SELECT count(*) FROM aln) AS alignments_seen, (SELECT count(*) FROM k WH
   (SELECT count(DISTINCT rname) FROM h WHERE is_primary) AS refs_primary, (SELECT count(DISTINCT rname) FROM h WHERE NOT is_primary) AS refs_secondary""", "refs")
 
 # classification of pairs: the first read's reference decides, every third reference has no class
-_CLASS = F.when(F.substring("rname", 4, 9).cast("long") % 3 != 0, F.concat(F.lit("c"), (F.substring("rname", 4, 9).cast("long") % 2).cast("string")))
+_CLASS = "CASE WHEN CAST(substring(rname, 4) AS BIGINT) % 3 <> 0 THEN concat('c', CAST(CAST(substring(rname, 4) AS BIGINT) % 2 AS STRING)) END"
 POOL_BINS = {"mapq": H.Bins(0, 60, 1), "align_length": H.Bins(0, 150, 1), "percent_identity": H.Bins(0, 100, 1)}
 
 
@@ -270,7 +270,7 @@ def _classified(spark, sf):
     runs = al.name_runs(d).filter("r1 IS NOT NULL AND r2 IS NOT NULL")
     number = F.substring("qname", 2, 18).cast("long")
     truth = F.when(number % 4 == 0, "Negative").when(number % 4 == 1, "c0").otherwise("c1")
-    classes = d.select("rname", _CLASS.alias("class")).filter("class IS NOT NULL").distinct()
+    classes = d.select("rname", F.expr(_CLASS).alias("class")).filter("class IS NOT NULL").distinct()
     joined = runs.withColumn("truth", truth).join(classes, F.col("r1.rname") == F.col("rname"), "left")
     pool = (
         F.when((F.col("r1.pos") == 0) & (F.lower("truth") == "negative"), "unmapped_tn").when(F.col("r1.pos") == 0, "unmapped_fn")
