@@ -4,9 +4,10 @@
    (copies are never compared with each other).
 2. Blocking without loss: sets of nearly equal size whose Jaccard similarity reaches the threshold
    differ in at most H shingles, so of P > H parts of the hash space some part is equal in both.
-   Each class emits one signature per part; classes that share a signature fall into one block
-   (connected components of the signatures' stars).  Map tasks fold equal signatures into stars
-   before the shuffle, so a group that a third of all rows share costs a row per task.
+   Each class emits one signature per part.  Classes that share a signature are candidates; a parity
+   bitmap of each set bounds the number of shingles in which two sets differ from below, and
+   candidates that this bound allows fall into one block (connected components).  So documents that
+   share a passage but are not alike stay apart.
 3. In each block an inverted index from shingle to documents answers a T-occurrence search for each
    document: the L longest lists are set aside, the short ones heap-merged with skips for documents
    of at least T - L occurrences, those binary-probed in the long lists, and kept if the exact
@@ -47,8 +48,8 @@ from .components import components
 _U = np.uint64
 #: Shingles of a block that one task indexes (8 bytes each, and about twice that for the index).
 MAX_BLOCK = 4_000_000
-#: Signature rows that a map task gathers before it folds and emits them.
-FOLD_ROWS = 3_000_000
+#: Signature rows that a map task gathers before it emits them.
+EMIT_ROWS = 500_000
 #: Weight of a probe against a heap step in the choice of L.
 MU = 0.0085
 
@@ -238,38 +239,102 @@ def _digests(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(raw[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def parities(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """For each set a bitmap of at least as many bits as shingles (a power of two, 64 at least): bit i
+    is the parity of the number of hashes that are i modulo the size.  Bitmaps of two sets differ in
+    at most as many bits as the sets differ in shingles."""
+    sizes = np.diff(bounds)
+    bits = np.where(sizes > 64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 64)
+    first = np.cumsum(np.where(sizes > 0, bits, 0)) - np.where(sizes > 0, bits, 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = first[owner] + (shingles & (bits[owner] - 1).astype(_U)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(first[-1] + bits[-1]) if len(sizes) else 0) & 1
+    raw = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [raw[a // 8 : (a + b) // 8] if n else None for a, b, n in zip(first.tolist(), bits.tolist(), sizes.tolist(), strict=True)]
+
+
+def near_clusters(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> list[int]:
+    """For each set the first of its cluster: sets whose bitmaps allow a link are in one cluster.
+
+    As in a block, leaders take followers first; then all outside the largest cluster are held
+    against all, so that no pair that may be linked is parted."""
+    least = min(map(len, bitmaps))
+    maps = np.empty((len(bitmaps), least // 8), np.uint64)
+    for i, b in enumerate(bitmaps):
+        x = np.frombuffer(b, np.uint64)
+        while len(x) * 8 > least:  # bit i modulo half the size: fold the halves
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        maps[i] = x
+
+    def allowed(i: int, others: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(maps[others] ^ maps[i]).sum(1, dtype=np.int64)
+        a, b = sizes[i], sizes[others]
+        return (differ <= (a + b) * (100 - percent) // (100 + percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+    n = len(sizes)
+    root, left = np.arange(n), np.arange(n)
+    while len(left):
+        head, left = left[0], left[1:]
+        near = allowed(head, left)
+        root[left[near]] = head
+        left = left[~near]
+    labels, members = np.unique(root, return_counts=True)
+    if len(labels) > 1 and n > 2:
+        for i in np.flatnonzero(root != labels[members.argmax()]).tolist():
+            met = np.unique(root[np.flatnonzero(allowed(i, np.arange(n)))])
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+    return root.tolist()
+
+
+def _cluster(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, classes, sizes, maps, edges = None, [], [], [], set()
+
+        def done() -> None:
+            if len(classes) > 1 and not (len(classes) == 2 and (classes[1], classes[0]) in edges):
+                for c, r in zip(classes, near_clusters(np.array(sizes), maps, percent), strict=True):
+                    if c != classes[r]:
+                        edges.add((c, classes[r]))
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for s, c, n, m in zip(*(b.column(x).to_pylist() for x in ("signature", "class_id", "n", "parity")), strict=True):
+                if s != key:
+                    done()
+                    key, classes, sizes, maps = s, [], [], []
+                classes.append(c)
+                sizes.append(n)
+                maps.append(m)
+            if len(edges) > 100_000:
+                yield out()
+                edges.clear()
+        done()
+        yield out()
+
+    return run
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.text_batches(batches):
             shingles, bounds = shingle_sets(data, offsets, k)
             digests = _digests(shingles, bounds)
+            parity = pa.array(parities(shingles, bounds), pa.binary())
             blocking = pa.array([int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), blocking], ["doc_id", "n_shingles", "digest", "class_id"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), blocking, parity], ["doc_id", "n_shingles", "digest", "class_id", "parity"])
 
     return run
 
 
-def fold(signatures: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal signatures of one task become a star: the least class keeps the signature, every other
-    class shares one with that class that no further class has."""
-    order = np.lexsort((classes, signatures))
-    s, c = signatures[order], classes[order]
-    head = np.concatenate(([True], s[1:] != s[:-1]))
-    centre = c[np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))]
-    spoke = c != centre
-    if not spoke.any():
-        return s[head], c[head]
-    pairs = np.unique(np.stack([c[spoke], centre[spoke]], 1), axis=0)
-    own = common.mix64(pairs[:, 0].astype(_U) * _U(0x9E3779B97F4A7C15) ^ common.mix64(pairs[:, 1].astype(_U)))
-    return np.concatenate([s[head], own, own]), np.concatenate([c[head], pairs[:, 0], pairs[:, 1]])
-
-
 def _sign(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocking, seen, held, rows_held = Blocking(percent), set(), [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            s, c = fold(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            s, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             for at in range(0, len(s), 100_000):
                 yield pa.RecordBatch.from_arrays([_signed(s[at : at + 100_000]), pa.array(c[at : at + 100_000])], ["signature", "class_id"])
 
@@ -290,7 +355,7 @@ def _sign(k: int, percent: int):
             s, d = blocking.signatures(shingles, bounds)
             held.append((s, classes[d]))
             rows_held += len(s)
-            if rows_held >= FOLD_ROWS:
+            if rows_held >= EMIT_ROWS:
                 yield from emit()
                 held, rows_held = [], 0
         if held:
@@ -345,13 +410,16 @@ def _link(percent: int):
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that links lead to."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = common.staged(named.mapInArrow(_describe(k), "doc_id long, n_shingles long, digest binary, class_id long"), "shingled")
+    described = common.staged(named.mapInArrow(_describe(k), "doc_id long, n_shingles long, digest binary, class_id long, parity binary"), "shingled")
     linkable = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("class_id").alias("class_id"))
+    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("class_id").alias("class_id"), F.first("parity").alias("parity"))
 
     signed = named.filter("doc_id IS NOT NULL").select("text").mapInArrow(_sign(k, percent), "signature long, class_id long")
-    star = signed.withColumn("centre", F.min("class_id").over(Window.partitionBy("signature"))).filter("class_id <> centre")
-    blocks = components(star.select(F.col("class_id").alias("a"), F.col("centre").alias("b")))
+    shared = signed.withColumn("_n", F.count("*").over(Window.partitionBy("signature"))).filter("_n > 1").select("signature", "class_id")
+    known = classes.select("class_id", "n", "parity")
+    mapped = shared.join(known.hint("merge"), "class_id").select("signature", "class_id", "n", "parity")
+    near = mapped.repartition("signature").sortWithinPartitions("signature", "class_id").mapInArrow(_cluster(percent), "a long, b long")
+    blocks = components(near)
 
     member = classes.join(blocks, classes["class_id"] == blocks["node"]).select("first_doc", "digest", "n", F.col("component").alias("block"))
     weight = F.sum("n").over(Window.partitionBy("block"))
@@ -361,7 +429,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     pairs = F.expr("CASE WHEN slices = 1 THEN array(-1L) ELSE transform(filter(sequence(0, slices - 1), j -> j <> own), j -> least(own, j) * 1000000L + greatest(own, j)) END")
     member = common.staged(member.select("first_doc", "digest", "block", pairs.alias("parts")), "members")
 
-    placed = named.join(member, named["doc_id"] == member["first_doc"]).select("doc_id", "text", "digest", "block", F.explode("parts").alias("slice"))
+    # always by shuffle: the members grow with the input
+    placed = named.join(member.hint("merge"), named["doc_id"] == member["first_doc"]).select("doc_id", "text", "digest", "block", F.explode("parts").alias("slice"))
     sets = placed.mapInArrow(_reshingle(k), "doc_id long, digest binary, block long, slice long, shingles binary")
     ordered = sets.repartition("block", "slice").sortWithinPartitions("block", "slice", "doc_id")
     links = common.staged(ordered.mapInArrow(_link(percent), "a long, b long"), "links")
