@@ -37,7 +37,7 @@ RULES = (
     ("mean word length at most 15", "word_chars", "<=", 1500, "n_words"),
     ("symbols at most 10 % of words", "n_symbols", "<=", 10, "n_words"),
     ("stop words at least 3 % of words", "n_stop_words", ">=", 3, "n_words"),
-    ("repeated lines at most 30 % of lines", "n_dup_lines", "<=", 30, "n_lines"),
+    ("repeated lines at most half of the lines", "n_dup_lines", "<=", 50, "n_lines"),
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
