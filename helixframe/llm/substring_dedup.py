@@ -243,7 +243,10 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
 
     carry: further columns of docs to return, in a struct ``carried``; rows that repeat a doc_id and
     text get those of one of them.  as_is: texts that lose nothing keep their own white space."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # the id as it is where it can be: a mere alias would make the two exchanges of the texts differ
+    plain = id_col == "doc_id" and docs.schema[id_col].dataType.simpleString() == "bigint"
+    doc_id = F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id")
+    named = docs.select(doc_id, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # one exchange of the texts by row serves both joins below
     keyed = named.filter("doc_id IS NOT NULL").withColumn("row", row_key())
     sketch = keyed.mapInArrow(_sketch(span, gram), "cell long, weight int, row long, place int")
