@@ -256,6 +256,26 @@ def parities(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 def near_clusters(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> list[int]:
     """For each set the first of its cluster: sets whose bitmaps allow a link are in one cluster.
 
+    Sets that can be linked differ by less than twice in size, so their bitmaps have one length or
+    neighbouring ones: each length is clustered with the next, and what meets is joined."""
+    lengths = np.array(list(map(len, bitmaps)))
+    kinds = np.unique(lengths).tolist()
+    if len(kinds) == 1 or kinds == [kinds[0], 2 * kinds[0]]:
+        return _near_level(sizes, bitmaps, percent).tolist()
+    root = np.arange(len(sizes))
+    for kind in kinds:
+        of = np.flatnonzero((lengths == kind) | (lengths == 2 * kind))
+        found = of[_near_level(sizes[of], [bitmaps[i] for i in of.tolist()], percent)]
+        for i, j in zip(of.tolist(), found.tolist(), strict=True):
+            if root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+    return root.tolist()
+
+
+def _near_level(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """near_clusters at the least length of the bitmaps.
+
     As in a block, leaders take followers first; then all outside the largest cluster are held
     against all, so that no pair that may be linked is parted."""
     least = min(map(len, bitmaps))
@@ -284,7 +304,7 @@ def near_clusters(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> list
             met = np.unique(root[np.flatnonzero(allowed(i, np.arange(n)))])
             if len(met) > 1:
                 root[np.isin(root, met)] = met[0]
-    return root.tolist()
+    return root
 
 
 def _cluster(percent: int):
