@@ -6,10 +6,15 @@
    counted into a matrix of fixed size.
 3. Exchange clustering on that matrix: each unit moves to the class that raises the likelihood of
    the class bigrams most, until no unit moves or SWEEPS sweeps are done.
-4. log P(text) = sum of log P(class | previous class) + log P(word | class); transitions are smoothed
-   towards class frequencies, a bucket's words by UNSEEN counts for each word and one unseen one.
-   The counts of the MAP_WORDS most frequent words are shipped as a table of that bound; all others
-   are joined to the count table, one row for each document and word.
+4. Every other training word, of any count, gets a class of its own: a shuffled table holds its counts
+   of following and preceding classes (those of step 3), and it joins the class that makes them most
+   likely, its own counts left out of its bucket's class.  A bucket gives a class only to words that
+   no training document has.
+5. All documents become sequences of final classes: the classes of the MAP_WORDS most frequent words
+   are shipped as a table of that bound, all others are joined, one row for each document and word.
+   The class bigrams of the training documents are counted again on these sequences.
+6. log P(text) = sum of log P(class | previous class) + log P(word | class); transitions are smoothed
+   towards class frequencies, words by UNSEEN counts for each word of a class and one unseen one.
 
 Tokens are the words of the text in lower case (A-Z only) and one end.
 
@@ -35,7 +40,7 @@ from . import common
 FOLDS, ADD = 10, 0.1
 CLUSTER_WORDS, SUFFIX_BUCKETS, MAP_WORDS = 1000, 128, 150_000
 CLASSES, SWEEPS = 48, 6
-PRIOR, UNIT_ADD, UNSEEN = 20.0, 0.1, 0.5
+PRIOR, UNSEEN = 20.0, 0.5
 #: Distinct words that a map task counts before it emits them.
 FLUSH_WORDS = 400_000
 END = b""
@@ -87,7 +92,7 @@ class Units:
         return u if u is not None else self.end if word == END else self.first_bucket + bucket(word)
 
 
-def _bigrams(units: Units, known: dict[bytes, int]):
+def _bigrams(units: Units):
     """Rows (previous unit, counts of the following ones as raw 64-bit numbers), one a task and unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +105,17 @@ def _bigrams(units: Units, known: dict[bytes, int]):
             table[:] += np.bincount(before * units.n + u, minlength=len(table))
             held.clear()
 
+        known: dict[bytes, int] = {}
         get, of = known.get, units.of
         for b in batches:
             for text in b.column("text").to_pylist():
-                held.extend([u if u is not None else of(w) for w, u in ((w, get(w)) for w in tokens(text))])
+                for w in tokens(text):
+                    u = get(w)
+                    if u is None:
+                        u = known[w] = of(w)
+                    held.append(u)
+                if len(known) > FLUSH_WORDS:
+                    known.clear()
                 if len(held) > 2_000_000:
                     add()
         if held:
@@ -170,25 +182,112 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
-def probabilities(bigrams: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 P(class | previous class), log10 P(unit | its class))."""
-    member = np.eye(classes)[of]
-    f = member.T @ bigrams @ member
-    weight = bigrams.sum(0)
-    share = (f.sum(0) + 0.5) / (f.sum() + 0.5 * classes)
-    step = (f + PRIOR * share) / (f.sum(1, keepdims=True) + PRIOR)
-    total = np.bincount(of, weight + UNIT_ADD, classes)
-    return np.log10(step), np.log10((weight + UNIT_ADD) / total[of])
+def transitions(f: np.ndarray) -> np.ndarray:
+    """log10 P(class | previous class) of the class bigrams f."""
+    share = (f.sum(0) + 0.5) / (f.sum() + 0.5 * len(f))
+    return np.log10((f + PRIOR * share) / (f.sum(1, keepdims=True) + PRIOR))
+
+
+def _contexts(units: Units, of: np.ndarray):
+    """Rows (word, class of its bucket, counts of the classes next to it) of the words that are no
+    units; a count is packed as 256 * count + class, CLASSES added to a preceding class."""
+    empty = {**units.words, END: units.end}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, words, own, held = dict(empty), [], [], []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            x = np.array(held, np.int64)
+            c = np.concatenate((of, np.array(own, np.int64)))[x]
+            before, after = np.concatenate((of[[units.end]], c[:-1])), np.concatenate((c[1:], of[[units.end]]))
+            at = np.flatnonzero(x >= units.n)
+            first = (x[at] - units.n) * 256
+            keys, n = np.unique(np.concatenate((first + after[at], first + CLASSES + before[at])), return_counts=True)
+            cuts = 8 * np.searchsorted(keys, 256 * np.arange(len(words) + 1))
+            raw = (n * 256 + keys % 256).tobytes()
+            for k in range(0, len(words), 50_000):
+                part = [raw[i:j] for i, j in zip(cuts[k : k + 50_000].tolist(), cuts[k + 1 : k + 50_001].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.binary()), pa.array(own[k : k + 50_000], pa.int32()), pa.array(part, pa.binary())], ["word", "own", "near"])
+
+        get = code.get
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                for w in tokens(text):
+                    u = get(w)
+                    if u is None:
+                        u = code[w] = units.n + len(words)
+                        words.append(w)
+                        own.append(of[units.of(w)])
+                    held.append(u)
+                if len(held) > 2_000_000 or len(words) > FLUSH_WORDS:
+                    yield from emit()
+                    words, own, held = [], [], []
+                    code.clear()
+                    code.update(empty)
+        if words:
+            yield from emit()
+
+    return run
+
+
+def best_classes(f: np.ndarray, word: np.ndarray, near: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Class of each word under the class bigrams f.  Entry i says that word[i] (ascending) has the
+    class near[i] next to it n[i] times; own is the class in which f holds the word's counts."""
+    sides = []
+    for g in (f, f.T):
+        prior = PRIOR * (g.sum(0) + 0.5) / (g.sum() + 0.5 * len(g))
+        sides.append((g, prior, g.sum(1), np.log((g + prior) / (g.sum(1, keepdims=True) + PRIOR))))
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    gain = np.add.reduceat(np.concatenate([x[3].T for x in sides])[near] * n[:, None], starts)
+    # in its own class the word finds the others' counts alone
+    mine, total = np.zeros(len(n)), np.bincount(word, np.where(near >= len(f), n, 0))
+    for k, (g, prior, sums, _) in enumerate(sides):
+        i = np.flatnonzero(near // len(f) == k)
+        a, c = own[word[i]], near[i] % len(f)
+        left = np.maximum(sums[a] - total[word[i]], 0)
+        mine[i] = n[i] * np.log((np.maximum(g[a, c] - n[i], 0) + prior[c]) / (left + PRIOR))
+    gain[np.arange(len(own)), own] = np.add.reduceat(mine, starts)
+    gain[:, f.sum(1) == 0] = -np.inf
+    return gain.argmax(1)
+
+
+def _assign(f: np.ndarray):
+    """Rows (word, count, class) of rows of _contexts that are sorted by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+            words = [w for i, (w, *_) in enumerate(rows) if not i or w != rows[i - 1][0]]
+            new = [not i or w != rows[i - 1][0] for i, (w, *_) in enumerate(rows)]
+            place = np.cumsum(new) - 1
+            own = np.array([r[1] for r in rows], np.int64)[np.flatnonzero(new)]
+            x = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
+            keys, at = np.unique(np.repeat(place, [len(r[2]) // 8 for r in rows]) * 256 + x % 256, return_inverse=True)
+            n = np.bincount(at, x // 256)
+            word, near = keys // 256, keys % 256
+            c = np.bincount(word, np.where(near >= CLASSES, n, 0)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(best_classes(f, word, near, n, own), pa.int32())], ["word", "c", "class"])
+
+        held: list[tuple[bytes, int, bytes]] = []
+        for b in batches:
+            held.extend(zip(*(b.column(k).to_pylist() for k in ("word", "own", "near")), strict=True))
+            last = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
+            if last:  # the last word can go on in the next batch
+                yield out(held[:last])
+                held = held[last:]
+        if held:
+            yield out(held)
+
+    return run
+
 
+def _sequences(units: Units, of: np.ndarray, words: list[bytes], word_counts: np.ndarray, word_class: np.ndarray, base_log: float):
+    """Per document one summary row with its sequence of classes, and a row with the places of each
+    word that is not in the table and the class it has if no training document holds it.
 
-def _score(units: Units, words: list[bytes], word_counts: np.ndarray, step: np.ndarray, unit_class: np.ndarray, unit_log: np.ndarray, bucket_log: np.ndarray, base_log: float):
-    """Per document one summary row (word null) and a row for each word that is not in the table."""
+    The word of a summary row is a space and the row's hash: no word, and no common key for the join."""
     place = {w: i for i, w in enumerate(words)}
-    unit = np.array([units.of(w) for w in words], np.int64)
-    in_bucket = (unit >= units.first_bucket) & (unit < units.end)
-    log_base = np.log10(word_counts + ADD)
-    # a bucket's word has its own share of the bucket; bucket_log is the log of the bucket's total
-    log_word = unit_log[unit] + np.where(in_bucket, np.log10(word_counts + UNSEEN) - bucket_log[np.clip(unit - units.first_bucket, 0, SUFFIX_BUCKETS - 1)], 0.0)
+    log_base, log_word = np.log10(word_counts + ADD), np.log10(word_counts + UNSEEN)
+    coded = np.append(word_class, 0).astype(np.uint8)  # the last stands for any word that is not here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = place.get
@@ -197,20 +296,13 @@ def _score(units: Units, words: list[bytes], word_counts: np.ndarray, step: np.n
             for doc, row, text in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 t = tokens(text)
                 at = np.fromiter(map(get, t, repeat(-1)), np.int64, len(t))
-                rare = np.flatnonzero(at < 0).tolist()
-                u = unit[at] if len(unit) else np.zeros(len(t), np.int64)
+                others: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(at < 0).tolist():
+                    others.setdefault(t[i], []).append(i)
                 known = at[at >= 0]
                 base, score = log_base[known].sum() - base_log * len(t), log_word[known].sum()
-                if rare:
-                    others = [t[i] for i in rare]
-                    n_other = Counter(others)
-                    u[rare] = [units.of(w) for w in others]
-                    bucketed = u[rare]
-                    score += unit_log[bucketed].sum() - bucket_log[np.clip(bucketed - units.first_bucket, 0, SUFFIX_BUCKETS - 1)].sum()
-                    out.extend((doc, row, w, n, None, None, None) for w, n in n_other.items())
-                c = unit_class[u]
-                score += step[np.concatenate(([unit_class[units.end]], c[:-1])), c].sum()
-                out.append((doc, row, None, len(t), int((word_counts[known] > 0).sum()), float(base), float(score)))
+                out.append((doc, row, b" " + row.to_bytes(8, "little", signed=True), len(t), len(known), float(base), float(score), None, coded[at].tobytes()))
+                out.extend((doc, row, w, len(i), None, None, None, int(of[units.of(w)]), np.array(i, np.int32).tobytes()) for w, i in others.items())
                 if len(out) > 50_000:
                     yield _rows(out, rows.schema)
                     out = []
@@ -220,9 +312,52 @@ def _score(units: Units, words: list[bytes], word_counts: np.ndarray, step: np.n
 
 
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    kinds = (schema.field("doc_id").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    columns = list(zip(*out, strict=True)) or [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row", "word", "n", "known", "base", "score"])
+    kinds = (schema.field("doc_id").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary())
+    columns = list(zip(*out, strict=True)) or [()] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row", "word", "n", "known", "base", "score", "other", "places"])
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Writes the joined classes into the sequences."""
+    for b in batches:
+        done = []
+        for raw, rare in zip(b.column("classes").to_pylist(), b.column("rare").to_pylist(), strict=True):
+            if rare:
+                x = np.frombuffer(raw, np.uint8).copy()
+                at = np.frombuffer(b"".join(r["places"] for r in rare), np.int32)
+                x[at] = np.repeat(np.array([r["class"] for r in rare], np.uint8), [len(r["places"]) // 4 for r in rare])
+                raw = x.tobytes()
+            done.append(raw)
+        yield b.drop_columns(["classes", "rare"]).append_column("classes", pa.array(done, pa.binary()))
+
+
+def _class_bigrams(end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for raw, copies in zip(b.column("classes").to_pylist(), b.column("copies").to_pylist(), strict=True):
+                c = np.frombuffer(raw, np.uint8).astype(np.int64)
+                np.add.at(f, np.concatenate(([end], c[:-1])) * CLASSES + c, copies)
+        some = np.flatnonzero(f)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(f[some])], ["pair", "n"])
+
+    return run
+
+
+def _total(end: int, step: np.ndarray, size_log: np.ndarray):
+    """Adds the transitions and the sizes of the classes to the scores."""
+    cost = (step - size_log).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = []
+            for raw in b.column("classes").to_pylist():
+                c = np.frombuffer(raw, np.uint8).astype(np.int64)
+                more.append(cost[np.concatenate(([end], c[:-1])) * CLASSES + c].sum())
+            score = pa.array(b.column("score").to_numpy(zero_copy_only=False) + np.array(more, float), pa.float64())
+            yield b.drop_columns(["classes", "score"]).append_column("score", score)
+
+    return run
 
 
 def score_documents(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,47 +372,60 @@ def score_documents(docs: DataFrame, training: Column | None = None, id_col: str
     counts = common.staged(counted, "words")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    table = counts.orderBy(F.desc("c"), "word").limit(MAP_WORDS).collect()  # at most MAP_WORDS rows
-    words, word_counts = [bytes(r["word"]) for r in table], np.array([r["c"] for r in table], np.int64)
-    if END not in words:  # more frequent words than documents: the end still is a unit
-        words.append(END)
-        word_counts = np.append(word_counts, (counts.filter(F.col("word") == END).first() or {"c": 0})["c"])
-    units = Units(words[:CLUSTER_WORDS])
-    known = {w: units.of(w) for w in words}
-
-    pairs = learned.mapInArrow(_bigrams(units, known), "before long, counts binary").repartition("before").mapInArrow(_add_rows, "before long, counts binary")
+    table = counts.orderBy(F.desc("c"), "word").limit(CLUSTER_WORDS).collect()
+    top = {bytes(r["word"]): r["c"] for r in table}
+    if END not in top:  # more frequent words than documents: the end still is a unit
+        top[END] = (counts.filter(F.col("word") == END).first() or {"c": 0})["c"]
+    units = Units(list(top))
+
+    pairs = learned.mapInArrow(_bigrams(units), "before long, counts binary").repartition("before").mapInArrow(_add_rows, "before long, counts binary")
     bigrams = np.zeros((units.n, units.n))
     for r in pairs.collect():  # one row a unit
         bigrams[r["before"]] = np.frombuffer(r["counts"], np.int64)
     of = exchange(bigrams)
-    step, unit_log = probabilities(bigrams, of)
-
-    own = spark.createDataFrame([(bytearray(w),) for w in [*units.words, END]], "word binary")  # at most CLUSTER_WORDS
-    in_buckets = counts.join(F.broadcast(own), "word", "left_anti")
-    tail = F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")
-    sums = in_buckets.groupBy((F.crc32(tail) % SUFFIX_BUCKETS).alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    size = np.full(SUFFIX_BUCKETS, UNSEEN)
-    for r in sums:
-        size[r["b"]] = r["n"] + UNSEEN * (r["v"] + 1)
+    member = np.eye(CLASSES)[of]
+
+    kind = "word binary, c long, class int"
+    near = learned.mapInArrow(_contexts(units, of), "word binary, own int, near binary")
+    other = near.repartition("word").sortWithinPartitions("word").mapInArrow(_assign(member.T @ bigrams @ member), kind)
+    own = spark.createDataFrame([(bytearray(w), c, int(of[units.of(w)])) for w, c in top.items() if c], kind)  # at most CLUSTER_WORDS and the end
+    classed = common.staged(other.union(own), "classes")
+    size = np.full(CLASSES, UNSEEN)
+    for r in classed.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        size[r["class"]] += r["n"] + UNSEEN * r["v"]
+    table = classed.orderBy(F.desc("c"), "word").limit(MAP_WORDS).collect()  # at most MAP_WORDS rows
+    words, word_counts, word_class = [bytes(r["word"]) for r in table], np.array([r["c"] for r in table], np.int64), np.array([r["class"] for r in table], np.int64)
 
     base_log = float(np.log10(n + ADD * (v + 1)))
     keyed = named.select("doc_id", F.xxhash64("text").alias("row"), "text")
     id_type = named.schema["doc_id"].dataType.simpleString()
-    scored = keyed.mapInArrow(_score(units, words, word_counts, step, of, unit_log, np.log10(size), base_log), f"doc_id {id_type}, row long, word binary, n long, known long, base double, score double")
-    joined = scored.join(counts, "word", "left")
-    c, rare = F.coalesce("c", F.lit(0)), F.col("word").isNotNull()
+    found = keyed.mapInArrow(_sequences(units, of, words, word_counts, word_class, base_log), f"doc_id {id_type}, row long, word binary, n long, known long, base double, score double, other int, places binary")
+    joined = found.join(classed, "word", "left")
+    c, rare = F.coalesce("c", F.lit(0)), F.col("other").isNotNull()
     per = joined.groupBy("doc_id", "row").agg(
         F.count_if(~rare).alias("copies"),
         F.sum(F.when(~rare, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(rare, F.when(c > 0, F.col("n")).otherwise(0)).otherwise(F.col("known"))).alias("n_known"),
         F.sum(F.when(rare, F.col("n") * F.log10(c + ADD)).otherwise(F.col("base"))).alias("base_score"),
         F.sum(F.when(rare, F.col("n") * F.log10(c + UNSEEN)).otherwise(F.col("score"))).alias("score"),
+        F.first(F.when(~rare, F.col("places")), ignorenulls=True).alias("classes"),
+        F.collect_list(F.when(rare, F.struct(F.coalesce("class", "other").alias("class"), "places"))).alias("rare"),
     )
     # equal rows were summed up together: each gets its share back
     share = lambda x: (F.col(x) / F.col("copies")).alias(x)
     whole = lambda x: F.expr(f"{x} div copies").alias(x)
-    one = per.select("doc_id", whole("n_tokens"), whole("n_known"), share("base_score"), share("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return one.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    one = per.select("doc_id", "copies", whole("n_tokens"), whole("n_known"), share("base_score"), share("score"), "classes", "rare")
+    kind = f"doc_id {id_type}, copies long, n_tokens long, n_known long, base_score double"
+    sequences = common.staged(one.mapInArrow(_filled, f"{kind}, score double, classes binary"), "sequences")
+
+    end, f = int(of[units.end]), np.zeros(CLASSES * CLASSES)
+    learned = sequences.filter(~held_out() if training is None else training).select("classes", "copies")
+    for r in learned.mapInArrow(_class_bigrams(end), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most CLASSES * CLASSES
+        f[r["pair"]] = r["n"]
+    step = transitions(f.reshape(CLASSES, CLASSES))
+    scored = sequences.mapInArrow(_total(end, step, np.log10(size)), f"{kind}, score double")
+    each = scored.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,38 @@ def test_exchange_beats_a_random_clustering():
     assert all(len(set(of[truth == k])) == 1 for k in range(3)) and len(set(of)) == 3
 
 
+def test_words_outside_the_clustering_get_own_classes(spark, monkeypatch):
+    """Rare words of one ending, so of one bucket: their own neighbours tell them apart."""
+    monkeypatch.setattr(class_lm, "CLUSTER_WORDS", 6)
+    rnd = random.Random(2)
+    x, y = ([f"{c}{i}end" for i in range(40)] + 40 * [f"{c}top"] for c in "xy")
+    line = lambda a, b: " ".join(w for _ in range(6) for w in ("sun", rnd.choice(a), "day", "moon", rnd.choice(b), "night"))
+    texts = [line(x, y) for _ in range(200)] + [line(x[:40], y[:40]) for _ in range(5)] + [line(y[:40], x[:40]) for _ in range(5)]
+    for words in (150_000, 5):
+        monkeypatch.setattr(class_lm, "MAP_WORDS", words)
+        got = {r.doc_id: r.score for r in class_lm.score_documents(table(spark, texts), F.col("doc_id") < 200).collect()}
+        assert min(got[i] for i in range(200, 205)) > max(got[i] for i in range(205, 210)) + 3
+
+
+def test_best_classes():
+    rnd = np.random.default_rng(1)
+    f, n = rnd.poisson(30, (5, 5)).astype(float), rnd.poisson(0.8, (40, 10))
+    n[:, 7] += 1
+    word, near = np.nonzero(n)
+    own = rnd.integers(0, 5, 40)
+    got = class_lm.best_classes(f, word, near, n[word, near], own)
+    for w in range(40):
+        gain = np.zeros(5)
+        for k, g in enumerate((f, f.T)):
+            prior = class_lm.PRIOR * (g.sum(0) + 0.5) / (g.sum() + 2.5)
+            for b in range(5):
+                mine = n[w, 5 * k : 5 * k + 5] * (b == own[w])
+                total = n[w, 5:].sum() * (b == own[w])
+                p = (np.maximum(g[b] - mine, 0) + prior) / (max(g[b].sum() - total, 0) + class_lm.PRIOR)
+                gain[b] += n[w, 5 * k : 5 * k + 5] @ np.log(p)
+        assert gain.argmax() == got[w]
+
+
 def test_language_gradients():
     m = {k: v.astype(float) for k, v in language_id.new_model(3, hidden=4, seed=2).items()}
     rng = np.random.default_rng(0)
