@@ -69,7 +69,7 @@ def lineages(spark, args):
 def report(spark, args):
     d = _bam(spark, args.bam)
     values = al.capped_metrics(d, args.length)
-    html = reports.alignment_report(args.run_name, al.global_counters(d), al.metric_summary(values, "mate", "metric"), al.range_histogram(values, 0.0, 301.0, 1.0, "mate", "metric"))
+    html = reports.alignment_report(args.run_name, al.global_counters(d), al.metric_summary(values, "mate", "metric"), al.report_histograms(values, args.length))
     with open(f"{args.run_name}.html", "w", encoding="utf-8") as f:
         f.write(html)
     return {"insert_sizes": al.insert_sizes(al.name_runs(d), args.mapq, args.insert).count()}

@@ -159,6 +159,14 @@ def range_histogram(values: DataFrame, least: float, most: float, width: float,
     return inside.groupBy(*keys, F.floor((F.col("value") - least) / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def report_histograms(values: DataFrame, read_length: int = 150) -> DataFrame:
+    """(mate, metric, bin, n) of all measures of capped_metrics, each over its own range and width."""
+    ranges = {"mapq": (61.0, 1.0), "align_score": (2.0 * read_length + 1, 1.0), "align_length": (read_length + 1.0, 1.0), "as_al": (2.01, 0.01), "align_proportion": (1.01, 0.01), "percent_identity": (101.0, 1.0)}
+    most, width = (F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[i])) for m, r in ranges.items()]) for i in range(2))
+    inside = values.filter((F.col("value") >= 0) & (F.col("value") < most))
+    return inside.groupBy("mate", "metric", F.floor(F.col("value") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def dynamic_histogram(values: DataFrame, *keys: str, bins: int = 100) -> DataFrame:
     """As range_histogram, over each group's own range widened by 5 % on both sides."""
     spread = values.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))

@@ -2,6 +2,8 @@
 
 import gzip
 
+import numpy as np
+
 from helixframe import cli
 from helixframe.operators import reports
 from helixframe.sources import binary_alignments as B
@@ -27,3 +29,20 @@ def test_report(spark, tmp_path):
     text = (tmp_path / "rep.html").read_text()
     assert "percent_identity" in text and "<rect" in text
     assert "polyline" in reports.line([(0, 0), (1, 1)])
+
+
+def test_report_bins_ratios_by_hundredths(spark, tmp_path):
+    path = str(tmp_path / "a.bam")
+    scores = (2, 5, 9, 10, 16)
+    B.write_records(path, [("r", 90)], [(f"q{i}", f, 0, 5 + i, 60, [("M", 10)], "ACGTACGTAC", bytes([30] * 10), b"NMC\x01ASC" + bytes([a])) for i, a in enumerate(scores) for f in (67, 131)])
+    shown = {}
+    keep = reports.page
+    try:
+        reports.page = lambda title, parts, data: shown.update({(m, k): c for m, k, c in data}) or keep(title, parts, data)
+        cli.main(["report", "--bam", path, "--run-name", str(tmp_path / "rep")])
+    finally:
+        reports.page = keep
+    assert {m for m, _ in shown} == {"mapq", "align_score", "align_length", "as_al", "align_proportion", "percent_identity"}
+    assert [b for b, _ in shown["as_al", 1]] == [int(float(np.float32(a / 10)) / 0.01) for a in scores]  # ratios are 32-bit
+    assert [b for b, _ in shown["align_score", 2]] == list(scores)
+    assert shown["align_proportion", 1] == [(100, 5)]
