@@ -32,10 +32,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see: below spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local mode) a folder of this machine is used.
+    Only in local mode (tests) may that setting be absent: then a folder of this machine is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "helixframe-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -45,7 +48,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a staged frame that nothing reads any more."""
+    path = getattr(df, "staged_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -156,3 +170,18 @@ def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
         out += words[j : j + n] * _U((0x2545F4914F6CDD1D * (2 * j + 1) + 2 * salt) & 0xFFFFFFFFFFFFFFFF | 1)
         out ^= out >> _U(29)
     return mix64(out)
+
+
+def runs_by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index of each run of equal neighbours, and the number of all): bounds of sorted keys."""
+    n = len(keys)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return first, np.append(first, n)
+
+
+def slices(raw: bytes | memoryview, bounds: np.ndarray, width: int) -> list[bytes]:
+    """raw cut at bounds (numbers of items of a width)."""
+    at = (bounds * width).tolist()
+    return [bytes(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]

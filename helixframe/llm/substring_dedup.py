@@ -3,267 +3,300 @@
 A window is SPAN consecutive words of one document.  Words covered by a window that also starts
 earlier (smaller doc_id, or the same document and an earlier start) are removed.
 
-1. Sketch.  Each window is counted under its anchor: the least hash among its runs of GRAM words
-   (leftmost if tied), which depends on the window's words alone.  So the counter of an anchor's
-   cell is never below the count of any window under it.  A map task's sketch holds its non-zero
-   counters, one row of 2^WIDTH_BITS cells kept sparsely; equal cells of a task are folded, and the
-   partition sketches are merged by summing cells.  About 2 / (SPAN - GRAM + 2) of the windows
-   have an anchor of their own, so the sketch is a small share of the words.
-2. Exact pass.  Windows whose anchor's counter is below 2 cannot repeat and are done.  The others
-   are hashed whole (64 bits beside the anchor's 64), folded within the map task (only the first
-   occurrence of a window travels; the others are known to be covered), and grouped by anchor.
-
-A passage that a third of all rows share costs one row per task in either shuffle.
+Documents are dealt into chunks by a hash of the row, CHUNK_BYTES of text each; one exchange of the
+texts serves all passes.  A chunk's windows are 64-bit hashes.
+
+1. Sketch.  Each chunk counts all its windows in a count-min sketch of ROWS rows of one width: the
+   least power of two that is not below the number of bytes of all texts, so about six cells a window.
+   A chunk's sketch travels as its non-zero counters (cells in ascending order as packed gaps, and
+   which of them are above 1), cut into blocks of cells; the partition sketches are merged by adding
+   equal cells of a block.  A chunk gets back one bit for each cell it sent: merged counter 2 or more.
+   A window's estimate is its least counter, which is never below its true count.
+2. Exact pass.  Only windows estimated at 2 or more travel: of equal ones in a chunk the first, as
+   (hash, doc_id, start), dealt out by hash, so a passage that a third of all rows share costs one row
+   for each chunk and window, and its windows go to different tasks.  The least (doc_id, start) of a
+   hash is the first occurrence; each chunk gets back the hashes that start earlier elsewhere.
+3. Cut.  A window is covered if it is not its chunk's first of that hash, or that first is covered.
 
 Cases: a null or empty text has no words and keeps the empty text.  A row with a null doc_id is
 compared with nothing and keeps all its words.  Repeated rows of one document do not cover each
 other: the same start of the same doc_id is not earlier.  Empty tables give empty results.  Only
-doc_id and text are read.
+doc_id and text are read, and the columns to carry.  Equal 64-bit hashes of different windows are
+taken as equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 _U = np.uint64
-SPAN, GRAM, WIDTH_BITS = 20, 8, 56
-#: Anchors or windows that a map task gathers before it folds and emits them.
-FOLD_ROWS = 2_000_000
-
-
-def anchors(words: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a window, the position and hash of its anchor."""
-    g = common.gram_hashes(words, gram, salt=7)
-    n = len(words) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    # least of `width` consecutive hashes from two overlapping power-of-two runs; ties go left
-    width, pos, value, reach = span - gram + 1, np.arange(len(g)), g, 1
-    while reach * 2 <= width:
-        right = value[reach:] < value[:-reach]
-        pos = np.where(right, pos[reach:], pos[:-reach])
-        value = np.where(right, value[reach:], value[:-reach])
-        reach *= 2
-    if reach < width:
-        d = width - reach
-        right = value[d:] < value[:-d]
-        pos, value = np.where(right, pos[d:], pos[:-d]), np.where(right, value[d:], value[:-d])
-    return pos[:n], value[:n]
-
-
-def _starts(firsts: np.ndarray, n_starts: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of windows that lie within one document, their document)."""
+SPAN, ROWS = 20, 2
+#: Text of a chunk, which one task holds; a longer document is in a chunk with its like by hash.
+CHUNK_BYTES = 6 << 20
+#: Cells of a block of the merged sketch, as many windows at most as it has cells.
+BLOCK_CELLS = 1 << 22
+#: Windows of a bucket of the exact pass, about.
+BUCKET_BYTES = 32 << 20
+
+
+def windows(words: np.ndarray, firsts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, start within it) of all windows, in order."""
     counts = np.maximum(np.diff(firsts) - span + 1, 0)
     of = np.repeat(np.arange(len(counts)), counts)
-    starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + firsts[:-1][of]
-    assert not len(starts) or starts[-1] < n_starts
-    return starts, of
-
-
-def fold_sketch(cells: np.ndarray, rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(cell, weight, row, place): equal cells of a task become one counter of weight 2; the other
-    occurrences, known to be repeated, get a cell of their own of that weight."""
-    order = np.argsort(cells, kind="stable")
-    c, r, p = cells[order], rows[order], places[order]
-    head = np.concatenate(([True], c[1:] != c[:-1]))
-    more = np.concatenate((~head[1:], [False]))
-    weight = np.where(~head | more, 2, 1).astype(np.int32)
-    own = common.mix64(r.astype(_U) ^ common.mix64(p.astype(_U) + _U(0x1F83D9ABFB41BD6B))) >> _U(64 - WIDTH_BITS)
-    return np.where(head, c, own), weight, r, p
-
-
-def _sketch(span: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            c, w, r, p = fold_sketch(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for at in range(0, len(c), 100_000):
-                s = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[s].view(np.int64)), pa.array(w[s]), pa.array(r[s]), pa.array(p[s])], ["cell", "weight", "row", "place"])
-
-        for rows, data, offsets in common.text_batches(batches):
-            words, firsts = common.word_hashes(data, offsets)
-            pos, value = anchors(words, span, gram)
-            starts, of = _starts(firsts, len(pos), span)
-            if not len(starts):
-                continue
-            at, key = pos[starts], value[starts]
-            new = np.concatenate(([True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])))
-            place = (at - firsts[:-1][of])[new].astype(np.int32)
-            held.append((key[new] >> _U(64 - WIDTH_BITS), rows.column("row").to_numpy()[of[new]], place))
-            if sum(len(x[0]) for x in held) >= FOLD_ROWS:
-                yield from emit()
-                held.clear()
-        if held:
-            yield from emit()
+    start = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return common.gram_hashes(words, span, salt=11)[start + firsts[:-1][of]], of, start
+
+
+def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Cell of each window in a row of the sketch; width is a power of two."""
+    return common.mix64(hashes + _U(0x9E3779B97F4A7C15 * (2 * row + 1) & 0xFFFFFFFFFFFFFFFF)) & _U(width - 1)
+
+
+def pack_gaps(x: np.ndarray) -> bytes:
+    """Ascending distinct numbers as gaps, seven bits a byte, low ones first."""
+    gaps = np.diff(x, prepend=_U(0))
+    n = np.maximum(1, -(-np.ceil(np.log2(gaps.astype(float) + 1)).astype(np.int64) // 7))
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(n.max()) if len(n) else 0):
+        some = n > k
+        more = (n[some] > k + 1).astype(np.uint8) << 7
+        out[(ends - n)[some] + k] = ((gaps[some] >> _U(7 * k)) & _U(127)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def unpack_gaps(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    last = b < 128
+    number = np.cumsum(last) - last
+    starts = np.flatnonzero(np.concatenate(([True], last[:-1]))) if len(b) else np.zeros(0, np.int64)
+    place = np.arange(len(b)) - starts[number]
+    gaps = np.zeros(int(last.sum()), _U)
+    for k in range(int(place.max()) + 1 if len(b) else 0):
+        at = place == k
+        gaps[number[at]] |= (b[at] & 127).astype(_U) << _U(7 * k)
+    return np.cumsum(gaps, dtype=_U)
+
+
+def chunk_sketch(hashes: np.ndarray, row: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, whether the counter is above 1) of a chunk's row, ascending."""
+    c, n = np.unique(cells(hashes, row, width), return_counts=True)
+    return c, n > 1
+
+
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema, strict=True)], schema=schema)
+
+
+SKETCHES = "block long, chunk long, cells binary, many binary"
+_SKETCHES = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary()), ("many", pa.binary())])
+REPLIES = "block long, chunk long, bits binary"
+_REPLIES = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("bits", pa.binary())])
+EXACT = "bucket long, chunk long, hashes binary, docs binary, starts binary"
+_EXACT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+COVERED = "chunk long, hashes binary"
+_COVERED = pa.schema([("chunk", pa.int64()), ("hashes", pa.binary())])
+
+
+def _read(texts: pa.Table, span: int) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, hashes, index of the row, start) of a chunk; a row without doc_id has no windows."""
+    rows = texts.combine_chunks().to_batches()
+    if not rows:
+        none = np.zeros(0, np.int64)
+        return None, none.view(_U), none, none
+    hashes, of, start, at = [], [], [], 0
+    ids = rows[0].column("doc_id")
+    for part, data, offsets in common.text_batches(rows):
+        h, o, s = windows(*common.word_hashes(data, offsets), span)
+        hashes.append(h), of.append(o + at), start.append(s)
+        at += len(part)
+    h, o, s = (np.concatenate(x) for x in (hashes, of, start))
+    if ids.null_count:
+        has = ids.is_valid().to_numpy(zero_copy_only=False)[o]
+        h, o, s = h[has], o[has], s[has]
+    return rows[0], h, o, s
+
+
+def _blocks(c: np.ndarray, row: int, width: int) -> Iterator[tuple[int, slice]]:
+    """(block, its slice) of ascending cells of a row."""
+    per = -(-width // BLOCK_CELLS)
+    edges = np.searchsorted(c // _U(BLOCK_CELLS), np.arange(per + 1, dtype=_U))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield row * per + b, slice(int(edges[b]), int(edges[b + 1]))
+
+
+def _sketch(span: int, width: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        out, hashes = [], _read(texts, span)[1]
+        for row in range(ROWS):
+            c, many = chunk_sketch(hashes, row, width)
+            out += [(b, key[0].as_py(), pack_gaps(c[z]), np.packbits(many[z]).tobytes()) for b, z in _blocks(c, row, width)]
+        return _table(_SKETCHES, out)
 
     return run
 
 
-def _runs(starts: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first, number) of maximal runs of consecutive starts; same[i]: i may join i - 1."""
-    head = np.flatnonzero(np.concatenate(([True], ~((starts[1:] == starts[:-1] + 1) & same[1:]))))
-    return head, np.diff(np.append(head, len(starts)))
-
-
-def _windows(span: int, gram: int):
-    """Windows under repeated anchors: runs to be grouped (anchor, hashes), and runs known covered."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            anchor, whole, row, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((start, doc, whole, anchor))
-            a, w, d, s = anchor[order], whole[order], doc[order], start[order]
-            head = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-            # the same start of a repeated row is not earlier: it travels like its twin
-            covered = np.zeros(len(a), bool)
-            covered[order] = (d != d[lead]) | (s != s[lead])
-            for known in (False, True):
-                k = np.flatnonzero(covered == known)
-                if not len(k):
-                    continue
-                same = np.concatenate(([False], (row[k][1:] == row[k][:-1]) & (doc[k][1:] == doc[k][:-1]) & (known | (anchor[k][1:] == anchor[k][:-1]))))
-                first, n = _runs(start[k], same)
-                at = k[first]
-                key = common.mix64(row[at].astype(_U)) if known else anchor[at]
-                raw = whole[k].tobytes()
-                blobs = [None] * len(at) if known else [raw[8 * i : 8 * (i + m)] for i, m in zip(first.tolist(), n.tolist(), strict=True)]
-                for c in range(0, len(at), 20_000):
-                    s_ = slice(c, c + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[s_].view(np.int64)), pa.array(row[at][s_]), pa.array(doc[at][s_]), pa.array(start[at][s_]), pa.array(n[s_].astype(np.int32)), pa.array(blobs[s_], pa.binary())],
-                        ["anchor", "row", "doc_id", "start", "n", "hashes"],
-                    )
-
-        for rows, data, offsets in common.text_batches(batches):
-            words, firsts = common.word_hashes(data, offsets)
-            pos, value = anchors(words, span, gram)
-            starts, of = _starts(firsts, len(pos), span)
-            if not len(starts):
-                continue
-            places = rows.column("places")
-            flat, cut = places.flatten().to_numpy(), np.concatenate(([0], np.cumsum(places.value_lengths().fill_null(0).to_numpy())))
-            hot = np.zeros(len(words), bool)
-            owner = np.repeat(np.arange(len(rows)), np.diff(cut))
-            hot[firsts[:-1][owner] + flat] = True
-            keep = hot[pos[starts]]
-            starts, of = starts[keep], of[keep]
-            if not len(starts):
-                continue
-            whole = common.gram_hashes(words, span, salt=11)[starts]
-            row, doc = rows.column("row").to_numpy(), rows.column("doc_id").to_numpy()
-            held.append((value[starts], whole, row[of], doc[of], (starts - firsts[:-1][of]).astype(np.int32)))
-            if sum(len(x[0]) for x in held) >= FOLD_ROWS:
-                yield from emit()
-                held.clear()
-        if held:
-            yield from emit()
+def merge_sketches(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each chunk's (cells, above 1) whether the merged counters are 2 or more."""
+    c = np.concatenate([x for x, _ in parts])
+    _, at, n = np.unique(c, return_inverse=True, return_counts=True)
+    above = n > 1
+    above[at[np.concatenate([m for _, m in parts])]] = True
+    return np.split(above[at], np.cumsum([len(x) for x, _ in parts])[:-1])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk sketches sorted by block -> for each one bit a cell."""
+    block, held = None, []
+
+    def done() -> pa.RecordBatch:
+        parts = []
+        for _, raw, many in held:
+            c = unpack_gaps(raw)
+            parts.append((c, np.unpackbits(np.frombuffer(many, np.uint8), count=len(c)).astype(bool)))
+        bits = [np.packbits(x).tobytes() for x in merge_sketches(parts)]
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.int64()), pa.array([k for k, _, _ in held], pa.int64()), pa.array(bits, pa.binary())], schema=_REPLIES)
+
+    for b in batches:
+        for key, *part in zip(*(b.column(c).to_pylist() for c in _SKETCHES.names), strict=True):
+            if key != block:
+                if held:
+                    yield done()
+                block, held = key, []
+            held.append(part)
+    if held:
+        yield done()
+
+
+def _first(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, doc_id and start; index of the first of each hash; its number for each place)."""
+    order = np.lexsort((starts, docs, hashes))
+    h = hashes[order]
+    head = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    return order, np.flatnonzero(head), np.cumsum(head) - 1
+
+
+def _exact(span: int, width: int, buckets: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, hashes, of, start = _read(texts, span)
+        if rows is None or not len(hashes):
+            return _table(_EXACT, [])
+        bits = dict(zip(replies.column("block").to_pylist(), replies.column("bits").to_pylist(), strict=True))
+        estimated = np.ones(len(hashes), bool)
+        for row in range(ROWS):
+            c, at = np.unique(cells(hashes, row, width), return_inverse=True)
+            above = np.zeros(len(c), bool)
+            for b, z in _blocks(c, row, width):
+                above[z] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=z.stop - z.start)
+            estimated &= above[at]
+        docs = rows.column("doc_id").fill_null(0).to_numpy()[of[estimated]]
+        h, s = hashes[estimated], start[estimated].astype(np.int32)
+        order, first, _ = _first(h, docs, s)
+        at = order[first]
+        bucket = (h[at] % _U(buckets)).astype(np.int64)
+        at, bucket = at[(o := np.argsort(bucket, kind="stable"))], bucket[o]
+        heads, bounds = common.runs_by(bucket)
+        packed = [common.slices(memoryview(np.ascontiguousarray(x[at]).view(np.uint8)), bounds, n) for x, n in ((h, 8), (docs, 8), (s, 4))] if len(at) else [[]] * 3
+        chunk = key[0].as_py()
+        return _table(_EXACT, [(b, chunk, *x) for b, *x in zip(bucket[heads].tolist(), *packed, strict=True)])
 
     return run
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor, doc_id and start -> runs of covered windows."""
-    key, seen = None, {}
+    """Windows sorted by bucket -> for each chunk its hashes that start earlier elsewhere."""
+    bucket, held = None, []
+
+    def done() -> pa.RecordBatch:
+        chunk = np.repeat(np.array([k for k, *_ in held], np.int64), [len(h) // 8 for _, h, _, _ in held])
+        h, d, s = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in ((1, _U), (2, np.int64), (3, np.int32)))
+        order, first, number = _first(h, d, s)
+        lead = order[first[number]]
+        covered = order[(d[order] != d[lead]) | (s[order] != s[lead])]
+        by = covered[np.argsort(chunk[covered], kind="stable")]
+        heads, bounds = common.runs_by(chunk[by])
+        found = common.slices(memoryview(np.ascontiguousarray(h[by]).view(np.uint8)), bounds, 8) if len(by) else []
+        return pa.RecordBatch.from_arrays([pa.array(chunk[by][heads], pa.int64()), pa.array(found, pa.binary())], schema=_COVERED)
+
     for b in batches:
-        row, doc, start, n = [], [], [], []
-        for anchor, r, d, s, m, hashes in zip(*(b.column(c).to_pylist() for c in ("anchor", "row", "doc_id", "start", "n", "hashes")), strict=True):
-            if hashes is None:
-                row.append(r), doc.append(d), start.append(s), n.append(m)
-                continue
-            if anchor != key:
-                key, seen = anchor, {}
-            begun = None
-            for i, h in enumerate(np.frombuffer(hashes, np.int64).tolist()):
-                if seen.setdefault(h, (d, s + i)) != (d, s + i):
-                    if begun is None:
-                        begun = i
-                elif begun is not None:
-                    row.append(r), doc.append(d), start.append(s + begun), n.append(i - begun)
-                    begun = None
-            if begun is not None:
-                row.append(r), doc.append(d), start.append(s + begun), n.append(m - begun)
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["row", "doc_id", "start", "n"])
-
-
-def _cut(span: int, as_is: bool = False):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, removed, kept = [], [], []
-            covers = b.column("covers")
-            has = covers.is_valid().to_pylist()
-            docs = b.column("doc_id").to_pylist()
-            for i, text in enumerate(b.column("text").to_pylist()):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                gone = 0
-                if has[i]:
-                    drop = np.zeros(len(words) + 1, np.int32)
-                    for c in covers[i].as_py():
-                        if c["doc_id"] == docs[i]:  # not of another row with the same row hash
-                            drop[c["start"]] += 1
-                            drop[min(c["start"] + c["n"] - 1 + span, len(words))] -= 1
-                    stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
-                    gone = len(words) - len(stay)
-                    words = [words[j] for j in stay]
-                removed.append(gone)
-                kept.append((text or "").encode() if as_is and not gone else b" ".join(words))
-            carried = [(c, b.column(c)) for c in b.schema.names if c == "carried"]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(x for _, x in carried)],
-                ["row", "doc_id", "n_words", "n_removed", "kept", *(c for c, _ in carried)],
-            )
+        for key, *part in zip(*(b.column(c).to_pylist() for c in _EXACT.names), strict=True):
+            if key != bucket:
+                if held:
+                    yield done()
+                bucket, held = key, []
+            held.append(part)
+    if held:
+        yield done()
+
+
+def _cut(span: int, as_is: bool, carry: bool, schema: pa.Schema) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, hashes, of, start = _read(texts, span)
+        if rows is None:
+            return schema.empty_table()
+        elsewhere = np.sort(np.frombuffer(b"".join(replies.column("hashes").to_pylist()), _U))
+        docs = rows.column("doc_id").fill_null(0).to_numpy()[of]
+        order, first, number = _first(hashes, docs, start)
+        lead = order[first[number]] if len(order) else order
+        later = (docs[order] != docs[lead]) | (start[order] != start[lead])
+        if len(elsewhere):
+            near = np.minimum(np.searchsorted(elsewhere, hashes[order]), len(elsewhere) - 1)
+            later |= elsewhere[near] == hashes[order]
+        covered = np.sort(order[later])  # back in the order of rows and starts
+        cut = np.searchsorted(of[covered], np.arange(len(rows) + 1)).tolist()
+        n_words, removed, kept = [], [], []
+        for i, text in enumerate(rows.column("text").to_pylist()):
+            raw = (text or "").encode()
+            words = raw.split()
+            n_words.append(len(words))
+            gone = 0
+            if cut[i + 1] > cut[i]:
+                drop = np.zeros(len(words) + 1, np.int32)
+                at = start[covered[cut[i] : cut[i + 1]]]
+                np.add.at(drop, at, 1)
+                np.add.at(drop, at + span, -1)
+                stay = np.flatnonzero(np.cumsum(drop[:-1]) == 0).tolist()
+                gone = len(words) - len(stay)
+                words = [words[j] for j in stay]
+            removed.append(gone)
+            kept.append(raw if as_is and not gone else b" ".join(words))
+        columns = [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.Table.from_arrays([*columns, *([rows.column("carried")] if carry else [])], names=["doc_id", "n_words", "n_removed", "kept", *(["carried"] if carry else [])])
 
     return run
 
 
-def row_key_of(id_col: str, text_col: str):
-    """row_key over the columns of the caller's table."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-
-
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """Key of a row: equal for repeated rows only, but for chance."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def substring_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
-    """(row, doc_id, n_words, n_removed, kept): kept are the words that stay, joined by one space.
-
-    carry: further columns of docs to return, in a struct ``carried``; rows that repeat a doc_id and
-    text get those of one of them.  as_is: texts that lose nothing keep their own white space."""
-    # the id as it is where it can be: a mere alias would make the two exchanges of the texts differ
-    plain = id_col == "doc_id" and docs.schema[id_col].dataType.simpleString() == "bigint"
-    doc_id = F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id")
-    named = docs.select(doc_id, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # one exchange of the texts by row serves both joins below
-    keyed = named.filter("doc_id IS NOT NULL").withColumn("row", row_key())
-    sketch = keyed.mapInArrow(_sketch(span, gram), "cell long, weight int, row long, place int")
-    merged = sketch.withColumn("estimate", F.sum("weight").over(Window.partitionBy("cell"))).filter("estimate >= 2")
-    places = merged.groupBy("row").agg(F.collect_set("place").alias("places"))
-    windows = keyed.join(places, "row").mapInArrow(_windows(span, gram), "anchor long, row long, doc_id long, start int, n int, hashes binary")
-    ordered = windows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    covered = ordered.mapInArrow(_group, "row long, doc_id long, start int, n int")
-    covers = covered.groupBy("row").agg(F.collect_list(F.struct("doc_id", "start", "n")).alias("covers"))
-    out = "row long, doc_id long, n_words long, n_removed long, kept string"
-    lone = named.filter("doc_id IS NULL").withColumn("row", row_key()).withColumn("covers", F.lit(None).cast("array<struct<doc_id:bigint,start:int,n:int>>"))
-    found, columns = keyed.join(covers, "row", "left"), ["row", "doc_id", "text", "covers"]
+def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row: kept are the words that stay, joined by one space.
+
+    carry: further columns of docs to return, in a struct ``carried``.  as_is: texts that lose nothing
+    keep their own white space."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 1
+    width = max(1 << (size - 1).bit_length(), 1 << 10)
+    chunks, buckets = -(-size // CHUNK_BYTES), -(-size // BUCKET_BYTES)
+    named = docs.select(doc_id.alias("doc_id"), text.alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    # one exchange of the texts serves all three passes
+    dealt = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk")
+    texts = dealt.groupBy("chunk")
+    sketches = texts.applyInArrow(_sketch(span, width), SKETCHES)
+    replies = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, REPLIES)
+    exact = texts.cogroup(replies.groupBy("chunk")).applyInArrow(_exact(span, width, buckets), EXACT)
+    covered = exact.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_group, COVERED)
+    out = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept", "string")
     if carry:
-        extra = docs.select(row_key_of(id_col, text_col).alias("row"), F.struct(*carry).alias("carried")).dropDuplicates(["row"])
-        found, lone, columns = found.join(extra, "row", "left"), lone.join(extra, "row", "left"), [*columns, "carried"]
-        out += f", carried {extra.schema['carried'].dataType.simpleString()}"
-    return found.select(*columns).unionByName(lone.select(*columns)).mapInArrow(_cut(span, as_is), out)
+        out = out.add(named.schema["carried"])
+    return texts.cogroup(covered.groupBy("chunk")).applyInArrow(_cut(span, as_is, bool(carry), to_arrow_schema(out)), out)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,9 +81,11 @@ def test_t_occurrence_search():
         assert index.search(len(s), s.tolist()) == want
 
 
-@pytest.mark.parametrize(("span", "gram", "fold"), [(20, 8, 2_000_000), (6, 3, 300), (5, 5, 300)])
-def test_substring_dedup(spark, mixed, monkeypatch, span, gram, fold):
-    monkeypatch.setattr(substring_dedup, "FOLD_ROWS", fold)
+@pytest.mark.parametrize(("span", "chunk"), [(20, 6 << 20), (6, 2000), (5, 300)])
+def test_substring_dedup(spark, mixed, monkeypatch, span, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4 * chunk)
+    monkeypatch.setattr(substring_dedup, "BLOCK_CELLS", chunk)
     seen, want = {}, {}
     for i, t in enumerate(mixed):
         w, gone = re.findall(WORD, t or ""), set()
@@ -91,7 +93,7 @@ def test_substring_dedup(spark, mixed, monkeypatch, span, gram, fold):
             if seen.setdefault(tuple(w[s : s + span]), (i, s)) != (i, s):
                 gone.update(range(s, s + span))
         want[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
-    got = substring_dedup.substring_dedup(table(spark, mixed), span, gram).collect()
+    got = substring_dedup.substring_dedup(table(spark, mixed), span).collect()
     assert len(got) == len(mixed) + 1
     for r in got:
         assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id]
@@ -100,7 +102,7 @@ def test_substring_dedup(spark, mixed, monkeypatch, span, gram, fold):
 def test_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in ngram_join.ngram_join(d).collect()} == {(None, None), (1, 1), (2, 1)}
-    assert {(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(d, 4, 2).collect()} == {(None, 0), (1, 0), (2, 6)}
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(d, 4).collect()} == {(None, 0), (1, 0), (2, 6)}
 
 
 def test_fingerprints(spark, mixed, monkeypatch):
@@ -339,3 +341,20 @@ def test_empty_tables(spark, tmp_path):
     assert quality.quality(d).count() == 0
     assert packing.pack(d, P.path("byte_bpe_50k.json")).count() == 0
     assert d.select(F.count("*")).first()[0] == 0
+
+
+def test_sketch_never_underestimates():
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.integers(0, 1 << 50, 3000)).astype(np.uint64)
+    assert substring_dedup.unpack_gaps(substring_dedup.pack_gaps(x)).tolist() == x.tolist()
+    assert len(substring_dedup.unpack_gaps(b"")) == 0
+    chunks = [rng.integers(0, 4000, 1500).astype(np.uint64) for _ in range(4)]
+    true, width = Counter(np.concatenate(chunks).tolist()), 1 << 13
+    above = {}
+    for row in range(substring_dedup.ROWS):
+        parts = [substring_dedup.chunk_sketch(c, row, width) for c in chunks]
+        for (cells, _), bits in zip(parts, substring_dedup.merge_sketches(parts), strict=True):
+            above |= {(row, c): b for c, b in zip(cells.tolist(), bits.tolist(), strict=True)}
+    estimated = {w: all(above[row, int(substring_dedup.cells(np.array([w], np.uint64), row, width)[0])] for row in range(substring_dedup.ROWS)) for w in true}
+    assert all(estimated[w] for w, n in true.items() if n > 1)
+    assert sum(estimated[w] for w, n in true.items() if n == 1) < 0.3 * sum(n == 1 for n in true.values())
