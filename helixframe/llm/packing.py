@@ -7,6 +7,9 @@
 4. The residual histogram is packed best-fit decreasing, whole groups of equal sequences at a time.
 5. The plan says for each length which ranks go to which sequence and offset; pieces are ranked
    within their length by salted groups (no task sees all pieces of a length) and look it up.
+6. A piece of ``limit`` tokens fills a sequence alone, so it needs no rank: it stays where it is and
+   gets a negative number, unique by the task that cut it and its place there.  Only shorter pieces are
+   shuffled.
 
 The plan has a size bound by ``limit``, not by the input.  Pieces with their ids are staged once in
 the shared folder, since histogram and ranking both read them.
@@ -23,6 +26,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,15 +34,18 @@ from pyspark.sql.types import StructType
 from . import common, vocab
 
 LIMIT = 2048
-#: Pieces of one length are ranked in so many groups; more for hotter lengths cost nothing.
-SALTS = 64
+#: Pieces of one length are ranked in groups by a salt; there are so many salts that a group has about
+#: SALT_ROWS pieces at most, should all pieces have one length.
+SALT_ROWS, LEAST_SALTS = 100_000, 16
+#: Bits of a piece's number within the task that cut it.
+PLACE_BITS = 36
 
 
 def _pieces(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = vocab.encoder(path)
+        tokenizer, here = vocab.encoder(path), TaskContext.get().partitionId() << PLACE_BITS
         for rows, _, _ in common.text_batches(batches):
-            taken, piece, start, length, ids = [], [], [], [], []
+            taken, piece, start, length, ids, number = [], [], [], [], [], []
             for at, x in enumerate(tokenizer.ids(rows.column("text").to_pylist())):
                 x += b"\0\0\0\0"
                 n = len(x) // 4
@@ -49,20 +56,23 @@ def _pieces(path: str, limit: int):
                     piece.append(k)
                     start.append(cuts[k])
                     length.append(cuts[k + 1] - cuts[k])
+                    here += 1
+                    number.append(-here if length[-1] == limit else here)
                     ids.append(x[4 * cuts[k] : 4 * cuts[k + 1]])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").take(pa.array(taken, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"],
+                [rows.column("doc_id").take(pa.array(taken, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(number, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids", "number"],
             )
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids) with ids as little-endian unsigned 32-bit numbers."""
+    """(doc_id, piece, start, length, ids, number) with ids as little-endian unsigned 32-bit numbers;
+    number is unique, negative for pieces of limit tokens and positive for others."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = named.schema["doc_id"].dataType.simpleString()
-    return named.mapInArrow(_pieces(tokenizer_path, limit), f"doc_id {id_type}, piece int, start long, length long, ids binary")
+    return named.mapInArrow(_pieces(tokenizer_path, limit), f"doc_id {id_type}, piece int, start long, length long, ids binary, number long")
 
 
 def patterns(lengths: np.ndarray, counts: np.ndarray, limit: int, per_length: int = 24) -> np.ndarray:
@@ -184,30 +194,20 @@ def _assign(table: pd.DataFrame, limit: int):
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset): each piece and its place."""
     cut = common.staged(pieces(docs, tokenizer_path, limit, id_col, text_col), "pieces")
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    sizes = salted.groupBy("length", "_salt").count().collect()  # at most limit * SALTS rows
-    by: dict[int, dict[int, int]] = {}
-    for r in sizes:
-        by.setdefault(r["length"], {})[r["_salt"]] = r["count"]
-    histogram = {size: sum(n.values()) for size, n in by.items()}
-    bases = np.zeros((limit + 1, SALTS), np.int64)
-    for size, n in by.items():
-        row = np.array([n.get(s, 0) for s in range(SALTS)])
-        bases[size] = np.cumsum(row) - row
-    table = plan(histogram, limit)
-    local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long") - 1
-    ranked = salted.withColumn("_local", local)
-    place = _assign(table, limit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def with_rank() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rank = bases[b.column("length").to_numpy(), b.column("_salt").to_numpy()] + b.column("_local").to_numpy()
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids")), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids", "rank"])
-
-        return place(with_rank())
-
-    return ranked.mapInArrow(run, StructType(list(cut.schema.fields)).add("sequence_id", "long").add("offset", "long"))
+    alone = cut.filter("number < 0").select("doc_id", "piece", "start", "length", "ids", F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = cut.filter("number > 0")
+    histogram = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}  # at most limit rows
+    salts = max(LEAST_SALTS, -(-sum(histogram.values()) // SALT_ROWS))
+    salted = short.withColumn("_salt", F.pmod(F.xxhash64("number"), F.lit(salts)))
+    group = Window.partitionBy("length", "_salt")
+    # the first rank of each group; the join deals by the groups that the window needs as well
+    sizes = salted.groupBy("length", "_salt").count()
+    bases = sizes.select(F.col("length"), F.col("_salt"), (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_base"))
+    local = F.row_number().over(group.orderBy("number")).cast("long") - 1
+    ranked = salted.withColumn("_local", local).join(bases.hint("merge"), ["length", "_salt"]).withColumn("rank", F.col("_base") + F.col("_local"))
+    kind = StructType(list(short.drop("number").schema.fields)).add("sequence_id", "long").add("offset", "long")
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids", "rank").mapInArrow(_assign(plan(histogram, limit), limit), kind)
+    return alone.unionByName(placed)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
