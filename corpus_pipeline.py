@@ -41,10 +41,20 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles of five words at 0.8, the document of least doc_id stays."""
-    groups = ngram_join.ngram_join(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked by shingles of five words at 0.8 one row stays: one of the least doc_id.
+    Rows without a doc_id or a word stay.  Only keys of rows are grouped, the texts are dealt out once."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    groups = common.staged(ngram_join.ngram_join(docs, k=NEAR_WORDS, percent=NEAR_PERCENT, key=key).filter("group_id IS NOT NULL").select("group_id", "doc_id", "row_key"), "groups")
+    first = groups.groupBy("group_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    kept_key = common.staged(first.select("group_id", F.col("first.row_key").alias("kept_key")), "kept")
+    gone = groups.join(kept_key.hint("merge"), "group_id").filter("row_key <> kept_key").select("row_key").distinct()
+    stay = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("r")).join(gone, F.col("_key") == F.col("row_key"), "left_anti")
+    # rows that repeat both doc_id and text share a key: one of them stays
+    twice = groups.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key")
+    if twice.limit(1).count():
+        same = F.col("_key") == F.col("row_key")
+        stay = stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates(["_key"]))
+    return stay.select("r.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every round is a shuffle by node and a window minimum; edges are staged in the shared folder, never
-collected.  The number of rounds grows with the logarithm of the longest path.
+Every round takes the least neighbour of each node by a partially aggregated groupBy, writes that
+small table, and joins it back to the edges: a hub's edges are a splittable side of that join.
+Edges are staged in the shared folder, never collected; superseded rounds are deleted.  The number
+of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,16 +19,21 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """edges with m, the least b of each a; the table of m is written, so that the join deals out
+    both sides anew and adaptive execution can split a hub's edges."""
+    least = common.staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    return edges.join(least.hint("merge"), "a")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    return both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    starred = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    moved = starred.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+    moved = _least(down).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
     return moved.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct()
 
 
@@ -35,7 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.staged(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = common.staged(_small_star(_large_star(edges)), "edges")
+        large = common.staged(_large_star(edges), "edges")
+        common.discard(edges)
+        edges = common.staged(_small_star(large), "edges")
+        common.discard(large)
         was, mark = mark, _mark(edges)
         if mark == was:
             break

@@ -1,10 +1,11 @@
 """Operator 1, n-gram Jaccard join: T-occurrence search over inverted lists with DivideSkip.
 
 1. Every text becomes its set of 64-bit shingle hashes; documents of equal sets form a class
-   (copies are never compared with each other).
+   (copies are never compared with each other).  All steps are keyed by class, doc_ids come in last.
 2. Blocking without loss: sets of nearly equal size whose Jaccard similarity reaches the threshold
    differ in at most H shingles, so of P > H parts of the hash space some part is equal in both.
-   Each class emits one signature per part.  Classes that share a signature are candidates; a parity
+   Each class emits one signature per part; they travel packed, several bytes each, and only those that
+   classes share go on.  Classes that share a signature are candidates; a parity
    bitmap of each set bounds the number of shingles in which two sets differ from below, and
    candidates that this bound allows fall into one block (connected components).  So documents that
    share a passage but are not alike stay apart.
@@ -23,10 +24,11 @@ with more empty parts also emits the shingles of its prefix (the least hashes of
 documents must share one), which keeps the blocking exact.
 
 Cases: a null or empty text, or one without words, has no shingles and links with nothing.  A text
-of fewer than k words has its whole sequence as one shingle.  Repeated rows of one doc_id give one
-row each.  A row with a null doc_id links with nothing and has a null component.  Empty tables give
+of fewer than k words has its whole sequence as one shingle.  Repeated rows give one row each, and so
+do rows that repeat a doc_id with another text; each has the component of its own text.  A row with a null doc_id links with nothing and has a null component.  Empty tables give
 empty results; only doc_id and text are read.  Equal 64-bit hashes of different shingles are taken
-as equal (about n^2 / 2^65 for n distinct shingles of two documents under comparison).
+as equal (about n^2 / 2^65 for n distinct shingles of two documents under comparison), and so are
+sets of equal 64-bit digests.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,8 +50,12 @@ from .components import components
 _U = np.uint64
 #: Shingles of a block that one task indexes (8 bytes each, and about twice that for the index).
 MAX_BLOCK = 4_000_000
-#: Signature rows that a map task gathers before it emits them.
-EMIT_ROWS = 500_000
+#: Signatures that a map task gathers before it emits them, packed by bucket.
+EMIT_ROWS = 2_000_000
+#: A bucket of signatures, which one task sorts, holds about so many; at first there are more buckets
+#: of fewer, so that small inputs are spread too.
+BUCKET_ROWS, FIRST_ROWS, FIRST_BUCKETS = 4_000_000, 250_000, 4_096
+MARK_BYTES = 5
 #: Weight of a probe against a heap step in the choice of L.
 MU = 0.0085
 
@@ -234,6 +240,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _class_of(digest: bytes | None) -> int:
+    """Number of a class of equal sets: 64 bits of the set's digest."""
+    return int.from_bytes(digest[:8], "little", signed=True) if digest else 0
+
+
 def _digests(shingles: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     raw, cut = memoryview(shingles.view(np.uint8)), (8 * bounds).tolist()
     return [xxhash.xxh3_128_digest(raw[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -343,24 +354,39 @@ def _describe(k: int):
             shingles, bounds = shingle_sets(data, offsets, k)
             digests = _digests(shingles, bounds)
             parity = pa.array(parities(shingles, bounds), pa.binary())
-            blocking = pa.array([int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digests, pa.binary()), blocking, parity], ["doc_id", "n_shingles", "digest", "class_id", "parity"])
+            classes = pa.array([_class_of(d) if d else None for d in digests], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row_key"), pa.array(np.diff(bounds)), classes, parity], ["doc_id", "row_key", "n_shingles", "class_id", "parity"])
 
     return run
 
 
-def _sign(k: int, percent: int):
+def _sign(k: int, percent: int, buckets: int):
+    """Packed signatures: rows (bucket, owners, counts, marks), owners[i] having the next counts[i]
+    of the marks, the low 40 bits of signatures that fall into the bucket.  A mark stands for its
+    signature: should two of one bucket coincide, a candidate more is looked at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocking, seen, held, rows_held = Blocking(percent), set(), [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
             s, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            for at in range(0, len(s), 100_000):
-                yield pa.RecordBatch.from_arrays([_signed(s[at : at + 100_000]), pa.array(c[at : at + 100_000])], ["signature", "class_id"])
+            bucket = ((s >> _U(32)) % _U(buckets)).astype(np.int64)
+            order = np.lexsort((c, bucket))
+            s, c, bucket = s[order], c[order], bucket[order]
+            head = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1])))
+            first = np.flatnonzero(head)
+            counts = np.diff(np.append(first, len(s))).astype(np.uint32)
+            marks = mix_marks(s)
+            per, bounds = common.runs_by(bucket[first])
+            owners, sizes = common.slices(memoryview(c[first].view(np.uint8)), bounds, 8), common.slices(memoryview(counts.view(np.uint8)), bounds, 4)
+            packed = common.slices(memoryview(marks), np.append(first[per], len(s)), MARK_BYTES)
+            for at in range(0, len(per), 2_000):
+                z = slice(at, at + 2_000)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first[per[z]]]), *(pa.array(x[z], pa.binary()) for x in (owners, sizes, packed))], ["bucket", "owners", "counts", "marks"])
 
         for _, data, offsets in common.text_batches(batches):
             shingles, bounds = shingle_sets(data, offsets, k)
-            classes = np.array([int.from_bytes(d[:8], "little", signed=True) if d else 0 for d in _digests(shingles, bounds)], np.int64)
+            classes = np.array([_class_of(d) for d in _digests(shingles, bounds)], np.int64)
             new = []  # copies within a task sign once
             for i, c in enumerate(classes.tolist()):
                 if bounds[i + 1] > bounds[i] and c not in seen:
@@ -384,82 +410,159 @@ def _sign(k: int, percent: int):
     return run
 
 
+def mix_marks(s: np.ndarray) -> np.ndarray:
+    """The low MARK_BYTES bytes of each number, one after another."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :MARK_BYTES]).ravel()
+
+
+def _wide(marks: bytes) -> np.ndarray:
+    x = np.zeros((len(marks) // MARK_BYTES, 8), np.uint8)
+    x[:, :MARK_BYTES] = np.frombuffer(marks, np.uint8).reshape(-1, MARK_BYTES)
+    return x.view("<u8").ravel()
+
+
+def repeated(marks: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, owner): owners that share a mark, each once a mark; of marks with the same set of
+    owners one is enough."""
+    order = np.lexsort((owners, marks))
+    m, c = marks[order], owners[order]
+    new = np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])))
+    m, c = m[new], c[new]
+    first, bounds = common.runs_by(m)
+    sizes = np.diff(bounds)
+    mixed = common.mix64(c.view(_U))
+    names = np.stack([np.add.reduceat(mixed, first), np.bitwise_xor.reduceat(common.mix64(mixed + _U(1)), first), sizes.astype(_U)], 1)
+    many = np.flatnonzero(sizes > 1)
+    if not len(many):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, keep = np.unique(names[many], axis=0, return_index=True)
+    keep = np.sort(many[keep])
+    group = np.repeat(np.arange(len(keep)), sizes[keep])
+    at = np.repeat(first[keep] - (np.cumsum(sizes[keep]) - sizes[keep]), sizes[keep]) + np.arange(len(group))
+    return m[first[keep]].view(np.int64)[group], c[at]
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed signatures sorted by bucket -> (signature, class_id) of those that classes share."""
+    key, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        marks = np.concatenate([_wide(m) for _, _, m in held])
+        owners = np.concatenate([np.repeat(np.frombuffer(o, np.int64), np.frombuffer(n, np.uint32)) for o, n, _ in held])
+        group, owner = repeated(marks, owners)
+        name = common.mix64(group.view(_U) ^ common.mix64(np.full(len(group), key, _U))).view(np.int64)
+        for at in range(0, len(name), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(name[at : at + 100_000]), pa.array(owner[at : at + 100_000])], ["signature", "class_id"])
+
+    for b in batches:
+        for bucket, *parts in zip(*(b.column(c).to_pylist() for c in ("bucket", "owners", "counts", "marks")), strict=True):
+            if bucket != key:
+                if held:
+                    yield from done()
+                key, held = bucket, []
+            held.append(parts)
+    if held:
+        yield from done()
+
+
 def _reshingle(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.text_batches(batches):
             shingles, bounds = shingle_sets(data, offsets, k)
-            digests, wanted = _digests(shingles, bounds), rows.column("digest").to_pylist()
-            keep = pa.array([i for i, (d, w) in enumerate(zip(digests, wanted, strict=True)) if d == w], pa.int64())
+            classes, wanted = [_class_of(d) for d in _digests(shingles, bounds)], rows.column("class_id").to_pylist()
+            # a doc_id may repeat with another text: only the text of the wanted class goes on
+            keep = pa.array([i for i, (d, w) in enumerate(zip(classes, wanted, strict=True)) if d == w], pa.int64())
             raw, cut = shingles.tobytes(), (8 * bounds).tolist()
             sets = pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()).take(keep)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(keep) for c in ("doc_id", "digest", "block", "slice")), sets], ["doc_id", "digest", "block", "slice", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(keep) for c in ("doc_id", "class_id", "block", "slice")), sets], ["doc_id", "class_id", "block", "slice", "shingles"])
 
     return run
 
 
 def _link(percent: int):
+    """Sets sorted by block and slice -> (class, first class of its component)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sets, digests = None, [], [], set()
+        key, classes, sets, seen = None, [], [], set()
 
         def done() -> Iterator[tuple[int, int]]:
-            if len(docs) > 1:
-                for d, first in zip(docs, link_block(sets, percent), strict=True):
-                    yield d, docs[first]
+            if len(classes) > 1:
+                for c, first in zip(classes, link_block(sets, percent), strict=True):
+                    if c != classes[first]:
+                        yield c, classes[first]
 
         def rows(b: pa.RecordBatch):
-            return zip(*(b.column(c).to_pylist() for c in ("block", "slice", "doc_id", "digest", "shingles")), strict=True)
+            return zip(*(b.column(c).to_pylist() for c in ("block", "slice", "class_id", "shingles")), strict=True)
+
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
         for b in batches:
-            out = []
-            for block, part, doc, digest, shingles in rows(b):
+            found = []
+            for block, part, c, shingles in rows(b):
                 if (block, part) != key:
-                    out += done()
-                    key, docs, sets, digests = (block, part), [], [], set()
-                if digest not in digests:  # rows sorted by doc_id: labels are the least of a component
-                    digests.add(digest)
-                    docs.append(doc)
+                    found += done()
+                    key, classes, sets, seen = (block, part), [], [], set()
+                if c not in seen:  # repeated rows bring a class more than once
+                    seen.add(c)
+                    classes.append(c)
                     sets.append(np.frombuffer(shingles, _U))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-        out = list(done())
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            if found:
+                yield out(found)
+        yield out(list(done()))
 
     return run
 
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the least doc_id that links lead to."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = common.staged(named.mapInArrow(_describe(k), "doc_id long, n_shingles long, digest binary, class_id long, parity binary"), "shingled")
+def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, group_id, row_key) of every row: the least doc_id that links
+    lead to; the group of linked texts, which tells apart groups that a repeated doc_id names alike
+    (null for rows that link with nothing by definition); and the value of `key` for the row."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None) if key is None else key).cast("long").alias("row_key"))
+    described = common.staged(named.mapInArrow(_describe(k), "doc_id long, row_key long, n_shingles long, class_id long, parity binary"), "shingled")
+    named = named.drop("row_key")
     linkable = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("class_id").alias("class_id"), F.first("parity").alias("parity"))
+    classes = linkable.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.count("*").alias("rows"))
 
-    signed = named.filter("doc_id IS NOT NULL").select("text").mapInArrow(_sign(k, percent), "signature long, class_id long")
-    shared = signed.withColumn("_n", F.count("*").over(Window.partitionBy("signature"))).filter("_n > 1").select("signature", "class_id")
+    # about 0.5 to 0.7 signatures a shingle at the usual thresholds
+    expected = (linkable.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * (100 - percent) // percent
+    buckets = max(1, -(-expected // BUCKET_ROWS), min(FIRST_BUCKETS, -(-expected // FIRST_ROWS)))
+    signed = named.filter("doc_id IS NOT NULL").select("text").mapInArrow(_sign(k, percent, buckets), "bucket long, owners binary, counts binary, marks binary")
+    shared = signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "signature long, class_id long")
     known = classes.select("class_id", "n", "parity")
     mapped = shared.join(known.hint("merge"), "class_id").select("signature", "class_id", "n", "parity")
     near = mapped.repartition("signature").sortWithinPartitions("signature", "class_id").mapInArrow(_cluster(percent), "a long, b long")
-    blocks = components(near)
+    blocks = components(near).select(F.col("node").alias("class_id"), F.col("component").alias("block"))
 
-    member = classes.join(blocks, classes["class_id"] == blocks["node"]).select("first_doc", "digest", "n", F.col("component").alias("block"))
-    weight = F.sum("n").over(Window.partitionBy("block"))
-    slices = F.when(weight > MAX_BLOCK, F.ceil(weight * 2 / MAX_BLOCK)).otherwise(1).cast("int")
-    member = member.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("first_doc"), "slices").cast("int"))
+    member = common.staged(classes.drop("parity").join(blocks.hint("merge"), "class_id"), "members")
+    weights = member.groupBy("block").agg(F.sum("n").alias("weight"))
+    slices = F.when(F.col("weight") > MAX_BLOCK, F.ceil(F.col("weight") * 2 / MAX_BLOCK)).otherwise(1).cast("int")
+    placed = member.join(weights, "block").withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("class_id"), "slices").cast("int"))
     # slice i is compared within the blocks (i, j) and (j, i); one block of all where slices = 1
     pairs = F.expr("CASE WHEN slices = 1 THEN array(-1L) ELSE transform(filter(sequence(0, slices - 1), j -> j <> own), j -> least(own, j) * 1000000L + greatest(own, j)) END")
-    member = common.staged(member.select("first_doc", "digest", "block", pairs.alias("parts")), "members")
+    placed = placed.select("first_doc", "class_id", "block", pairs.alias("parts"))
 
     # always by shuffle: the members grow with the input
-    placed = named.join(member.hint("merge"), named["doc_id"] == member["first_doc"]).select("doc_id", "text", "digest", "block", F.explode("parts").alias("slice"))
-    sets = placed.mapInArrow(_reshingle(k), "doc_id long, digest binary, block long, slice long, shingles binary")
-    ordered = sets.repartition("block", "slice").sortWithinPartitions("block", "slice", "doc_id")
+    texts = named.join(placed.hint("merge"), named["doc_id"] == placed["first_doc"]).select("doc_id", "text", "class_id", "block", F.explode("parts").alias("slice"))
+    sets = texts.mapInArrow(_reshingle(k), "doc_id long, class_id long, block long, slice long, shingles binary")
+    ordered = sets.repartition("block", "slice").sortWithinPartitions("block", "slice", "doc_id", "class_id")
     links = common.staged(ordered.mapInArrow(_link(percent), "a long, b long"), "links")
-    if member.filter("parts[0] >= 0").limit(1).count():
+    if placed.filter("parts[0] >= 0").limit(1).count():
         links = components(links).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labelled = classes.join(links, classes["first_doc"] == links["a"], "left").select("digest", F.coalesce("b", "first_doc").alias("component_id"))
-    own = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return described.join(labelled, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    # a component's name is the least doc_id of its classes
+    root = links.select(F.col("a").alias("class_id"), F.col("b").alias("root")).union(links.select("b", "b")).distinct()
+    rooted = root.join(member.select("class_id", "first_doc"), "class_id")
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    linked = rooted.join(least, "root").select("class_id", "component_id", "root")
+    # labels of classes that have links or copies; any other row stands alone
+    copies = classes.filter("rows > 1").select("class_id", "first_doc")
+    both = copies.join(linked.hint("merge"), "class_id", "full").select("class_id", F.coalesce("component_id", "first_doc").alias("component_id"), "root")
+    labels = common.staged(both, "labels")  # written, so that the join can split a class of many copies
+    found = described.drop("parity").join(labels.hint("merge"), "class_id", "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    own = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.when(~alone, F.coalesce("root", "class_id")).alias("group_id"), "row_key")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(common.documents(spark, sf_dir), k=4, percent=85)
+    return ngram_join(common.documents(spark, sf_dir), k=4, percent=85).drop("group_id", "row_key")
