@@ -208,23 +208,35 @@ def test_packing(spark, mixed):
 
 
 def test_training_order(spark, mixed, tmp_path, monkeypatch):
+    """Slots are those of one permutation of all reserved places; reading goes on across shards."""
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(training_order, "SHARD_DOCUMENTS", 50)
+    monkeypatch.setattr(training_order, "SHARD_RANKS", 300)
     for n in (1, 2, 3, 100, 4097):
         assert sorted(training_order.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
-    folder = f"file://{tmp_path}/shards"
-    manifest = training_order.materialise(table(spark, mixed), P.path("byte_bpe_50k.json"), folder, sequence=32).collect()
-    assert sorted(r.slot for r in manifest) == list(range(len(manifest)))
-    library, got = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}
-    for s in {r.shard for r in manifest}:
-        for x in training_order.read_from(folder, s, sequence=32):
-            got.setdefault(int(x["doc_id"]), {})[int(x["piece"])] = x["ids"][: x["length"]].tolist()
-    for i, t in enumerate(mixed):
-        assert sum((got[i][k] for k in sorted(got[i])), []) == library.encode(t or "", add_special_tokens=False).ids + [0]
-    r = manifest[3]
-    x = training_order.read_from(folder, r.shard, r.shard_slot, sequence=32)[0]
-    assert zlib.crc32(x.tobytes()) == r.record_crc32
+    folder, key = f"file://{tmp_path}/shards", 77
+    rows = [*enumerate(mixed), (0, mixed[0]), (None, "no id at all")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").selectExpr("*", "1 AS part", "'x' AS shard")
+    manifest = training_order.materialise(docs, P.path("byte_bpe_50k.json"), folder, sequence=32, key=key).collect()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    places, at = [], 0  # brute force: places in the order of the input's rows, then one permutation
+    for doc, text in [(r.doc_id, r.text) for r in sorted(docs.selectExpr("doc_id", "text", "spark_partition_id() AS p", "monotonically_increasing_id() AS m").collect(), key=lambda r: r.m)]:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        places += [(at + k, -(2**63) if doc is None else doc, k, ids[32 * k : 32 * k + 32]) for k in range(-(-len(ids) // 32))]
+        at += -(-(len((text or "").encode()) + 1) // 32)
+    rank = training_order.feistel(np.array([p[0] for p in places]), at, key)
+    want = [places[i][1:] for i in np.argsort(rank)]
+    assert [(r.doc_id, r.piece) for r in sorted(manifest, key=lambda r: r.slot)] == [w[:2] for w in want]
+    assert sorted(r.slot for r in manifest) == list(range(len(want)))
+    shards = sorted({r.shard for r in manifest})
+    assert len(shards) > 3
+    resume = next(r for r in manifest if r.slot == len(want) // 2)
+    read = [x for s in shards if s >= resume.shard for x in training_order.read_from(folder, s, resume.shard_slot if s == resume.shard else 0, sequence=32)]
+    assert [(int(x["doc_id"]), int(x["piece"]), x["ids"][: x["length"]].tolist()) for x in read] == want[len(want) // 2 :]
+    for r in manifest[:5]:
+        x = training_order.read_from(folder, r.shard, r.shard_slot, sequence=32)[0]
+        assert zlib.crc32(x.tobytes()) == r.record_crc32 and r.byte_offset == r.shard_slot * x.nbytes
 
 
 def test_class_lm(spark, mixed, monkeypatch):
