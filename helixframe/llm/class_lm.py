@@ -360,6 +360,19 @@ def _total(end: int, step: np.ndarray, size_log: np.ndarray):
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows (word, c, ...) of the most frequent words, `most` of them at most: those above a floor
+    that the histogram of counts gives.  So no more than these rows ever go to the driver."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")  # steps of about 4 %
+    left, floor = most, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 16 * 64 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        floor = r["level"]
+    return counts.filter(level >= floor if floor is not None else F.lit(False))
+
+
 def score_documents(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row.
 
@@ -372,7 +385,7 @@ def score_documents(docs: DataFrame, training: Column | None = None, id_col: str
     counts = common.staged(counted, "words")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    table = counts.orderBy(F.desc("c"), "word").limit(CLUSTER_WORDS).collect()
+    table = sorted(most_frequent(counts, CLUSTER_WORDS).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     top = {bytes(r["word"]): r["c"] for r in table}
     if END not in top:  # more frequent words than documents: the end still is a unit
         top[END] = (counts.filter(F.col("word") == END).first() or {"c": 0})["c"]
@@ -393,7 +406,7 @@ def score_documents(docs: DataFrame, training: Column | None = None, id_col: str
     size = np.full(CLASSES, UNSEEN)
     for r in classed.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         size[r["class"]] += r["n"] + UNSEEN * r["v"]
-    table = classed.orderBy(F.desc("c"), "word").limit(MAP_WORDS).collect()  # at most MAP_WORDS rows
+    table = most_frequent(classed, MAP_WORDS).collect()  # at most MAP_WORDS rows
     words, word_counts, word_class = [bytes(r["word"]) for r in table], np.array([r["c"] for r in table], np.int64), np.array([r["class"] for r in table], np.int64)
 
     base_log = float(np.log10(n + ADD * (v + 1)))
