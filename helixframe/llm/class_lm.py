@@ -1,34 +1,34 @@
 """Operator 5, LM scoring: Brown class-based bigrams with classes from exchange clustering.
 
-1. Word counts over all training documents (a shuffled table of any size).
-2. Units: the CLUSTER_WORDS most frequent words, SUFFIX_BUCKETS buckets by a hash of the last three
-   bytes for all other words, and the end of a text.  Their bigrams over all training documents are
-   counted into a matrix of fixed size.
-3. Exchange clustering on that matrix: each unit moves to the class that raises the likelihood of
-   the class bigrams most, until no unit moves or SWEEPS sweeps are done.
-4. Every other training word, of any count, gets a class of its own: a shuffled table holds its counts
-   of following and preceding classes (those of step 3), and it joins the class that makes them most
-   likely, its own counts left out of its bucket's class.  A bucket gives a class only to words that
-   no training document has.
-5. All documents become sequences of final classes: the classes of the MAP_WORDS most frequent words
-   are shipped as a table of that bound, all others are joined, one row for each document and word.
-   The class bigrams of the training documents are counted again on these sequences.
+Tokens are the words of a text in lower case (A-Z only) and one end.  Words are 64-bit hashes, and
+all tables of words are packed: a row holds a bucket of words as sorted arrays, so the vocabulary may
+have any size and no word table goes to the driver.
+
+1. Word counts over all training documents.
+2. Units: the CLUSTER_WORDS most frequent words, the end, and one unit for all other words.  Their
+   bigrams over all training documents are counted.
+3. Exchange clustering on these: each unit moves to the class that raises the likelihood of the class
+   bigrams most, until no unit moves or SWEEPS sweeps are done.
+4. Exchange for every other training word, in one distributed pass: its counts of following and
+   preceding classes over all training documents decide which class makes them most likely, its own
+   counts left out of the class of the common unit.
+5. All documents become sequences of final classes.  They are dealt into chunks by a hash; a chunk asks
+   for its distinct words, once each, and gets back their counts and classes.  The class bigrams of
+   the training documents are counted again on these sequences.
 6. log P(text) = sum of log P(class | previous class) + log P(word | class); transitions are smoothed
-   towards class frequencies, words by UNSEEN counts for each word of a class and one unseen one.
-
-Tokens are the words of the text in lower case (A-Z only) and one end.
+   towards class frequencies, words by UNSEEN counts for each word of a class and one unseen one.  A
+   word without a training document has the class of the common unit.
 
 Cases: a null or empty text is its end token alone.  A null doc_id counts as not held out.  Repeated
 rows count as often as they occur and give one row each.  An empty table gives an empty result;
-without training documents every token is unseen.  Only doc_id and text are read.
+without training documents every token is unseen.  Only doc_id and text are read.  Equal 64-bit
+hashes of different words are taken as equal; classes are found by 57 bits of them.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,103 +37,157 @@ from pyspark.sql import functions as F
 
 from . import common
 
+_U = np.uint64
 FOLDS, ADD = 10, 0.1
-CLUSTER_WORDS, SUFFIX_BUCKETS, MAP_WORDS = 1000, 128, 150_000
-CLASSES, SWEEPS = 48, 6
+CLUSTER_WORDS, CLASSES, SWEEPS = 2000, 48, 6
 PRIOR, UNSEEN = 20.0, 0.5
-#: Distinct words that a map task counts before it emits them.
-FLUSH_WORDS = 400_000
-END = b""
+#: Tokens that a map task gathers before it counts and emits them.
+FLUSH_TOKENS = 2_000_000
+#: Text of a chunk, and of the share of all words that one bucket holds.
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+PAIR_BUCKETS = 64
+END = _U(0x00E4D0F7E8700000)
+_CLASS_BITS = _U(7)  # a preceding class is 64 more than a following one
+_BEFORE = 64
+PACKED = "bucket long, keys binary, counts binary"
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words of a text and its end; on bytes, only A-Z change and only ASCII space splits."""
-    words = text.encode().lower().split() if text else []
-    words.append(END)
-    return words
+def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, bounds): document i has tokens[bounds[i]:bounds[i+1]], the last of them its end."""
+    words, firsts = common.word_hashes(data, offsets, lower=True)
+    return np.insert(words, firsts[1:], END), firsts + np.arange(len(firsts))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> _U(32)) % _U(buckets)).astype(np.int64)
+
 
+def packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Ascending keys and their counts as rows of PACKED."""
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    heads, bounds = common.runs_by(bucket[order])
+    k = common.slices(memoryview(keys[order].view(np.uint8)), bounds, 8)
+    n = common.slices(memoryview(counts[order].astype(np.int64).view(np.uint8)), bounds, 8)
+    for at in range(0, len(heads), 1_000):
+        z = slice(at, at + 1_000)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[heads[z]]]), pa.array(k[z], pa.binary()), pa.array(n[z], pa.binary())], ["bucket", "keys", "counts"])
+
+
+def _emitter(keys_of, buckets: int):
+    """mapInArrow function that counts the keys keys_of(tokens, bounds) of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, data, offsets in common.text_batches(batches):
+            held.append(keys_of(*token_hashes(data, offsets)))
+            n += len(held[-1])
+            if n >= FLUSH_TOKENS:
+                yield from packed(*np.unique(np.concatenate(held), return_counts=True), buckets)
+                held, n = [], 0
+        if n:
+            yield from packed(*np.unique(np.concatenate(held), return_counts=True), buckets)
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % SUFFIX_BUCKETS
+    return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, ascending keys, summed counts) of rows of PACKED that are sorted by bucket."""
+    bucket, held = None, []
 
-    def emit() -> Iterator[pa.RecordBatch]:
-        words, n = list(counts), list(counts.values())
-        for at in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(n[at : at + 50_000], pa.int64())], ["word", "n"])
+    def merged() -> tuple[int, np.ndarray, np.ndarray]:
+        k, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (_U, np.int64), strict=True))
+        order = np.argsort(k, kind="stable")
+        first, _ = common.runs_by(k[order])
+        return bucket, k[order][first], np.add.reduceat(n[order], first)
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > FLUSH_WORDS:
-                yield from emit()
-                counts.clear()
-    yield from emit()
+        for key, *part in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
+            if key != bucket:
+                if held:
+                    yield merged()
+                bucket, held = key, []
+            held.append(part)
+    if held:
+        yield merged()
 
 
-class Units:
-    """Unit number of any word: frequent words first, then buckets, then the end."""
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, k, n in by_bucket(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([k.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["bucket", "keys", "counts"])
 
-    def __init__(self, frequent: list[bytes]) -> None:
-        self.words = {w: i for i, w in enumerate(w for w in frequent if w != END)}
-        self.first_bucket = len(self.words)
-        self.end = self.first_bucket + SUFFIX_BUCKETS
-        self.n = self.end + 1
 
-    def of(self, word: bytes) -> int:
-        u = self.words.get(word)
-        return u if u is not None else self.end if word == END else self.first_bucket + bucket(word)
+def _summed(df: DataFrame) -> DataFrame:
+    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum, PACKED)
 
 
-def _bigrams(units: Units):
-    """Rows (previous unit, counts of the following ones as raw 64-bit numbers), one a task and unit."""
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Steps of about 4 % of a count."""
+    return np.floor(np.log2(counts) * 16).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(units.n * units.n, np.int64)
-        held: list[int] = []
 
-        def add() -> None:
-            u = np.array(held, np.int64)
-            before = np.concatenate(([units.end], u[:-1]))  # the end also stands before a text
-            table[:] += np.bincount(before * units.n + u, minlength=len(table))
-            held.clear()
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(level, words, tokens) of packed counts."""
+    for b in batches:
+        n = np.frombuffer(b"".join(b.column("counts").to_pylist()), np.int64)
+        level, at, words = np.unique(_level(n), return_inverse=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(words), pa.array(np.bincount(at, n, len(level)).astype(np.int64))], ["level", "words", "tokens"])
+
 
-        known: dict[bytes, int] = {}
-        get, of = known.get, units.of
+def _above(floor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column("text").to_pylist():
-                for w in tokens(text):
-                    u = get(w)
-                    if u is None:
-                        u = known[w] = of(w)
-                    held.append(u)
-                if len(known) > FLUSH_WORDS:
-                    known.clear()
-                if len(held) > 2_000_000:
-                    add()
-        if held:
-            add()
-        rows = table.reshape(units.n, units.n)
-        some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["before", "counts"])
+            k, n = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind) for c, kind in (("keys", np.int64), ("counts", np.int64)))
+            keep = (_level(n) >= floor) | (k == np.int64(END))
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(n[keep])], ["key", "c"])
 
     return run
 
 
-def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for before, raw in zip(b.column("before").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(raw, np.int64)
-            sums[before] = sums[before] + x if before in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["before", "counts"])
+class Units(NamedTuple):
+    """Frequent words and the end, ascending, with their counts; the unit after them is all others."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.keys) + 1
+
+    @property
+    def end(self) -> int:
+        return int(np.searchsorted(self.keys, END))
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+        return np.where(self.keys[at] == tokens, at, len(self.keys))
+
+
+def _pairs(units: Units):
+    def keys_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        # the end also stands before a text, so texts follow each other
+        u = units.of(tokens)
+        return (np.concatenate(([units.end], u[:-1])) * units.n + u).astype(_U) << _U(32)  # the bits that deal to buckets
+
+    return keys_of
+
+
+def _contexts(units: Units, of: np.ndarray):
+    """Keys of words that are no units: 57 bits of the word, and a class that follows or precedes it."""
+
+    def keys_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        u = units.of(tokens)
+        c = of[u]
+        at = np.flatnonzero(u == units.n - 1)
+        word = tokens[at] >> _CLASS_BITS << _CLASS_BITS
+        before = np.where(at > 0, c[at - 1], of[units.end])
+        return np.concatenate((word | c[at + 1].astype(_U), word | (before + _BEFORE).astype(_U)))
+
+    return keys_of
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -188,51 +242,10 @@ def transitions(f: np.ndarray) -> np.ndarray:
     return np.log10((f + PRIOR * share) / (f.sum(1, keepdims=True) + PRIOR))
 
 
-def _contexts(units: Units, of: np.ndarray):
-    """Rows (word, class of its bucket, counts of the classes next to it) of the words that are no
-    units; a count is packed as 256 * count + class, CLASSES added to a preceding class."""
-    empty = {**units.words, END: units.end}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, words, own, held = dict(empty), [], [], []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            x = np.array(held, np.int64)
-            c = np.concatenate((of, np.array(own, np.int64)))[x]
-            before, after = np.concatenate((of[[units.end]], c[:-1])), np.concatenate((c[1:], of[[units.end]]))
-            at = np.flatnonzero(x >= units.n)
-            first = (x[at] - units.n) * 256
-            keys, n = np.unique(np.concatenate((first + after[at], first + CLASSES + before[at])), return_counts=True)
-            cuts = 8 * np.searchsorted(keys, 256 * np.arange(len(words) + 1))
-            raw = (n * 256 + keys % 256).tobytes()
-            for k in range(0, len(words), 50_000):
-                part = [raw[i:j] for i, j in zip(cuts[k : k + 50_000].tolist(), cuts[k + 1 : k + 50_001].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.binary()), pa.array(own[k : k + 50_000], pa.int32()), pa.array(part, pa.binary())], ["word", "own", "near"])
-
-        get = code.get
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                for w in tokens(text):
-                    u = get(w)
-                    if u is None:
-                        u = code[w] = units.n + len(words)
-                        words.append(w)
-                        own.append(of[units.of(w)])
-                    held.append(u)
-                if len(held) > 2_000_000 or len(words) > FLUSH_WORDS:
-                    yield from emit()
-                    words, own, held = [], [], []
-                    code.clear()
-                    code.update(empty)
-        if words:
-            yield from emit()
-
-    return run
-
-
 def best_classes(f: np.ndarray, word: np.ndarray, near: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Class of each word under the class bigrams f.  Entry i says that word[i] (ascending) has the
-    class near[i] next to it n[i] times; own is the class in which f holds the word's counts."""
+    class near[i] (+ len(f): before it) next to it n[i] times; own is the class in which f holds the
+    word's counts."""
     sides = []
     for g in (f, f.T):
         prior = PRIOR * (g.sum(0) + 0.5) / (g.sum() + 0.5 * len(g))
@@ -251,194 +264,226 @@ def best_classes(f: np.ndarray, word: np.ndarray, near: np.ndarray, n: np.ndarra
     return gain.argmax(1)
 
 
-def _assign(f: np.ndarray):
-    """Rows (word, count, class) of rows of _contexts that are sorted by word."""
+CLASSED = "bucket long, keys binary, classes binary, sizes binary"
+
+
+def _assign(f: np.ndarray, own: int):
+    """Packed contexts sorted by bucket -> words and their classes; sizes: tokens and words by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
-            words = [w for i, (w, *_) in enumerate(rows) if not i or w != rows[i - 1][0]]
-            new = [not i or w != rows[i - 1][0] for i, (w, *_) in enumerate(rows)]
-            place = np.cumsum(new) - 1
-            own = np.array([r[1] for r in rows], np.int64)[np.flatnonzero(new)]
-            x = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-            keys, at = np.unique(np.repeat(place, [len(r[2]) // 8 for r in rows]) * 256 + x % 256, return_inverse=True)
-            n = np.bincount(at, x // 256)
-            word, near = keys // 256, keys % 256
-            c = np.bincount(word, np.where(near >= CLASSES, n, 0)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(best_classes(f, word, near, n, own), pa.int32())], ["word", "c", "class"])
-
-        held: list[tuple[bytes, int, bytes]] = []
-        for b in batches:
-            held.extend(zip(*(b.column(k).to_pylist() for k in ("word", "own", "near")), strict=True))
-            last = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
-            if last:  # the last word can go on in the next batch
-                yield out(held[:last])
-                held = held[last:]
-        if held:
-            yield out(held)
+        for bucket, key, n in by_bucket(batches):
+            words, word = np.unique(key >> _CLASS_BITS, return_inverse=True)
+            near = (key & _U(127)).astype(np.int64)
+            preceding = near >= _BEFORE
+            near = np.where(preceding, near - _BEFORE + len(f), near)
+            count = np.bincount(word, np.where(preceding, n, 0))
+            c = best_classes(f, word, near, n, np.full(len(words), own))
+            sizes = np.concatenate((np.bincount(c, count, len(f)), np.bincount(c, minlength=len(f))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket]), *(pa.array([x], pa.binary()) for x in ((words << _CLASS_BITS).tobytes(), c.astype(np.uint8).tobytes(), sizes.tobytes()))],
+                ["bucket", "keys", "classes", "sizes"],
+            )
+
+    return run
+
+
+def _class_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(2 * CLASSES)
+    for b in batches:
+        for raw in b.column("sizes").to_pylist():
+            total += np.frombuffer(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total[:CLASSES]), pa.array(total[CLASSES:])], ["class", "n", "v"])
+
+
+class Model(NamedTuple):
+    tokens: int
+    words: int
+    units: Units
+    of: np.ndarray  # class of each unit, the last that of all other words without a training document
+    size: np.ndarray  # of each class: smoothed tokens
+    counts: DataFrame  # PACKED, of all training words
+    classed: DataFrame  # CLASSED, of those that are no units
+
+
+def fit(learned: DataFrame, buckets: int) -> Model:
+    """Counts and classes of the words of a frame (text)."""
+    counts = common.staged(_summed(learned.mapInArrow(_emitter(lambda t, _: t, buckets), PACKED)), "words")
+    levels = counts.mapInArrow(_levels, "level long, words long, tokens long").groupBy("level").agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).collect()
+    left, floor = CLUSTER_WORDS, 1 << 20
+    for r in sorted(levels, reverse=True):  # at most 16 * 63 rows
+        left -= r["v"]
+        if left < 0:
+            break
+        floor = r["level"]
+    top = sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["c"]) for r in counts.mapInArrow(_above(floor), "key long, c long").collect())  # at most CLUSTER_WORDS and the end
+    if not any(k == int(END) for k, _ in top):
+        top = sorted([*top, (int(END), 0)])
+    units = Units(np.array([k for k, _ in top], _U), np.array([c for _, c in top], np.int64))
+    bigrams = np.zeros(units.n * units.n)
+    for r in _summed(learned.mapInArrow(_emitter(_pairs(units), PAIR_BUCKETS), PACKED)).collect():  # at most (CLUSTER_WORDS + 2)^2 numbers
+        bigrams[np.frombuffer(r["keys"], np.int64) >> 32] = np.frombuffer(r["counts"], np.int64)
+    bigrams = bigrams.reshape(units.n, units.n)
+    of = exchange(bigrams)
+    member = np.eye(CLASSES)[of]
+    contexts = learned.mapInArrow(_emitter(_contexts(units, of), buckets), PACKED)
+    classed = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_assign(member.T @ bigrams @ member, int(of[-1])), CLASSED)
+    classed = common.staged(classed, "classes")
+    known = units.counts > 0
+    size = UNSEEN + np.bincount(of[:-1][known], units.counts[known] + UNSEEN, CLASSES)
+    for r in classed.mapInArrow(_class_sizes, "class long, n double, v double").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        size[r["class"]] += r["n"] + UNSEEN * r["v"]
+    return Model(sum(r["n"] for r in levels), sum(r["v"] for r in levels), units, of, size, counts, classed)
+
+
+ASKED = "bucket long, kind int, chunk long, keys binary, more binary"
+ANSWERS = "bucket long, chunk long, counts binary, classes binary"
+_ASKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+_ANSWERS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("counts", pa.binary()), ("classes", pa.binary())])
+
+
+def _chunk_words(texts: pa.Table, units: Units) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, bounds, distinct tokens, number of each token among them, those that are no units)."""
+    rows = texts.combine_chunks().to_batches()
+    if not rows:
+        none = np.zeros(0, np.int64)
+        return None, none, none.view(_U), none, none
+    tokens, bounds, at = [], [np.zeros(1, np.int64)], 0
+    for _, data, offsets in common.text_batches(rows):
+        t, b = token_hashes(data, offsets)
+        tokens.append(t)
+        bounds.append(b[1:] + at)
+        at += len(t)
+    distinct, number = np.unique(np.concatenate(tokens), return_inverse=True)
+    return rows[0], np.concatenate(bounds), distinct, number, np.flatnonzero(units.of(distinct) == units.n - 1)
+
+
+def _ask(units: Units, buckets: int):
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        _, _, distinct, _, other = _chunk_words(texts, units)
+        keys, chunk = distinct[other], key[0].as_py()
+        out = [(b, 2, chunk, k, None) for batch in packed(keys, keys, buckets) for b, k in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 5, _ASKED, strict=True)], schema=_ASKED)
 
     return run
 
 
-def _sequences(units: Units, of: np.ndarray, words: list[bytes], word_counts: np.ndarray, word_class: np.ndarray, base_log: float):
-    """Per document one summary row with its sequence of classes, and a row with the places of each
-    word that is not in the table and the class it has if no training document holds it.
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), missing, values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing).astype(values.dtype)
 
-    The word of a summary row is a space and the row's hash: no word, and no common key for the join."""
-    place = {w: i for i, w in enumerate(words)}
-    log_base, log_word = np.log10(word_counts + ADD), np.log10(word_counts + UNSEEN)
-    coded = np.append(word_class, 0).astype(np.uint8)  # the last stands for any word that is not here
+
+def _answer(missing: int):
+    """Rows sorted by bucket and kind: 0 counts of words, 1 classes, 2 questions -> answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = place.get
-        for rows in batches:
-            out: list[tuple] = []
-            for doc, row, text in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                t = tokens(text)
-                at = np.fromiter(map(get, t, repeat(-1)), np.int64, len(t))
-                others: dict[bytes, list[int]] = {}
-                for i in np.flatnonzero(at < 0).tolist():
-                    others.setdefault(t[i], []).append(i)
-                known = at[at >= 0]
-                base, score = log_base[known].sum() - base_log * len(t), log_word[known].sum()
-                out.append((doc, row, b" " + row.to_bytes(8, "little", signed=True), len(t), len(known), float(base), float(score), None, coded[at].tobytes()))
-                out.extend((doc, row, w, len(i), None, None, None, int(of[units.of(w)]), np.array(i, np.int32).tobytes()) for w, i in others.items())
-                if len(out) > 50_000:
-                    yield _rows(out, rows.schema)
-                    out = []
-            yield _rows(out, rows.schema)
+        none = (np.zeros(0, _U), np.zeros(0, np.int64)), (np.zeros(0, _U), np.zeros(0, np.uint8))
+        bucket, (counts, classes) = None, none
+        for b in batches:
+            out = []
+            for here, kind, chunk, keys, more in zip(*(b.column(c).to_pylist() for c in _ASKED.names), strict=True):
+                if here != bucket:
+                    bucket, (counts, classes) = here, none
+                keys = np.frombuffer(keys, _U)
+                if kind == 0:
+                    counts = keys, np.frombuffer(more, np.int64)
+                elif kind == 1:
+                    classes = keys, np.frombuffer(more, np.uint8)
+                else:
+                    out.append((here, chunk, _lookup(*counts, keys, 0).tobytes(), _lookup(*classes, keys >> _CLASS_BITS << _CLASS_BITS, missing).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, _ANSWERS, strict=True)], schema=_ANSWERS)
 
     return run
 
 
-def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    kinds = (schema.field("doc_id").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary())
-    columns = list(zip(*out, strict=True)) or [()] * 9
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row", "word", "n", "known", "base", "score", "other", "places"])
+def _sequences(units: Units, of: np.ndarray, size: np.ndarray, base_log: float, buckets: int):
+    """Per row its tokens, known ones, base score, the words' share of the score, and its classes."""
+    size_log = np.log10(size)
+
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, bounds, distinct, number, other = _chunk_words(texts, units)
+        names = ["doc_id", "learned", "n_tokens", "n_known", "base_score", "score", "classes"]
+        if rows is None:
+            kinds = (texts.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        u = units.of(distinct)
+        c, cls = np.append(units.counts, 0)[u], of[u].astype(np.uint8)
+        bucket = bucket_of(distinct[other], buckets)
+        place = other[np.argsort(bucket, kind="stable")]
+        if len(place):
+            found = sorted(zip(*(answers.column(x).to_pylist() for x in ("bucket", "counts", "classes")), strict=True))
+            c[place] = np.frombuffer(b"".join(x for _, x, _ in found), np.int64)
+            cls[place] = np.frombuffer(b"".join(x for _, _, x in found), np.uint8)
+        per = lambda x: np.add.reduceat(x[number], bounds[:-1])  # noqa: E731  each document has its end
+        base, word = np.log10(c + ADD) - base_log, np.log10(c + UNSEEN) - size_log[cls]
+        classes = common.slices(memoryview(cls[number]), bounds, 1)
+        columns = [pa.array(np.diff(bounds)), pa.array(per((c > 0).astype(np.int64))), pa.array(per(base)), pa.array(per(word)), pa.array(classes, pa.binary())]
+        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("learned"), *columns], names)
 
+    return run
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Writes the joined classes into the sequences."""
-    for b in batches:
-        done = []
-        for raw, rare in zip(b.column("classes").to_pylist(), b.column("rare").to_pylist(), strict=True):
-            if rare:
-                x = np.frombuffer(raw, np.uint8).copy()
-                at = np.frombuffer(b"".join(r["places"] for r in rare), np.int32)
-                x[at] = np.repeat(np.array([r["class"] for r in rare], np.uint8), [len(r["places"]) // 4 for r in rare])
-                raw = x.tobytes()
-            done.append(raw)
-        yield b.drop_columns(["classes", "rare"]).append_column("classes", pa.array(done, pa.binary()))
+
+def _joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of all sequences of a batch, their bounds)."""
+    raw = b.column("classes").to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).astype(np.int64), np.cumsum([0, *map(len, raw)])
 
 
 def _class_bigrams(end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
-            for raw, copies in zip(b.column("classes").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                c = np.frombuffer(raw, np.uint8).astype(np.int64)
-                np.add.at(f, np.concatenate(([end], c[:-1])) * CLASSES + c, copies)
+            c, _ = _joined(b)
+            f += np.bincount(np.concatenate(([end], c[:-1]))[: len(c)] * CLASSES + c, minlength=len(f))
         some = np.flatnonzero(f)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(f[some])], ["pair", "n"])
 
     return run
 
 
-def _total(end: int, step: np.ndarray, size_log: np.ndarray):
-    """Adds the transitions and the sizes of the classes to the scores."""
-    cost = (step - size_log).ravel()
+def _total(end: int, step: np.ndarray):
+    """Adds the transitions to the scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            more = []
-            for raw in b.column("classes").to_pylist():
-                c = np.frombuffer(raw, np.uint8).astype(np.int64)
-                more.append(cost[np.concatenate(([end], c[:-1])) * CLASSES + c].sum())
-            score = pa.array(b.column("score").to_numpy(zero_copy_only=False) + np.array(more, float), pa.float64())
-            yield b.drop_columns(["classes", "score"]).append_column("score", score)
+            c, bounds = _joined(b)
+            if len(b):
+                cost = step.ravel()[np.concatenate(([end], c[:-1])) * CLASSES + c]
+                score = b.column("score").to_numpy() + np.add.reduceat(cost, bounds[:-1])
+                yield b.drop_columns(["classes", "learned", "score"]).append_column("score", pa.array(score))
 
     return run
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows (word, c, ...) of the most frequent words, `most` of them at most: those above a floor
-    that the histogram of counts gives.  So no more than these rows ever go to the driver."""
-    level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")  # steps of about 4 %
-    left, floor = most, None
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 16 * 64 rows
-        left -= r["count"]
-        if left < 0:
-            break
-        floor = r["level"]
-    return counts.filter(level >= floor if floor is not None else F.lit(False))
-
-
 def score_documents(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row.
 
     training: which rows to learn from, over the column doc_id; by default those not held out."""
-    spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    learned = named.filter(~held_out() if training is None else training).select("text")
-
-    counted = learned.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = common.staged(counted, "words")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    table = sorted(most_frequent(counts, CLUSTER_WORDS).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
-    top = {bytes(r["word"]): r["c"] for r in table}
-    if END not in top:  # more frequent words than documents: the end still is a unit
-        top[END] = (counts.filter(F.col("word") == END).first() or {"c": 0})["c"]
-    units = Units(list(top))
-
-    pairs = learned.mapInArrow(_bigrams(units), "before long, counts binary").repartition("before").mapInArrow(_add_rows, "before long, counts binary")
-    bigrams = np.zeros((units.n, units.n))
-    for r in pairs.collect():  # one row a unit
-        bigrams[r["before"]] = np.frombuffer(r["counts"], np.int64)
-    of = exchange(bigrams)
-    member = np.eye(CLASSES)[of]
-
-    kind = "word binary, c long, class int"
-    near = learned.mapInArrow(_contexts(units, of), "word binary, own int, near binary")
-    other = near.repartition("word").sortWithinPartitions("word").mapInArrow(_assign(member.T @ bigrams @ member), kind)
-    own = spark.createDataFrame([(bytearray(w), c, int(of[units.of(w)])) for w, c in top.items() if c], kind)  # at most CLUSTER_WORDS and the end
-    classed = common.staged(other.union(own), "classes")
-    size = np.full(CLASSES, UNSEEN)
-    for r in classed.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        size[r["class"]] += r["n"] + UNSEEN * r["v"]
-    table = most_frequent(classed, MAP_WORDS).collect()  # at most MAP_WORDS rows
-    words, word_counts, word_class = [bytes(r["word"]) for r in table], np.array([r["c"] for r in table], np.int64), np.array([r["class"] for r in table], np.int64)
-
-    base_log = float(np.log10(n + ADD * (v + 1)))
-    keyed = named.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    named = named.withColumn("learned", F.coalesce(~held_out() if training is None else training, F.lit(False)))
+    bytes_ = named.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    chunks, buckets = -(-bytes_ // CHUNK_BYTES), -(-bytes_ // BUCKET_BYTES)
+    m = fit(named.filter("learned").select("text"), buckets)
+
+    # one exchange of the texts serves questions and scores
+    texts = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk").groupBy("chunk")
+    asked = texts.applyInArrow(_ask(m.units, buckets), ASKED)
+    table = lambda df, kind, more: df.select("bucket", F.lit(kind).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "keys", F.col(more).alias("more"))
+    both = asked.unionByName(table(m.counts, 0, "counts")).unionByName(table(m.classed, 1, "classes"))
+    answers = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(int(m.of[-1])), ANSWERS)
+    base_log = float(np.log10(m.tokens + ADD * (m.words + 1)))
     id_type = named.schema["doc_id"].dataType.simpleString()
-    found = keyed.mapInArrow(_sequences(units, of, words, word_counts, word_class, base_log), f"doc_id {id_type}, row long, word binary, n long, known long, base double, score double, other int, places binary")
-    joined = found.join(classed, "word", "left")
-    c, rare = F.coalesce("c", F.lit(0)), F.col("other").isNotNull()
-    per = joined.groupBy("doc_id", "row").agg(
-        F.count_if(~rare).alias("copies"),
-        F.sum(F.when(~rare, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(rare, F.when(c > 0, F.col("n")).otherwise(0)).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(F.when(rare, F.col("n") * F.log10(c + ADD)).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(rare, F.col("n") * F.log10(c + UNSEEN)).otherwise(F.col("score"))).alias("score"),
-        F.first(F.when(~rare, F.col("places")), ignorenulls=True).alias("classes"),
-        F.collect_list(F.when(rare, F.struct(F.coalesce("class", "other").alias("class"), "places"))).alias("rare"),
-    )
-    # equal rows were summed up together: each gets its share back
-    share = lambda x: (F.col(x) / F.col("copies")).alias(x)
-    whole = lambda x: F.expr(f"{x} div copies").alias(x)
-    one = per.select("doc_id", "copies", whole("n_tokens"), whole("n_known"), share("base_score"), share("score"), "classes", "rare")
-    kind = f"doc_id {id_type}, copies long, n_tokens long, n_known long, base_score double"
-    sequences = common.staged(one.mapInArrow(_filled, f"{kind}, score double, classes binary"), "sequences")
-
-    end, f = int(of[units.end]), np.zeros(CLASSES * CLASSES)
-    learned = sequences.filter(~held_out() if training is None else training).select("classes", "copies")
-    for r in learned.mapInArrow(_class_bigrams(end), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most CLASSES * CLASSES
+    kind = f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double"
+    found = texts.cogroup(answers.groupBy("chunk")).applyInArrow(_sequences(m.units, m.of, m.size, base_log, buckets), kind.replace("n_tokens", "learned boolean, n_tokens", 1) + ", classes binary")
+    sequences = common.staged(found, "sequences")
+
+    end, f = int(m.of[m.units.end]), np.zeros(CLASSES * CLASSES)
+    pairs = sequences.filter("learned").select("classes").mapInArrow(_class_bigrams(end), "pair long, n long")
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most CLASSES * CLASSES
         f[r["pair"]] = r["n"]
-    step = transitions(f.reshape(CLASSES, CLASSES))
-    scored = sequences.mapInArrow(_total(end, step, np.log10(size)), f"{kind}, score double")
-    each = scored.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return each.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    scored = sequences.mapInArrow(_total(end, transitions(f.reshape(CLASSES, CLASSES))), kind)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,17 +247,56 @@ def test_class_lm(spark, mixed, monkeypatch):
             c.update(tokens(t))
     n, v = sum(c.values()), len(c)
     want = {i: (len(w := tokens(t)), sum(c[x] > 0 for x in w), sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, t in enumerate(mixed)}
-    scores = []
-    for words in (150_000, 20):
-        monkeypatch.setattr(class_lm, "MAP_WORDS", words)
-        monkeypatch.setattr(class_lm, "CLUSTER_WORDS", 15)
+    for words, chunk in ((2000, 6 << 20), (15, 3000)):
+        monkeypatch.setattr(class_lm, "CLUSTER_WORDS", words)
+        monkeypatch.setattr(class_lm, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(class_lm, "BUCKET_BYTES", 4 * chunk)
         got = class_lm.score_documents(table(spark, mixed)).collect()
         assert len(got) == len(mixed) + 1
         for r in got:
             assert (r.n_tokens, r.n_known, r.train_tokens) == (*want[r.doc_id][:2], n)
             assert r.base_score == pytest.approx(want[r.doc_id][2])
-        scores.append({r.doc_id: r.score for r in got})
-    assert scores[0] == pytest.approx(scores[1])
+
+
+def test_class_scores_by_hand(spark, mixed, monkeypatch):
+    """Score of each text from the words' classes, word by word."""
+    monkeypatch.setattr(class_lm, "CLUSTER_WORDS", 12)
+    monkeypatch.setattr(class_lm, "CHUNK_BYTES", 4000)
+    texts = [re.sub("[A-Z]", "", t or "") for t in mixed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = docs.filter("doc_id % 3 <> 0")
+    m = class_lm.fit(learned.select("text"), 3)
+    number = {}
+    for w in {w for t in texts for w in re.findall(WORD, t)}:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        number[w] = int(common.word_hashes(raw, np.array([0, len(raw)]), True)[0][0])
+    number[""] = int(class_lm.END)
+    classes = {int(k): int(c) for k, c in zip(m.units.keys, m.of, strict=False)}
+    rare = {}
+    for r in m.classed.collect():
+        rare |= dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), r["classes"], strict=True))
+    of = lambda w: classes.get(number[w], rare.get(number[w] >> 7 << 7, int(m.of[-1])))
+    tokens = {i: [*re.findall(WORD, t), ""] for i, t in enumerate(texts)}
+    c, f, size = Counter(), np.zeros((class_lm.CLASSES,) * 2), np.full(class_lm.CLASSES, class_lm.UNSEEN)
+    for i, t in tokens.items():
+        if i % 3:
+            c.update(t)
+            for x, y in zip(["", *t], t, strict=False):
+                f[of(x), of(y)] += 1
+    for w, n in c.items():
+        size[of(w)] += n + class_lm.UNSEEN
+    step = class_lm.transitions(f)
+    for r in class_lm.score_documents(docs, F.col("doc_id") % 3 != 0).collect():
+        t = tokens[r.doc_id]
+        want = sum(step[of(x), of(y)] + math.log10((c[y] + class_lm.UNSEEN) / size[of(y)]) for x, y in zip(["", *t], t, strict=False))
+        assert r.score == pytest.approx(want) and r.perplexity == pytest.approx(10 ** (-want / len(t)))
+    for row in class_lm.transitions(f):
+        assert sum(10**row) == pytest.approx(1, abs=1e-6)
+
+
+def test_class_lm_beats_the_base(spark):
+    rows = class_lm.op5_class_lm(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
 
 
 def test_exchange_beats_a_random_clustering():
@@ -269,16 +308,14 @@ def test_exchange_beats_a_random_clustering():
 
 
 def test_words_outside_the_clustering_get_own_classes(spark, monkeypatch):
-    """Rare words of one ending, so of one bucket: their own neighbours tell them apart."""
+    """Rare words share one unit at first: their own neighbours tell them apart."""
     monkeypatch.setattr(class_lm, "CLUSTER_WORDS", 6)
     rnd = random.Random(2)
     x, y = ([f"{c}{i}end" for i in range(40)] + 40 * [f"{c}top"] for c in "xy")
     line = lambda a, b: " ".join(w for _ in range(6) for w in ("sun", rnd.choice(a), "day", "moon", rnd.choice(b), "night"))
     texts = [line(x, y) for _ in range(200)] + [line(x[:40], y[:40]) for _ in range(5)] + [line(y[:40], x[:40]) for _ in range(5)]
-    for words in (150_000, 5):
-        monkeypatch.setattr(class_lm, "MAP_WORDS", words)
-        got = {r.doc_id: r.score for r in class_lm.score_documents(table(spark, texts), F.col("doc_id") < 200).collect()}
-        assert min(got[i] for i in range(200, 205)) > max(got[i] for i in range(205, 210)) + 3
+    got = {r.doc_id: r.score for r in class_lm.score_documents(table(spark, texts), F.col("doc_id") < 200).collect()}
+    assert min(got[i] for i in range(200, 205)) > max(got[i] for i in range(205, 210)) + 3
 
 
 def test_best_classes():
