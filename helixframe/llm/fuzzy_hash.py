@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,10 @@ from . import common
 
 WINDOW, SIGNATURE, COMMON, LEAST_BLOCK = 7, 64, 4, 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Documents of one id range; borders are approximate quantiles.
+#: Documents of one id range; borders are approximate quantiles.  Beyond MAX_RANGES ranges get longer:
+#: they are sorted by Spark and streamed, never held.
 RANGE_ROWS = 4_000
-MAX_RANGES = 4_096
+MAX_RANGES = 65_536
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -159,11 +161,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if ranges > 1:
         found = ids.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("b")).first()["b"]
         borders = sorted(set(found))
-    # part 0 holds the largest ids: number of borders above or at a place
-    cuts = F.lit(borders or [2**63 - 1]).cast("array<bigint>")
-    part = F.expr("0") if not borders else F.size(F.filter(cuts, lambda x: x > F.col("at")))
-    if len(borders) > 64:
-        part = _search(borders)
+    # part 0 holds the largest ids: number of borders above a place
+    part = _part(borders)(F.col("at")) if borders else F.lit(0)
     dealt = named.withColumn("at", place["at"]).withColumn("part", part.cast("int"))
     heads = dealt.groupBy("part").agg(F.max("at").alias("head"))
     # the head of each range is the successor of the last row of the range before (the last of all:
@@ -180,17 +179,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _search(borders: list[int]):
-    """part by a balanced tree of comparisons on the sorted borders."""
+def _part(borders: list[int]):
+    ascending = np.array(borders, np.int64)
 
-    def tree(lo: int, hi: int):
-        # parts between lo and hi borders above the place
-        if lo == hi:
-            return F.lit(len(borders) - lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("at") < borders[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    @F.pandas_udf("int")
+    def part(at: pd.Series) -> pd.Series:
+        return pd.Series(len(ascending) - np.searchsorted(ascending, at.to_numpy(), side="right"))
 
-    return tree(0, len(borders))
+    return part
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
