@@ -63,9 +63,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(read_cache(spark, cache_path, version), "digest", "left_anti")
     misses.mapInArrow(_count(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache_path)
-    known = read_cache(spark, cache_path, version)
+    # written, so that the join deals out both sides anew and can split a digest of many copies
+    known = common.staged(read_cache(spark, cache_path, version), "known")
     sized = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
+    return sized.join(known.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
