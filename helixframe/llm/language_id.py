@@ -4,9 +4,9 @@ Texts are cut into segments of SEGMENT bytes.  In each, one gated recurrent laye
 one backwards; their states label every position, and a document's probabilities are the mean over
 all its positions.  Gates and candidate use the soft sign x / (1 + |x|), which is a few vector
 operations.  The network is trained here, in numpy, by backpropagation through time (Adam on the
-cross-entropy of every position), on a bounded sample: for each of at most MAX_LANGUAGES languages
-(the most frequent ones) at most SAMPLE_PER_LANGUAGE documents, and of each a window of
-SAMPLE_CHARS characters at a place given by its hash.  Prediction reads whole texts, never the
+cross-entropy of every position), on a bounded sample: of every language at most SAMPLE_PER_LANGUAGE
+documents (fewer where there are so many languages that this makes more than SAMPLE in all, but one at
+least), and of each a window of SAMPLE_CHARS characters at a place given by its hash.  Prediction reads whole texts, never the
 columns lang, source or doc_id.
 
 Cases: a null text, an empty one or one without a letter gets ``und`` with score 0.  Repeated rows
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from . import common
 
 SEGMENT, HIDDEN = 128, 8
-MAX_LANGUAGES, SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 64, 512, 1024
+SAMPLE, SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 32_768, 512, 1024
 STEPS, BATCH, TRAIN_BYTES, RATE = 240, 192, 64, 0.02
 #: Segments that run side by side.
 LANES = 8192
@@ -164,13 +164,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Model and languages from the rows that are not held out."""
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     d = d.filter(~held_out("i")).filter("l IS NOT NULL AND t IS NOT NULL AND l <> 'und'").withColumn("h", F.xxhash64("i", "t"))
+    n_languages = d.select(F.count_distinct("l")).first()[0]
+    slots_each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // max(1, n_languages)))
     # one document for each language and slot, the least by hash: folded in the map tasks
     window = F.expr(f"substring(t, 1 + CAST(pmod(h, greatest(length(t) - {SAMPLE_CHARS}, 1)) AS INT), {SAMPLE_CHARS})")
-    slots = d.select("l", F.pmod(F.xxhash64("h"), F.lit(SAMPLE_PER_LANGUAGE)).alias("slot"), F.struct("h", window.alias("w")).alias("s"))
-    per = slots.groupBy("l", "slot").agg(F.min("s").alias("s"), F.count("*").alias("n"))
-    by = per.groupBy("l").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("s.w")).alias("w"))
-    rows = by.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    rows = sorted((r["l"], [w.encode() for w in r["w"] if w.strip()]) for r in rows)
+    slots = d.select("l", F.pmod(F.xxhash64("h"), F.lit(slots_each)).alias("slot"), F.struct("h", window.alias("w")).alias("s"))
+    per = slots.groupBy("l", "slot").agg(F.min("s").alias("s"))
+    by = per.groupBy("l").agg(F.sort_array(F.collect_list("s.w")).alias("w"))
+    rows = sorted((r["l"], [w.encode() for w in r["w"] if w.strip()]) for r in by.collect())
     rows = [(lang, w) for lang, w in rows if w]
     if not rows:
         return None, []
