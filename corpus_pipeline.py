@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import common, language_id, ngram_join, packing, quality, substring_dedup
 
-#: Documents whose best language has less than this pooled probability are no language's prose.
-LEAST_LANGUAGE_SCORE = 0.3
+#: The best language's pooled probability must be above chance (1 / n for n languages) by this share of
+#: what is left above chance, else a document is no language's prose.
+LEAST_ABOVE_CHANCE = 1 / 15
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
@@ -25,11 +26,16 @@ def _wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("r"), F.col("text").alias("text"))
 
 
+def least_score(n: int) -> float:
+    chance = 1 / max(1, n)
+    return chance + LEAST_ABOVE_CHANCE * (1 - chance) - 1e-6
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no learned language, go."""
     model, languages = language_id.fit(docs)
     found = language_id.identify(_wrapped(docs), model, languages)
-    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select("r.*")
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least_score(len(languages)))).select("r.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +93,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        was, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.staged(docs, f"stage{i + 1}")
+            common.discard(was)
     return docs

@@ -566,3 +566,15 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(common.documents(spark, sf_dir), k=4, percent=85).drop("group_id", "row_key")
+
+
+OP1_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+s AS (SELECT DISTINCT doc_id, s FROM g),
+n AS (SELECT doc_id, count(s) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n AS i ON i.doc_id = x JOIN n AS j ON j.doc_id = y WHERE 100 * o >= 85 * (i.n + j.n - o)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(reached) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLES = {"op8_substring_dedup": substring_dedup.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+ORACLES = {"op1_ngram_jaccard_join": ngram_join.OP1_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}

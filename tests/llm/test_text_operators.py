@@ -407,3 +407,155 @@ def test_sketch_never_underestimates():
     estimated = {w: all(above[row, int(substring_dedup.cells(np.array([w], np.uint64), row, width)[0])] for row in range(substring_dedup.ROWS)) for w in true}
     assert all(estimated[w] for w, n in true.items() if n > 1)
     assert sum(estimated[w] for w, n in true.items() if n == 1) < 0.3 * sum(n == 1 for n in true.values())
+
+
+def slow_fingerprint(raw):
+    """Byte by byte: a rolling hash over seven bytes, chunk ends at its multiples, a character a chunk."""
+    import xxhash
+
+    hashes = []
+    for i in range(len(raw)):
+        past = [raw[i - age] if i >= age else 0 for age in range(7)]
+        shifted = 0
+        for age, x in enumerate(past):
+            shifted ^= x << 5 * age
+        hashes.append((sum(past) + sum(x * (7 - age) for age, x in enumerate(past)) + shifted % 2**32 + 1) % 2**32)
+
+    def signature(block):
+        out, chunk = "", b""
+        for x, h in zip(raw, hashes, strict=True):
+            chunk += bytes([x])
+            if h % block == 0 and len(out) < 63:
+                out += fuzzy_hash.ALPHABET[xxhash.xxh64_intdigest(chunk) % 64]
+                chunk = b""
+        return out + (fuzzy_hash.ALPHABET[xxhash.xxh64_intdigest(chunk) % 64] if chunk else "")
+
+    block = 3
+    while block * 64 < len(raw):
+        block *= 2
+    while block > 3 and sum(h % block == 0 for h in hashes) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def slow_likeness(x, y):
+    (bx, x1, x2), (by, y1, y2) = x.split(":"), y.split(":")
+    if x == y:
+        return 1.0
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        k = min(4, len(a), len(b))
+        if not k or not any(a[i : i + k] in b for i in range(len(a) - k + 1)):
+            return 0.0
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = d[i - 1][j - 1] if a[i - 1] == b[j - 1] else 1 + min(d[i - 1][j], d[i][j - 1])
+        return 1 - d[-1][-1] / (len(a) + len(b))
+
+    return max([alike(a, b) for p, a in ((int(bx), x1), (2 * int(bx), x2)) for q, b in ((int(by), y1), (2 * int(by), y2)) if p == q], default=0.0)
+
+
+def test_fingerprints_byte_by_byte(spark, mixed, monkeypatch):
+    monkeypatch.setattr(fuzzy_hash, "RANGE_ROWS", 7)
+    texts = [*ODD, *mixed[40:70], "Grün ist ß " * 3000]
+    rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "no id", "c", 2), (None, None, "c", 2), (5, "another text of one id", "c", 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, part string, at int")
+    order = sorted(((-1 if r[0] is None else r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], r[1]))
+    want = []
+    for j, (i, t) in enumerate(order):
+        n = order[(j + 1) % len(order)][1]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        a, b, c = (slow_fingerprint(x.encode()) for x in (t, e, n))
+        want.append((None if i < 0 else i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, slow_likeness(a, b), slow_likeness(a, c)))
+    got = [tuple(r) for r in fuzzy_hash.fingerprints(d).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:])
+
+
+def test_language_network_position_by_position():
+    m = {k: v.astype(float) for k, v in language_id.new_model(3, hidden=5, seed=7).items()}
+    m["bias"] += [0.1, -0.2, 0.3]
+    texts = [b"", b"x", "Grün und".encode() * 5, bytes(range(65, 91)) * 11]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    p, votes = language_id.pooled({k: v.astype(np.float32) for k, v in m.items()}, data, offsets)
+    squash = lambda x: x / (1 + abs(x))
+
+    def states(side, piece):
+        h, out = np.zeros(5), []
+        for x in piece:
+            a, g = m[f"in_{side}"][x], h @ m[f"rec_{side}"]
+            u, r = 0.5 + 0.5 * squash(a[:5] + g[:5]), 0.5 + 0.5 * squash(a[5:10] + g[5:10])
+            h = h + u * (squash(a[10:] + r * g[10:]) - h)
+            out.append(h)
+        return out
+
+    for i, t in enumerate(texts):
+        probabilities = []
+        for at in range(0, len(t), language_id.SEGMENT):
+            piece = t[at : at + language_id.SEGMENT]
+            padded = piece + b" " * (language_id.SEGMENT - len(piece))
+            forwards, backwards = states("f", padded), states("b", padded[::-1])[::-1]
+            for k in range(len(piece)):
+                z = np.exp(forwards[k] @ m["out_f"] + backwards[k] @ m["out_b"] + m["bias"])
+                probabilities.append(z / z.sum())
+        if t:
+            assert p[i] == pytest.approx(np.mean(probabilities, 0), abs=1e-4)
+            assert votes[i] == pytest.approx(np.bincount(np.argmax(probabilities, 1), minlength=3) / len(t), abs=0.02)
+    assert not p[0].any()
+
+
+def test_language_of_one_document_and_many_languages(spark, monkeypatch):
+    rows = [(i, f"wort{i} haus fluss stein", "de") for i in range(1, 30)] + [(100, "zzz qqq zzz qqq", "xx"), (None, "abc", "yy"), (101, "abc", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "STEPS", 3)
+    monkeypatch.setattr(language_id, "SAMPLE", 3)
+    assert zlib.crc32(b"100") % 5
+    model, languages = language_id.fit(d)
+    assert languages == ["de", "xx", "yy"] and len(model["bias"]) == 3
+    assert language_id.identify(d, model, languages).count() == len(rows)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    a, c = words, [f"v{i}" for i in range(60)]
+    rows = [(5, " ".join(a)), (6, near(a, 59)), (5, " ".join(c)), (7, near(c, 59)), (5, " ".join(a)), (8, "alone here"), (5, "alone too")]
+    for block in (4_000_000, 100):
+        ngram_join.MAX_BLOCK, was = block, ngram_join.MAX_BLOCK
+        try:
+            got = sorted(tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+        finally:
+            ngram_join.MAX_BLOCK = was
+        assert got == sorted([(5, 57, 5), (6, 57, 5), (5, 57, 5), (7, 57, 5), (5, 57, 5), (8, 1, 8), (5, 1, 5)])
+
+
+def test_null_ids_and_long_texts(spark, tmp_path):
+    """Every operator returns rows of null ids and whole long texts; columns of its own names do no harm."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(2)
+    long = " ".join(rnd.choice(["alpha", "beta", "gamma", "Größe", "\n"]) + str(rnd.randrange(3000)) for _ in range(60_000))
+    rows = [(None, "a b c", "k", 1), (None, None, "k", 1), (1, long, "k", 1), (2, "", "k", 1), (2, "", "k", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest string, bucket int")
+    piece = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = token_counts.token_counts(d, P.path("piece_bpe_32k.model"), f"file://{tmp_path}/c").collect()
+    assert sorted(((r.doc_id or 0), r.n_tokens) for r in got) == sorted((r[0] or 0, len(piece.encode(r[1] or ""))) for r in rows)
+    got = class_lm.score_documents(d).collect()
+    assert sorted(((r.doc_id or 0), r.n_tokens) for r in got) == sorted((r[0] or 0, len(re.findall(WORD, r[1] or "")) + 1) for r in rows)
+    ids = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    size = {i: len(ids.encode(r[1] or "", add_special_tokens=False).ids) + 1 for i, r in enumerate(rows)}
+    packed = packing.pack(d, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r.length for r in packed) == sum(size.values()) and sum(r.length for r in packed if r.doc_id is None) == size[0] + size[1]
+    written = training_order.materialise(d, P.path("byte_bpe_50k.json"), f"file://{tmp_path}/s").collect()
+    assert sum(r.length for r in written) == sum(size.values()) and {r.doc_id for r in written} == {-(2**63), 1, 2}
+    assert sorted(len(r.ids) for r in prefix_bpe.encode_documents(d, P.path("byte_bpe_multi_50k.tiktoken")).collect())[:3] == [0, 0, 0]
+    judged = quality.quality(d).collect()
+    assert sorted(r["_q"].n_words for r in judged) == sorted(len(re.findall(WORD, r[1] or "")) for r in rows)
+    assert language_id.identify(d, language_id.new_model(2), ["a", "b"]).count() == len(rows)
+    assert sorted(r.n_words for r in substring_dedup.substring_dedup(d).collect()) == sorted(len(re.findall(WORD, r[1] or "")) for r in rows)
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in ngram_join.ngram_join(d).collect())[:2] == [(0, 0), (0, 1)]
