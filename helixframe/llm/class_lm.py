@@ -42,9 +42,9 @@ FOLDS, ADD = 10, 0.1
 CLUSTER_WORDS, CLASSES, SWEEPS = 2000, 48, 6
 PRIOR, UNSEEN = 20.0, 0.5
 #: Tokens that a map task gathers before it counts and emits them.
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 #: Text of a chunk, and of the share of all words that one bucket holds.
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 PAIR_BUCKETS = 64
 END = _U(0x00E4D0F7E8700000)
 _CLASS_BITS = _U(7)  # a preceding class is 64 more than a following one
@@ -91,6 +91,8 @@ def _emitter(keys_of, buckets: int):
                 held, n = [], 0
         if n:
             yield from packed(*np.unique(np.concatenate(held), return_counts=True), buckets)
+        held.clear()
+        common.give_back()
 
     return run
 
@@ -114,6 +116,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
             held.append(part)
     if held:
         yield merged()
+    common.give_back()
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +364,7 @@ def _ask(units: Units, buckets: int):
     def run(key: tuple, texts: pa.Table) -> pa.Table:
         _, _, distinct, _, other = _chunk_words(texts, units)
         keys, chunk = distinct[other], key[0].as_py()
+        common.give_back()
         out = [(b, 2, chunk, k, None) for batch in packed(keys, keys, buckets) for b, k in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 5, _ASKED, strict=True)], schema=_ASKED)
 
@@ -402,6 +406,7 @@ def _sequences(units: Units, of: np.ndarray, size: np.ndarray, base_log: float,
     size_log = np.log10(size)
 
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        common.give_back()
         rows, bounds, distinct, number, other = _chunk_words(texts, units)
         names = ["doc_id", "learned", "n_tokens", "n_known", "base_score", "score", "classes"]
         if rows is None:

@@ -6,6 +6,7 @@ Unicode rule applies.  Hashing is vectorised over whole Arrow buffers: no Python
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -53,6 +54,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers outlive their tasks, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folder of a staged frame that nothing reads any more."""
     path = getattr(df, "staged_path", None)

@@ -107,6 +107,7 @@ _COVERED = pa.schema([("chunk", pa.int64()), ("hashes", pa.binary())])
 
 def _read(texts: pa.Table, span: int) -> tuple[pa.RecordBatch | None, np.ndarray, np.ndarray, np.ndarray]:
     """(rows, hashes, index of the row, start) of a chunk; a row without doc_id has no windows."""
+    common.give_back()
     rows = texts.combine_chunks().to_batches()
     if not rows:
         none = np.zeros(0, np.int64)
