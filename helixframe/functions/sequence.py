@@ -21,14 +21,20 @@ def reverse_complement(seq) -> Column:
 KMER_BLOCK = 256
 
 
-def kmers(seq, k: int) -> Column:
-    """All windows of length k in order; none if the sequence is shorter."""
+def kmer_blocks(seq, k: int) -> Column:
+    """Overlapping blocks of KMER_BLOCK windows each; none if the sequence is shorter than k."""
     if k < 1:
         raise ValueError("k must be at least 1")
     s = _c(seq)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - k) / KMER_BLOCK).cast("int")), lambda i: F.substr(s, i * KMER_BLOCK + 1, F.lit(KMER_BLOCK + k - 1)))
-    windows = F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - k + 1), lambda i: F.substr(b, i, F.lit(k)))))
-    return F.when(F.length(s) >= k, windows).otherwise(F.array().cast("array<string>"))
+    s = F.when(s.rlike("[^\\x00-\\x7F]"), F.raise_error(F.lit("k-mers need ASCII text")).cast("string")).otherwise(s)
+    starts = F.sequence(F.lit(0), F.floor((F.length(s) - k) / KMER_BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda i: F.substr(s, i * KMER_BLOCK + 1, F.lit(KMER_BLOCK + k - 1)))
+    return F.when(F.length(s) >= k, blocks).otherwise(F.array().cast("array<string>"))
+
+
+def kmers(seq, k: int) -> Column:
+    """All windows of length k in order; none if the sequence is shorter; an error if it is not ASCII."""
+    return F.flatten(F.transform(kmer_blocks(seq, k), lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - k + 1), lambda i: F.substr(b, i, F.lit(k)))))
 
 
 def canonical(kmer) -> Column:
@@ -41,6 +47,11 @@ def kmer_hash(kmer) -> Column:
     return F.xxhash64(canonical(kmer))
 
 
+def is_minimizer_against(kmer, other) -> Column:
+    """Whether a k-mer's hash is less than another's; both are hashed in canonical form."""
+    return kmer_hash(kmer) < kmer_hash(other)
+
+
 def encode_kmer(kmer) -> Column:
     """Two bits a base, A 0, C 1, G 2, T 3 in either case, anything else 0; first base highest.
 
@@ -71,6 +82,11 @@ def fasta_header(line) -> Column:
     return F.struct(ident.alias("id"), F.when(desc != "", desc).alias("desc"))
 
 
+def fasta_length(seq) -> Column:
+    """Bytes of a sequence."""
+    return F.octet_length(_c(seq)).cast("long")
+
+
 def split_contigs(seq, least: int = 1000, circular: Column | None = None) -> Column:
     """Runs without N of at least `least` bases; a circular sequence is first extended by its own
     start, if it is that long."""

@@ -3,6 +3,9 @@
     spark.dataSource.register(BinaryAlignments)
     spark.read.format("binary_alignments").load("a.bam")                    # records
     spark.read.format("binary_alignments").option("part", "references").load("a.bam")
+    spark.read.format("binary_alignments").option("part", "header").load("a.bam")           # header text
+
+Records go to Spark in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,7 +13,9 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import expand, open_binary
@@ -24,7 +29,11 @@ RECORD = (
     "file string, ord long, ref_id int, pos int, mapq int, bin int, flag int, l_seq int, next_ref_id int, next_pos int, tlen int, "
     "qname string, cigar string, seq string, qual binary, tags binary, nm int, as_score int"
 )
+HEADER = "file string, text string"
 REFERENCE = "file string, ref_id int, ref_name string, ref_length int"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+#: Records of an Arrow batch.
+BATCH = 4_096
 _FIXED = struct.Struct("<iiBBHHHIiii")
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _INTS = {"A": "<B", "C": "<B", "c": "<b", "s": "<h", "S": "<H", "i": "<i", "I": "<i"}
@@ -60,8 +69,11 @@ def int_tag(tags: bytes, name: bytes) -> int | None:
     return None
 
 
+_TWO_BASES = ["".join((BASES[b >> 4], BASES[b & 15])) for b in range(256)]
+
+
 def unpack_bases(raw: bytes, n: int) -> str:
-    return "".join(BASES[b >> 4] + BASES[b & 15] for b in raw)[:n]
+    return "".join(map(_TWO_BASES.__getitem__, raw))[:n]
 
 
 def unpack_cigar(words: tuple[int, ...]) -> str:
@@ -109,11 +121,18 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         if self.part == "records":
-            yield from read_records(partition.value)
+            schema = pa.schema([(n, _ARROW[t]) for n, t in map(str.split, RECORD.split(", "))])
+            records = read_records(partition.value)
+            while rows := list(islice(records, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             return
         with open_binary(partition.value) as f:
-            for i, (name, length) in enumerate(read_header(f)[1]):
-                yield partition.value, i, name, length
+            text, references = read_header(f)
+        if self.part == "header":
+            yield partition.value, text
+            return
+        for i, (name, length) in enumerate(references):
+            yield partition.value, i, name, length
 
 
 class BinaryAlignments(DataSource):
@@ -122,7 +141,7 @@ class BinaryAlignments(DataSource):
         return "binary_alignments"
 
     def schema(self) -> str:
-        return RECORD if self.options.get("part", "records") == "records" else REFERENCE
+        return {"records": RECORD, "header": HEADER, "references": REFERENCE}[self.options.get("part", "records")]
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

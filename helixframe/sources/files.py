@@ -7,13 +7,17 @@ import glob
 import gzip
 import io
 import os
+import sys
 from typing import BinaryIO
 
 from pyarrow import fs
 
 
 def open_binary(path: str) -> BinaryIO:
-    """A buffered byte stream, decompressed by extension; URIs go through Arrow's file systems."""
+    """A buffered byte stream, decompressed by extension; URIs go through Arrow's file systems, and "-"
+    is the standard input (of the driver: its partition is read where the process runs)."""
+    if path == "-":
+        return sys.stdin.buffer
     if "://" in path or path.startswith("file:"):
         store, inner = fs.FileSystem.from_uri(path)
         raw: BinaryIO = io.BufferedReader(store.open_input_stream(inner, compression=None))
@@ -28,7 +32,15 @@ def expand(paths: str) -> list[str]:
     """Files of a comma-separated list of names, folders and patterns, in order."""
     out: list[str] = []
     for p in filter(None, (x.strip() for x in paths.split(","))):
-        if "://" in p:
+        if "://" in p or p.startswith("file:"):
+            store, inner = fs.FileSystem.from_uri(p)
+            info = store.get_file_info(inner)
+            if info.type == fs.FileType.Directory:
+                found = store.get_file_info(fs.FileSelector(inner))
+                out += sorted(p.rstrip("/") + "/" + x.base_name for x in found if not x.base_name.startswith((".", "_")))
+            else:
+                out.append(p)
+        elif p == "-":
             out.append(p)
         elif os.path.isdir(p):
             out += sorted(os.path.join(p, x) for x in os.listdir(p) if not x.startswith((".", "_")))

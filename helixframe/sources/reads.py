@@ -11,9 +11,11 @@ errors; ids of pairs are not compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import zip_longest
+from itertools import islice, zip_longest
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import expand, open_binary
 
 READ = "struct<id:string,seq:string,qual:string>"
+_READ = pa.struct([(c, pa.string()) for c in ("id", "seq", "qual")])
+#: Reads of an Arrow batch.
+BATCH = 4_096
 
 
 def parse(path: str) -> Iterator[tuple[str, str, str]]:
@@ -50,19 +55,35 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         first, second = partition.value
         if second:
-            for i, (a, b) in enumerate(zip_longest(parse(first), parse(second))):
-                if a is None or b is None:
-                    raise ValueError(f"{first} and {second} hold unequal numbers of reads")
-                yield first, i, a, b
+            rows = self._zipped(first, second)
         elif self.interleaved:
-            reads = parse(first)
-            for i, a in enumerate(reads):
-                if (b := next(reads, None)) is None:
-                    raise ValueError(f"{first} holds an odd number of reads")
-                yield first, i, a, b
+            rows = self._by_two(first)
         else:
-            for i, a in enumerate(parse(first)):
-                yield first, i, *a
+            rows = ((*read,) for read in parse(first))
+        at = 0
+        while held := list(islice(rows, BATCH)):
+            columns = list(zip(*held, strict=True))
+            if second or self.interleaved:
+                columns = [[dict(zip(("id", "seq", "qual"), r, strict=True)) for r in c] for c in columns]
+            names = ["r1", "r2"] if second or self.interleaved else ["id", "seq", "qual"]
+            kind = _READ if second or self.interleaved else pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array([first] * len(held)), pa.array(range(at, at + len(held)), pa.int64()), *(pa.array(c, kind) for c in columns)], ["file", "ord", *names])
+            at += len(held)
+
+    @staticmethod
+    def _zipped(first: str, second: str) -> Iterator[tuple]:
+        for a, b in zip_longest(parse(first), parse(second)):
+            if a is None or b is None:
+                raise ValueError(f"{first} and {second} hold unequal numbers of reads")
+            yield a, b
+
+    @staticmethod
+    def _by_two(path: str) -> Iterator[tuple]:
+        reads = parse(path)
+        for a in reads:
+            if (b := next(reads, None)) is None:
+                raise ValueError(f"{path} holds an odd number of reads")
+            yield a, b
 
 
 class Reads(DataSource):
@@ -88,18 +109,48 @@ def write_single(df: DataFrame, path: str, mate: int | None = None, compression:
     df.select(record_text(F.col("id"), F.col("seq"), F.col("qual"), mate).alias("value")).write.option("compression", compression).text(path)
 
 
-def write_paired(df: DataFrame, path1: str, path2: str, compression: str = "gzip") -> None:
-    """Two folders whose part files hold the mates in the same order: both come from one sorted
-    frame, ranged by its order columns."""
-    ordered = df.repartitionByRange("ord").sortWithinPartitions("ord")
-    for mate, path in ((1, path1), (2, path2)):
-        r = f"r{mate}"
-        ordered.select(record_text(F.col(f"{r}.id"), F.col(f"{r}.seq"), F.col(f"{r}.qual"), mate).alias("value")).write.option("compression", compression).text(path)
+def _order(df: DataFrame) -> list[str]:
+    """Columns that order pairs: file and place, then the reads themselves where places repeat."""
+    return [*(c for c in ("file", "ord") if c in df.columns), "r1", "r2"]
+
+
+def write_paired(df: DataFrame, path1: str, path2: str, compression: str = "gzip", mode: str = "errorifexists") -> None:
+    """Two folders whose part files hold the mates in the same order.  One job writes both, each task
+    the two files of its range, so that they cannot differ; mode may be append or overwrite."""
+    spark, order = df.sparkSession, _order(df)
+    text = lambda m: record_text(F.col(f"r{m}.id"), F.col(f"r{m}.seq"), F.col(f"r{m}.qual"), m)
+    both = df.repartitionByRange(*order).select(*order, F.explode(F.array(*[F.struct(F.lit(m).alias("mate"), text(m).alias("value")) for m in (1, 2)])).alias("x"))
+    sorted_ = both.select(*order, "x.mate", "x.value").sortWithinPartitions("mate", *order).select("mate", "value")
+    target = f"{path1}.writing-{uuid.uuid4().hex}"
+    sorted_.write.option("compression", compression).partitionBy("mate").text(target)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    store = folder(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for m, path in ((1, path1), (2, path2)):
+        made, wanted = folder(f"{target}/mate={m}"), folder(path)
+        if mode == "overwrite":
+            store.delete(wanted, True)
+        if store.exists(wanted) and mode != "append":
+            raise FileExistsError(path)
+        store.mkdirs(wanted if mode == "append" else wanted.getParent())
+        if not store.exists(made):  # no pairs
+            store.mkdirs(wanted)
+        elif mode == "append":
+            for part in store.listStatus(made):
+                store.rename(part.getPath(), folder(wanted, f"{_next(store, wanted):05d}-{part.getPath().getName()}"))
+        else:
+            store.rename(made, wanted)
+    store.delete(folder(target), True)
+
+
+def _next(store, path) -> int:
+    """Number for a further part file, so that appended parts come after the others by name."""
+    return len(store.listStatus(path))
 
 
 def write_interleaved(df: DataFrame, path: str, compression: str = "gzip") -> None:
     both = F.concat_ws("\n", *[record_text(F.col(f"r{m}.id"), F.col(f"r{m}.seq"), F.col(f"r{m}.qual"), m) for m in (1, 2)])
-    df.repartitionByRange("ord").sortWithinPartitions("ord").select(both.alias("value")).write.option("compression", compression).text(path)
+    order = _order(df)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(both.alias("value")).write.option("compression", compression).text(path)
 
 
 def recode(spark, in1: str, in2: str, out1: str, out2: str) -> None:

@@ -61,3 +61,12 @@ def test_sequences(spark):
 @pytest.mark.parametrize(("line", "want"), [(">a", ("a", None)), (">a some text ", ("a", "some text")), (">a\tb", ("a", "b")), (">", ("", None))])
 def test_fasta_header(spark, line, want):
     assert tuple(one(spark, S.fasta_header(F.lit(line)))[0]) == want
+
+
+def test_minimizers_length_and_ascii(spark):
+    a, b = F.lit("ACGT"), F.lit("GGGG")
+    less, more, same = one(spark, S.is_minimizer_against(a, b), S.is_minimizer_against(b, a), S.is_minimizer_against(a, a))
+    assert less != more and same is False
+    assert one(spark, S.fasta_length(F.lit("ACGT")), S.fasta_length(F.lit(""))) == (4, 0)
+    with pytest.raises(Exception, match="ASCII"):
+        one(spark, S.kmers(F.lit("ACGÄT"), 2))

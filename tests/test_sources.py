@@ -76,3 +76,37 @@ def test_tables(spark, tmp_path):
     n = tmp_path / "nodes.dmp"
     n.write_text("1\t|\t1\t|\tno rank\t|\t\t|\n9\t|\t1\t|\tspecies\t|\tX\t|\nbad\n")
     assert sorted(map(tuple, T.read_nodes(spark, str(n)).collect())) == [(1, "1", "no rank"), (9, "1", "species")]
+
+
+def test_recode_of_a_folder_keeps_mates_together(spark, tmp_path):
+    """Places repeat in every file of a folder; mates stay in step, part by part."""
+    for m in (1, 2):
+        (tmp_path / f"in{m}").mkdir()
+        for f in range(3):
+            text = "".join(f"@f{f}n{i}\nAC{'ACGT'[(f + i) % 4]}\n+\nIII\n" for i in range(50))
+            (tmp_path / f"in{m}" / f"{f}.fq.bz2").write_bytes(bz2.compress(text.encode()))
+    for source in (str(tmp_path), f"file://{tmp_path}"):
+        out = [str(tmp_path / f"out{len(source)}-{m}") for m in (1, 2)]
+        R.recode(spark, f"{source}/in1", f"{source}/in2", *out)
+        parts = [sorted(p for p in __import__("pathlib").Path(o).glob("part-*")) for o in out]
+        names = [[gzip.open(p, "rt").read().splitlines()[::4] for p in side] for side in parts]
+        assert [[x[:-2] for x in p] for p in names[0]] == [[x[:-2] for x in p] for p in names[1]]
+        assert [x[:-2] for p in names[0] for x in p] == [f"@f{f}n{i}" for f in range(3) for i in range(50)]
+
+
+def test_duplicate_rules(spark, tmp_path):
+    (tmp_path / "a.sam").write_text("@SQ\tSN:r\tLN:5\n@SQ\tSN:r\tLN:9\n@SQ\tSN:s\tLN:0\n")
+    assert [tuple(r) for r in T.sam_references(T.read_sam_header(spark, str(tmp_path / "a.sam"))).collect()] == [("r", 5)]
+    (tmp_path / "m.tsv").write_text("r\tx\nr\ty\nshort\n")
+    assert [tuple(r) for r in T.read_reference_map(spark, str(tmp_path / "m.tsv")).collect()] == [("r", "y")]
+    (tmp_path / "nodes.dmp").write_text(" 7 \t|\t1\t|\tgenus\t|\tx\t|\n7\t|\t2\t|\t species \t|\tx\t|\nx\t|\t2\t|\tclass\t|\tx\t|\n")
+    assert [tuple(r) for r in T.read_nodes(spark, str(tmp_path / "nodes.dmp")).collect()] == [(7, "2", "species")]
+
+
+def test_bam_header_text(spark, tmp_path):
+    path = str(tmp_path / "a.bam")
+    B.write_records(path, [("r", 4)], [(f"q{i}", 4, -1, -1, 0, [], "A", b"\x01", b"") for i in range(10_000)], text="@HD\tVN:1.6\n")
+    spark.dataSource.register(B.BinaryAlignments)
+    assert spark.read.format("binary_alignments").option("part", "header").load(path).first().text == "@HD\tVN:1.6\n"
+    d = spark.read.format("binary_alignments").load(path)
+    assert d.count() == 10_000 and d.selectExpr("max(ord)").first()[0] == 9_999
