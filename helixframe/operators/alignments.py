@@ -38,11 +38,16 @@ def low_pass(df: DataFrame, **most) -> DataFrame:
 
 def high_pass(df: DataFrame, **least) -> DataFrame:
     """Well aligned records: mapped, and no given measure below its limit.  A missing one passes."""
+    return df.filter(passes(**least))
+
+
+def passes(**least) -> Column:
+    """The condition of high_pass."""
     keep = A.is_mapped("flag")
     for name, limit in least.items():
         limit_c = F.lit(limit).cast("float") if name in ("ap", "pi", "sl") else F.lit(limit)
         keep = keep & F.coalesce(_measure(name) >= limit_c, F.lit(True))
-    return df.filter(keep)
+    return keep
 
 
 def to_reads(df: DataFrame, orient: bool = True) -> DataFrame:
@@ -86,12 +91,12 @@ def orphans(reads: DataFrame) -> DataFrame:
     return mate_events(reads).filter("outcome = 'orphan'").select("qname", "ord", "mate")
 
 
-def name_runs(df: DataFrame, gated: bool = True) -> DataFrame:
+def name_runs(df: DataFrame, gated: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
     """One row a name: its last first read and last second read.
 
-    gated: only primary records of proper pairs count."""
+    gated: only primary records of proper pairs count.  more: further columns of a record to keep."""
     d = df.filter(A.is_primary("flag") & A.has_flag("flag", "is_proper")) if gated else df
-    record = F.struct("ord", "flag", "rname", "pos", "mapq", "cigar", "tags")
+    record = F.struct("ord", "flag", "rname", "pos", "mapq", "cigar", "tags", *more)
     last = lambda m: F.max_by(F.when(A.has_flag("flag", m), record), F.when(A.has_flag("flag", m), F.col("ord")))
     return d.groupBy("qname").agg(last("is_read1").alias("r1"), last("is_read2").alias("r2"))
 
@@ -107,7 +112,9 @@ def insert_sizes(pairs: DataFrame, least_mapq: int = 40, most: int = 1000) -> Da
 
 
 def global_counters(df: DataFrame) -> DataFrame:
-    """Per mate: unaligned, alignments, primary by mapping quality and pairing, secondary."""
+    """Per mate: unaligned, alignments, primary by mapping quality and pairing, secondary; total_reads is
+    the number of names, the same for both mates."""
+    total = df.agg(F.count_distinct("qname").alias("total_reads"))  # one row
     mate = F.when(A.has_flag("flag", "is_read1"), 1).when(A.has_flag("flag", "is_read2"), 2)
     mapped, primary = A.is_mapped("flag"), A.is_primary("flag")
     both = mapped & primary
@@ -127,6 +134,7 @@ def global_counters(df: DataFrame) -> DataFrame:
             F.count_if(both & ~single & ~proper).alias("discordant"),
             F.count_if(mapped & ~primary).alias("secondary"),
         )
+        .join(F.broadcast(total))
     )
 
 
@@ -159,57 +167,99 @@ def range_histogram(values: DataFrame, least: float, most: float, width: float,
     return inside.groupBy(*keys, F.floor((F.col("value") - least) / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def report_histograms(values: DataFrame, read_length: int = 150) -> DataFrame:
-    """(mate, metric, bin, n) of all measures of capped_metrics, each over its own range and width."""
-    ranges = {"mapq": (61.0, 1.0), "align_score": (2.0 * read_length + 1, 1.0), "align_length": (read_length + 1.0, 1.0), "as_al": (2.01, 0.01), "align_proportion": (1.01, 0.01), "percent_identity": (101.0, 1.0)}
+def report_ranges(read_length: int = 150, most_insert: int = 1000) -> dict[str, tuple[float, float]]:
+    """Upper end and bin width of each measure's histogram in a report; all begin at 0."""
+    ranges = {"mapq": (61.0, 1.0), "align_score": (2.0 * read_length + 1, 1.0), "align_length": (read_length + 1.0, 1.0), "as_al": (2.01, 0.01)}
+    return ranges | {"align_proportion": (1.01, 0.01), "percent_identity": (101.0, 1.0), "pe_insert_size": (float(most_insert), 10.0)}
+
+
+def report_histograms(values: DataFrame, read_length: int = 150, most_insert: int = 1000, *keys: str) -> DataFrame:
+    """(keys, metric, bin, n) of all measures, each over its own range and width; what lies outside is
+    left out.  keys: mate by default."""
+    ranges = report_ranges(read_length, most_insert)
     most, width = (F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[i])) for m, r in ranges.items()]) for i in range(2))
     inside = values.filter((F.col("value") >= 0) & (F.col("value") < most))
-    return inside.groupBy("mate", "metric", F.floor(F.col("value") / width).alias("bin")).agg(F.count("*").alias("n"))
+    return inside.groupBy(*(keys or ("mate",)), "metric", F.floor(F.col("value") / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def dynamic_histogram(values: DataFrame, *keys: str, bins: int = 100) -> DataFrame:
-    """As range_histogram, over each group's own range widened by 5 % on both sides."""
+    """As range_histogram, over each group's own range, widened by 5 % at the top; a single value gets a
+    range of 1 to both sides first."""
     spread = values.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    same = F.abs(F.col("_hi") - F.col("_lo")) < 2.220446049250313e-16
+    spread = spread.select(*keys, F.when(same, F.col("_lo") - 1).otherwise(F.col("_lo")).alias("_lo"), F.when(same, F.col("_hi") + 1).otherwise(F.col("_hi")).alias("_hi"))
     d = values.join(spread, list(keys)) if keys else values.crossJoin(F.broadcast(spread))  # one row
-    pad = (F.col("_hi") - F.col("_lo")) * 0.05
-    width = F.greatest((F.col("_hi") - F.col("_lo") + 2 * pad) / bins, F.lit(1e-12))
-    return d.groupBy(*keys, F.floor((F.col("value") - F.col("_lo") + pad) / width).alias("bin")).agg(F.count("*").alias("n"))
+    width = (F.col("_hi") + (F.col("_hi") - F.col("_lo")) * 0.05 - F.col("_lo")) / bins
+    return d.groupBy(*keys, F.floor((F.col("value") - F.col("_lo")) / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+#: Positions that one task sweeps: a reference of any length is cut into tiles, and depth is carried over.
+TILE = 1 << 20
+
+
+_COUNTS = ("primary_reads", "secondary_reads", "primary_concordant", "secondary_concordant")
 
 
 def depth_events(df: DataFrame) -> DataFrame:
-    """(rname, at, primary, secondary, mismatch): changes of depth at 0-based positions.
+    """(rname, at, primary, secondary, mismatch, counts): changes of depth at 0-based positions; at
+    position 0 also the numbers of records.
 
     M and = raise the depth, X too and the mismatch depth; D and N only move on."""
     ops = F.regexp_extract_all("cigar", F.lit("([0-9]+[M=XDN])"), 1)
     start = F.greatest(F.col("pos") - 1, F.lit(0))
-    step = F.struct(F.lit(0).cast("long").alias("o"), F.array().cast("array<struct<o:bigint,n:bigint,k:string>>").alias("runs"))
+    step = F.struct(F.lit(0).cast("long").alias("o"), F.array().cast("array<struct<at:bigint,d:bigint,k:string>>").alias("runs"))
 
     def move(a, x):
         n, k = F.substring_index(F.substring_index(F.substring_index(F.substring_index(F.substring_index(x, "M", 1), "=", 1), "X", 1), "D", 1), "N", 1).cast("long"), F.right(x, F.lit(1))
-        covers = k.isin("M", "=", "X")
-        return F.struct((a["o"] + n).alias("o"), F.when(covers, F.array_append(a["runs"], F.struct(a["o"].alias("o"), n.alias("n"), k.alias("k")))).otherwise(a["runs"]).alias("runs"))
+        event = lambda at, d: F.struct(at.alias("at"), F.lit(d).cast("long").alias("d"), k.alias("k"))
+        more = F.concat(a["runs"], F.array(event(a["o"], 1), event(a["o"] + n, -1)))
+        return F.struct((a["o"] + n).alias("o"), F.when(k.isin("M", "=", "X"), more).otherwise(a["runs"]).alias("runs"))
+
+    runs = F.when(A.cigar_is_valid("cigar"), F.aggregate(ops, step, move)["runs"])
+    record = F.array(F.struct((-F.col("s")).alias("at"), F.lit(1).cast("long").alias("d"), F.lit("R").alias("k")))
+    each = df.select("rname", start.alias("s"), A.is_primary("flag").alias("p"), A.has_flag("flag", "is_proper").alias("c"), runs.alias("runs"))
+    ends = each.select("rname", "s", "p", "c", F.explode(F.concat(record, F.coalesce("runs", F.array().cast("array<struct<at:bigint,d:bigint,k:string>>")))).alias("e"))
+    one = lambda name, c: F.sum(F.when(c, F.col("e.d")).otherwise(0)).alias(name)
+    p, c, r = F.col("p"), F.col("c"), F.col("e.k") == "R"
+    return ends.groupBy("rname", (F.col("s") + F.col("e.at")).alias("at")).agg(
+        one("primary", p & ~r), one("secondary", ~p & ~r), one("mismatch", p & (F.col("e.k") == "X")),
+        one("primary_reads", p & r), one("secondary_reads", ~p & r), one("primary_concordant", p & c & r), one("secondary_concordant", ~p & c & r),
+    )
+
 
-    runs = df.filter(A.cigar_is_valid("cigar")).select("rname", start.alias("s"), A.is_primary("flag").alias("p"), F.explode(F.aggregate(ops, step, move)["runs"]).alias("r"))
-    ends = runs.select("rname", "p", F.col("r.k").alias("k"), F.explode(F.array(F.struct((F.col("s") + F.col("r.o")).alias("at"), F.lit(1).cast("long").alias("d")), F.struct((F.col("s") + F.col("r.o") + F.col("r.n")).alias("at"), F.lit(-1).cast("long").alias("d")))).alias("e"))
-    one = lambda c: F.sum(F.when(c, F.col("e.d")).otherwise(0))
-    return ends.groupBy("rname", F.col("e.at").alias("at")).agg(one(F.col("p")).alias("primary"), one(~F.col("p")).alias("secondary"), one(F.col("p") & (F.col("k") == "X")).alias("mismatch"))
+def _swept(df: DataFrame, refs: DataFrame, tile: int) -> DataFrame:
+    """Runs of equal depth, those without depth too, with the record counts that stand at position 0."""
+    depths = ("primary", "secondary", "mismatch")
+    events = depth_events(df).join(refs, F.col("rname") == F.col("ref_name")).filter(F.col("at") < F.col("ref_length")).withColumn("tile", F.floor(F.col("at") / tile))
+    # a tile begins with the depth that the tiles before leave, and ends where the next events begin
+    along = Window.partitionBy("ref_name").orderBy("tile")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy("ref_name", "tile").agg(*[F.sum(c).alias(c) for c in depths], F.min("at").alias("first"))
+    tiles = sums.select("ref_name", "tile", F.lead("first").over(along).alias("next"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in depths])
+    w = Window.partitionBy("ref_name", "tile").orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return events.join(tiles, ["ref_name", "tile"]).select(
+        "ref_name", "ref_length", F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), F.col("next"), F.col("ref_length")).alias("stop"),
+        *[(F.sum(c).over(so_far) + F.col(f"{c}_before")).alias(f"{c}_depth") for c in depths], *_COUNTS,
+    )
 
 
-def coverage_runs(df: DataFrame, refs: DataFrame) -> DataFrame:
+def coverage_runs(df: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame:
     """(ref_name, start, stop, primary_depth, secondary_depth, mismatch_depth): runs of equal depth,
     0-based, stop excluded, clamped at the reference's end; runs without any depth are left out.
 
     A sweep over depth changes, so no position is materialised."""
-    events = depth_events(df).join(refs, F.col("rname") == F.col("ref_name")).filter(F.col("at") < F.col("ref_length"))
-    w = Window.partitionBy("ref_name").orderBy("at")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.select(
-        "ref_name",
-        F.col("at").alias("start"),
-        F.coalesce(F.lead("at").over(w), F.col("ref_length")).alias("stop"),
-        *[F.sum(c).over(so_far).alias(f"{c}_depth") for c in ("primary", "secondary", "mismatch")],
-    )
-    return swept.filter("primary_depth > 0 OR secondary_depth > 0")
+    return _swept(df, refs, tile).filter("primary_depth > 0 OR secondary_depth > 0").select("ref_name", "start", "stop", "primary_depth", "secondary_depth", "mismatch_depth")
+
+
+def depth_strings(df: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref_name, primary_coverage, secondary_coverage, mismatch_coverage): the depth of every position,
+    joined by commas.  A string is as long as its reference, whatever the number of records."""
+    runs = _swept(df, refs, TILE)
+    depths = ("primary", "secondary", "mismatch")
+    first = runs.groupBy("ref_name", "ref_length").agg(F.min("start").alias("f"), F.sort_array(F.collect_list(F.struct("start", "stop", *[F.col(f"{c}_depth").alias(c) for c in depths]))).alias("r"))
+    text = lambda c: F.array_join(F.concat(F.array_repeat(F.lit("0"), F.col("f").cast("int")), F.flatten(F.transform("r", lambda x: F.array_repeat(x[c].cast("string"), (x["stop"] - x["start"]).cast("int"))))), ",")
+    return first.select("ref_name", *[text(c).alias(f"{c}_coverage") for c in depths])
 
 
 def trunc4(x: Column) -> Column:
@@ -217,26 +267,33 @@ def trunc4(x: Column) -> Column:
     return (x * 10000).cast("long") / F.lit(10000.0)
 
 
-def coverage_summary(df: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per reference with primary alignments: counts, breadth, mean depth, identity, reads per kilobase."""
-    hits = df.join(refs, F.col("rname") == F.col("ref_name"))
-    primary, proper = A.is_primary("flag"), A.has_flag("flag", "is_proper")
-    counts = hits.groupBy("ref_name", "ref_length").agg(
-        F.count_if(primary).alias("primary_reads"), F.count_if(~primary).alias("secondary_reads"),
-        F.count_if(primary & proper).alias("primary_concordant"), F.count_if(~primary & proper).alias("secondary_concordant"),
-    )
-    n = F.col("stop") - F.col("start")
-    depth = coverage_runs(df, refs).groupBy("ref_name").agg(
-        F.sum(n * F.col("primary_depth")).alias("primary_bases"), F.sum(n * F.col("secondary_depth")).alias("secondary_bases"),
-        F.sum(n * F.col("mismatch_depth")).alias("mismatch_bases"), F.sum(F.when(F.col("primary_depth") > 0, n).otherwise(0)).alias("primary_covered"),
-        F.sum(n).alias("any_covered"), F.sum(F.when(F.col("mismatch_depth") > 0, n).otherwise(0)).alias("mismatch_covered"),
-    )
-    d = counts.filter("primary_reads > 0").join(depth, "ref_name", "left").fillna(0)
+def coverage_summary(df: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame:
+    """Per reference with primary alignments: reads, bases, breadth, mean depth, identity and reads per
+    kilobase; primary and secondary alignments together where a name does not tell.  One scan."""
+    n, some = F.col("stop") - F.col("start"), lambda c: F.sum(F.when(c, F.col("stop") - F.col("start")).otherwise(0))
+    p, s, m = F.col("primary_depth"), F.col("secondary_depth"), F.col("mismatch_depth")
+    d = _swept(df, refs, tile).groupBy("ref_name", "ref_length").agg(
+        *[F.sum(c).alias(c) for c in _COUNTS], F.sum(n * p).alias("primary_bases"), F.sum(n * (p + s)).alias("aligned_bases"), F.sum(n * m).alias("mismatches"),
+        some(p > 0).alias("pos_primary"), some((p > 0) | (s > 0)).alias("pos_covered"), some(m > 0).alias("pos_mismatched"),
+    ).filter("primary_reads > 0")
     per = lambda a, b: trunc4(F.try_divide(F.col(a).cast("double"), F.col(b)))
+    reads = F.col("primary_reads") + F.col("secondary_reads")
+    identity = F.when(F.col("aligned_bases") > 0, trunc4(F.greatest(F.col("aligned_bases") - F.col("mismatches"), F.lit(0)).cast("double") / F.col("aligned_bases"))).otherwise(F.lit(0.0))
     return d.select(
-        "ref_name", "ref_length", "primary_reads", "secondary_reads", "primary_concordant", "secondary_concordant", "primary_bases", "secondary_bases", "mismatch_bases",
-        per("primary_covered", "ref_length").alias("breadth"), per("any_covered", "ref_length").alias("breadth_any"), per("mismatch_covered", "ref_length").alias("breadth_mismatch"),
-        per("primary_bases", "ref_length").alias("mean_depth"), per("primary_bases", "primary_covered").alias("mean_covered_depth"),
-        trunc4(F.try_divide((F.col("primary_bases") - F.col("mismatch_bases")).cast("double"), F.col("primary_bases"))).alias("identity"),
-        trunc4(F.col("primary_reads") * 1000.0 / F.col("ref_length")).alias("reads_per_kb"),
+        "ref_name", "aligned_bases", per("pos_covered", "ref_length").alias("aligned_cov_ratio"), identity.alias("aligned_cov_identity"), per("aligned_bases", "pos_covered").alias("aligned_pos_avg_cov"),
+        F.col("pos_covered").alias("aligned_pos_covered"), F.col("pos_mismatched").alias("aligned_pos_mismatched"), F.col("pos_primary").alias("aligned_pos_primary"),
+        reads.alias("aligned_reads"), F.col("primary_reads").alias("aligned_reads_primary"), F.col("secondary_reads").alias("aligned_reads_secondary"), F.col("mismatches").alias("aligned_bases_mismatches"),
+        F.col("primary_concordant").alias("aligned_reads_primary_concordant"), F.col("secondary_concordant").alias("aligned_reads_secondary_concordant"),
+        per("aligned_bases", "ref_length").alias("average_coverage"), per("primary_bases", "ref_length").alias("average_coverage_primary"), "ref_length",
+        trunc4(F.try_divide(reads.cast("double"), F.col("ref_length") / 1000.0)).alias("rpk"),
+    )
+
+
+def run_counters(df: DataFrame, refs: DataFrame, passed: Column) -> DataFrame:
+    """One row: records seen, primary and secondary ones that pass, references that either of them hits."""
+    known = df.withColumns({"_k": F.coalesce(passed, F.lit(False)), "_p": A.is_primary("flag")}).join(refs.select(F.col("ref_name").alias("_ref")), F.col("rname") == F.col("_ref"), "left")
+    k, p = F.col("_k"), F.col("_p")
+    return known.agg(
+        F.count("*").alias("alignments_seen"), F.count_if(k & p).alias("passed_primary"), F.count_if(k & ~p).alias("passed_secondary"),
+        F.count_distinct(F.when(k & p, F.col("_ref"))).alias("refs_primary"), F.count_distinct(F.when(k & ~p, F.col("_ref"))).alias("refs_secondary"),
     )

@@ -146,3 +146,28 @@ def confusion(hist: DataFrame, bins: Bins, thresholds: list[float], positives: i
         ratio(tn, fp + tn).alias("specificity"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tn, tn + fn, 1.0).alias("npv"),
         ratio(tp + fn, tp + fp + fn + tn).alias("prevalence"), ratio(2 * tp, 2 * tp + fp + fn, 0.0).alias("f1"),
     )
+
+
+def even_curve(hist: DataFrame, bins: Bins, positives: int, negatives: int, steps: int = 100, pool: str = "pool") -> DataFrame:
+    """(kind, step, x, y): ROC and precision-recall points at even thresholds from the least to the greatest
+    value of the bins, anchored at (1, 1) and (0, 0), and at (0, 1) for precision."""
+    thresholds = [bins.least + (bins.most - bins.least) * (i / steps) for i in range(steps + 1)]
+    d = confusion(hist, bins, thresholds, positives, negatives, pool)
+    order = Window.orderBy("threshold")
+    points = d.select(F.row_number().over(order).cast("long").alias("step"), F.coalesce("fpr", F.lit(0.0)).alias("fpr"), F.coalesce("recall", F.lit(0.0)).alias("tpr"), "precision")
+    ends = points.agg(F.min_by(F.struct("fpr", "tpr"), "step").alias("a"), F.max_by(F.struct("fpr", "tpr"), "step").alias("z"))  # one row
+    at = lambda kind, step, x, y: F.struct(F.lit(kind).alias("kind"), F.lit(step).cast("long").alias("step"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    anchors = F.array_compact(F.array(
+        F.when((F.col("a.fpr") < 1) | (F.col("a.tpr") < 1), at("roc", 0, 1.0, 1.0)),
+        F.when((F.col("z.fpr") > 0) | (F.col("z.tpr") > 0), at("roc", steps + 2, 0.0, 0.0)),
+        F.when(F.col("z.tpr") > 0, at("pr", steps + 2, 0.0, 1.0)),
+    ))
+    inner = points.select(F.lit("roc").alias("kind"), "step", F.col("fpr").alias("x"), F.col("tpr").alias("y")).unionByName(points.select(F.lit("pr").alias("kind"), "step", F.col("tpr").alias("x"), F.col("precision").alias("y")))
+    return inner.unionByName(ends.select(F.explode(anchors).alias("p")).select("p.*"))
+
+
+def even_areas(points: DataFrame) -> DataFrame:
+    """(kind, area) by trapezoids over even_curve, whichever way it runs."""
+    w = Window.partitionBy("kind").orderBy("step")
+    d = points.select("kind", F.abs(F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") + F.lag("y").over(w)).alias("sum"))
+    return d.groupBy("kind").agg(F.coalesce(F.sum(F.col("dx") * F.col("sum") / 2), F.lit(0.0)).alias("area"))

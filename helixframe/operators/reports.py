@@ -46,23 +46,38 @@ def alignment_report(title: str, counters: DataFrame, summary: DataFrame, histog
     """Counters and metric statistics per mate, with a histogram of each metric."""
     groups: dict[tuple, dict[int, int]] = {}
     for r in histogram.collect():
-        groups.setdefault((r["metric"], r["mate"]), {})[r["bin"]] = r["n"]
+        groups.setdefault((r["metric"], r["mate"] or 0), {})[r["bin"]] = r["n"]
     parts = [("Reads", table(counters)), ("Metrics", table(summary))] + [(f"{m}, mate {k}", bars(c)) for (m, k), c in sorted(groups.items())]
     return page(title, parts, [[m, k, sorted(c.items())] for (m, k), c in sorted(groups.items())])
 
 
-def evaluation_report(title: str, confusion: DataFrame, curve: DataFrame) -> str:
-    """Confusion counts by threshold with ROC and precision-recall curves."""
-    rows = sorted(curve.collect(), key=lambda r: r["step"])
-    roc, pr = [(r["fpr"], r["tpr"]) for r in rows], [(r["tpr"], r["precision"]) for r in rows]
-    return page(title, [("Thresholds", table(confusion)), ("ROC", line(roc)), ("Precision and recall", line(pr))], {"roc": roc, "pr": pr})
-
-
-def comparison_report(title: str, runs: dict[str, tuple[DataFrame, DataFrame]]) -> str:
-    """Curves and areas of several runs: name -> (curve, areas)."""
-    parts, data = [], {}
-    for name, (curve, areas) in runs.items():
-        points = [(r["fpr"], r["tpr"]) for r in sorted(curve.collect(), key=lambda r: r["step"])]
-        parts += [(name, table(areas) + line(points))]
-        data[name] = points
-    return page(title, parts, data)
+def threshold_slider(metric: str, rows: list[tuple[float, int, int]]) -> str:
+    """A slider over thresholds that shows true and false positives at and above each."""
+    data = escape(json.dumps(rows))
+    show = "const r=JSON.parse(this.dataset.rows)[this.value];this.nextElementSibling.textContent=`at least ${r[0].toFixed(2)}: true ${r[1]}, false ${r[2]}`"
+    return f'<p><input type="range" min="0" max="{max(len(rows) - 1, 0)}" value="0" data-rows="{data}" oninput="{escape(show)}"><span>{escape(metric)}</span></p>'
+
+
+def evaluation_report(title: str, document: dict, parts: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> str:
+    """Totals, and for each measure confusion counts, a threshold slider and curves with their areas."""
+    totals = "".join(f"<tr><td>{escape(k)}</td><td>{v}</td></tr>" for k, v in document.items() if isinstance(v, int))
+    out = [("Totals", f"<table>{totals}</table>")]
+    for metric, (confusion, points, areas) in parts.items():
+        rows = sorted(points.collect(), key=lambda r: r["step"])
+        own = {k: [(r["x"], r["y"]) for r in rows if r["kind"] == k] for k in ("roc", "pr")}
+        pools = [document[k][metric] for k in ("true_positives", "false_positives_control", "false_positives_cross")]
+        above = [[sum(p["counts"][i:]) for i in range(max(len(p["counts"]) for p in pools))] for p in pools]
+        steps = [(pools[0]["min_val"] + i * pools[0]["bin_width"], above[0][i], above[1][i] + above[2][i]) for i in range(len(above[0]))]
+        out.append((metric, table(confusion) + threshold_slider(metric, steps) + table(areas) + line(own["roc"]) + line(own["pr"])))
+    return page(title, out, document)
+
+
+def comparison_report(title: str, runs: list[dict]) -> str:
+    """Curves and areas of several runs, as compared documents hold them, for each measure."""
+    parts = []
+    for metric in dict.fromkeys(m for r in runs for m in r["curves"]):
+        for r in runs:
+            if c := r["curves"].get(metric):
+                head = f"<p>ROC area {c['roc_auc']:.6f}, precision-recall area {c['pr_auc']:.6f}</p>"
+                parts.append((f"{metric}: {r['id']}", head + line(list(zip(c["fpr"], c["tpr"], strict=True))) + line(list(zip(c["tpr"], c["precision"], strict=True)))))
+    return page(title, parts, runs)

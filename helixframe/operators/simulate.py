@@ -20,16 +20,28 @@ CHUNK = 2_000
 SLACK = 20
 READ_SCHEMA = "r1_id string, r1_seq string, r1_qual string, r2_id string, r2_seq string, r2_qual string"
 _BASES = np.frombuffer(b"ACGT", np.uint8)
+_CODE = np.full(256, 4)
+_CODE[_BASES] = np.arange(4)
 _COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
 
 
 class Model:
-    """Cumulative tables for lengths, inserts and per-cycle qualities."""
+    """Cumulative tables for lengths, inserts and per-cycle qualities.
 
-    def __init__(self, r1=None, r2=None, insert=None, q1=None, q2=None, read_length: int = 150) -> None:
+    vary_lengths: reads take their lengths from r1 and r2; otherwise all have read_length."""
+
+    def __init__(self, r1=None, r2=None, insert=None, q1=None, q2=None, read_length: int = 150, vary_lengths: bool = True) -> None:
         point = lambda x: {x: 1}
+        if not vary_lengths:
+            r1 = r2 = None
         self.tables = [self._cumulate(t) for t in (r1 or point(read_length), r2 or point(read_length), insert or {i: 1 for i in range(300, 401)})]
-        self.q1, self.q2 = ([self._cumulate(t) for t in (q or [point(37)])] for q in (q1, q2))
+        self.q1, self.q2 = ([self._cumulate(t) for t in (q or [point(37)]) if t] or [self._cumulate(point(37))] for q in (q1, q2))
+
+    @classmethod
+    def from_document(cls, m: dict, read_length: int = 150, vary_lengths: bool = False) -> Model:
+        """A model as model_document stores it."""
+        read = lambda h: {round(h["min_val"] + i * h["bin_width"]): n for i, n in enumerate(h["counts"]) if n}
+        return cls(read(m["r1_lengths"]), read(m["r2_lengths"]), read(m["insert_sizes"]), *([*map(read, m[f"r{k}_qualities"])] for k in (1, 2)), read_length, vary_lengths)
 
     @staticmethod
     def _cumulate(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,32 +55,57 @@ class Model:
         return values[np.minimum(np.searchsorted(share, p), len(values) - 1)]
 
 
+def model_document(runs: DataFrame, read_length: int = 150, least_mapq: int = 40, most_insert: int = 1000) -> dict:
+    """Model of name-run pairs (r1, r2 with seq and qual as bytes of quality): inserts, lengths and per-cycle
+    qualities, all as histograms with their empty ends cut off."""
+    from .alignments import insert_sizes
+    from .evaluation import histogram_document
+    from .histograms import Bins, build
+
+    pairs = runs.filter("r1 IS NOT NULL AND r2 IS NOT NULL")
+    rows = lambda df: {r["bin"]: r["n"] for r in df.collect()}  # noqa: E731  as many as a histogram has bins
+    insert, length, quality = Bins(0, most_insert, 1), Bins(0, read_length, 1), Bins(0, 60, 1)
+    out = {"max_read_length": read_length, "insert_sizes": histogram_document(rows(build(insert_sizes(pairs, least_mapq, most_insert), insert, value="insert_size")), insert)}
+    for k in (1, 2):
+        size = F.octet_length(f"r{k}.qual")
+        out[f"r{k}_lengths"] = histogram_document(rows(build(pairs.select(size.cast("double").alias("value")), length)), length)
+    for k in (1, 2):
+        # two hex digits a quality byte
+        hexed = pairs.select(F.hex(f"r{k}.qual").alias("h")).filter("length(h) > 0")
+        cycles = hexed.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.least(F.length("h") / 2, F.lit(read_length)).cast("int") - 1), lambda i: F.substr("h", 2 * i + 1, F.lit(2)))).alias("cycle", "q"))
+        counts: list[dict[int, int]] = [{} for _ in range(read_length)]
+        for r in build(cycles.select("cycle", F.conv("q", 16, 10).cast("double").alias("value")), quality, "cycle").collect():
+            counts[r["cycle"]][r["bin"]] = r["n"]
+        out[f"r{k}_qualities"] = [histogram_document(c, quality) for c in counts]
+    return out
+
+
 def mutate(bases: np.ndarray, length: int, substitution: float, indel: float, rng: np.random.Generator) -> tuple[np.ndarray, tuple[int, int, int]]:
     """`length` bases read off a slice with errors, upper case, padded at random: (bases, numbers of
-    substitutions, insertions and deletions)."""
-    out: list[int] = []
-    subs = ins = dels = 0
-    event, kind = rng.random(len(bases)), rng.random(len(bases))
-    pick = rng.integers(0, 4, len(bases))
-    for i, b in enumerate(bases.tolist()):
-        if len(out) >= length:
-            break
-        b = b - 32 if b >= 97 else b
-        if event[i] < indel:
-            if kind[i] < 0.5:
-                ins += 1
-                out += (b, int(_BASES[pick[i]]))
-            else:
-                dels += 1
-        elif kind[i] < substitution:
-            subs += 1
-            others = [x for x in _BASES.tolist() if x != b]
-            out.append(others[pick[i] % len(others)])
-        else:
-            out.append(b)
-    out = out[:length]
-    out += _BASES[rng.integers(0, 4, length - len(out))].tolist()
-    return np.array(out, np.uint8), (subs, ins, dels)
+    substitutions, insertions and deletions).
+
+    At each step an indel happens first: half of them put a random base before the current one, which
+    then is looked at again, half leave the current one out.  Else a substitution takes one of the
+    other bases, each alike."""
+    bases = np.where(bases >= 97, bases - 32, bases)
+    if not indel:
+        steps = min(len(bases), length)
+        ins = dels = np.zeros(steps, bool)
+    else:
+        steps = len(bases) + length  # each step uses up a base or makes one
+        hit, half = rng.random(steps) < indel, rng.random(steps) < 0.5
+        ins, dels = hit & half, hit & ~half
+    at = np.cumsum(~ins) - ~ins
+    made = np.cumsum(~dels) - ~dels
+    live = (at < len(bases)) & (made < length)
+    ins, dels, at = ins[live], dels[live], at[live]
+    current = bases[at]
+    sub = ~ins & ~dels & (rng.random(len(at)) < substitution)
+    code = _CODE[current]
+    other = np.where(code < 4, (code + rng.integers(1, 4, len(at))) % 4, rng.integers(0, 4, len(at)))
+    out = np.where(ins, _BASES[rng.integers(0, 4, len(at))], np.where(sub, _BASES[other], current))[~dels]
+    padding = _BASES[rng.integers(0, 4, length - len(out))]
+    return np.concatenate((out, padding)).astype(np.uint8), (int(sub.sum()), int(ins.sum()), int(dels.sum()))
 
 
 def _generate(model: Model, prefix: str, keyword: str, substitution: float, indel: float, seed: int):
@@ -99,8 +136,9 @@ def _generate(model: Model, prefix: str, keyword: str, substitution: float, inde
 
 def simulate(contigs: DataFrame, n: int, prefix: str, keyword: str, model: Model | None = None, substitution: float = 0.0, indel: float = 0.0, seed: int = 0) -> DataFrame:
     """Read pairs from contigs (contig, seq), about n times each contig's share of all bases."""
-    size = F.length("seq").cast("double")
-    keyed = contigs.withColumn("_id", F.xxhash64("contig", "seq"))
+    # equal chunks of one contig are one chunk of more weight
+    keyed = contigs.withColumn("_id", F.xxhash64("contig", "seq")).groupBy("_id").agg(F.first("contig").alias("contig"), F.first("seq").alias("seq"), F.count("*").alias("_m"))
+    size = F.length("seq").cast("double") * F.col("_m")
     # cumulative shares over the small table of sizes; sequences join back by key
     sizes = keyed.select("_id", size.alias("_s"))
     w = Window.orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)

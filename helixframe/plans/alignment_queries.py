@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..operators import alignments as al
-from ..operators import histograms as H
+from ..operators import evaluation
 from .fixtures import fixture, with_sql
 
 # the alignment rows with flags and measures spelled out for the other engine
@@ -153,13 +153,13 @@ FROM n LEFT JOIN p AS a ON a.qname = n.qname AND a.ord = o1 LEFT JOIN p AS b ON
 
 
 def insert_size(spark, sf):
-    # names of this fixture rarely meet on one reference: all are put on one
-    d = _aln(spark, sf).withColumn("rname", F.lit("ref1"))
+    # few references, so that pairs meet on one: the mates of two thirds of the names do not
+    d = _aln(spark, sf).withColumn("rname", F.expr("concat('ref', CAST(CAST(substring(rname, 4) AS BIGINT) % 3 AS STRING))"))
     return al.insert_sizes(al.name_runs(d), least_mapq=5)
 
 
 INSERT_SIZE = _sql(_RUNS + """, i AS (SELECT n.qname, CASE WHEN a.pos <= b.pos THEN b.pos + b.span - a.pos ELSE a.pos + a.span - b.pos END AS insert_size
-FROM n JOIN p AS a ON a.qname = n.qname AND a.ord = o1 JOIN p AS b ON b.qname = n.qname AND b.ord = o2 WHERE a.mapq >= 5 AND b.mapq >= 5 AND a.pos > 0 AND b.pos > 0)
+FROM n JOIN p AS a ON a.qname = n.qname AND a.ord = o1 JOIN p AS b ON b.qname = n.qname AND b.ord = o2 WHERE a.mapq >= 5 AND b.mapq >= 5 AND a.pos > 0 AND b.pos > 0 AND CAST(substring(a.rname, 4) AS BIGINT) % 3 = CAST(substring(b.rname, 4) AS BIGINT) % 3)
 SELECT qname, insert_size FROM i WHERE insert_size > 0 AND insert_size <= 1000""")
 
 
@@ -178,7 +178,7 @@ GLOBAL_COUNTERS = _sql("""SELECT CASE WHEN read1 THEN 1 ELSE 2 END AS mate, coun
   count(*) FILTER (NOT unmapped AND is_primary) AS primary_mapped, count(*) FILTER (NOT unmapped AND is_primary AND mapq > 0) AS primary_mapq_above_0,
   count(*) FILTER (NOT unmapped AND is_primary AND mapq = 0) AS primary_mapq_0, count(*) FILTER (NOT unmapped AND is_primary AND (flag & 8) <> 0) AS singletons,
   count(*) FILTER (NOT unmapped AND is_primary AND (flag & 8) = 0 AND proper) AS concordant, count(*) FILTER (NOT unmapped AND is_primary AND (flag & 8) = 0 AND NOT proper) AS discordant,
-  count(*) FILTER (NOT unmapped AND NOT is_primary) AS secondary FROM x WHERE (flag & 192) <> 0 GROUP BY 1""")
+  count(*) FILTER (NOT unmapped AND NOT is_primary) AS secondary, (SELECT count(DISTINCT qname) FROM aln) AS total_reads FROM x WHERE (flag & 192) <> 0 GROUP BY 1""")
 
 _VALUES = """, w AS (SELECT * FROM m WHERE NOT unmapped AND is_primary AND mapq > 0),
 v AS (SELECT mate, 'mapq' AS metric, CAST(least(mapq, 60) AS DOUBLE) AS value FROM w UNION ALL SELECT mate, 'align_score', least(CAST(as_score AS DOUBLE), 300) FROM w WHERE as_score IS NOT NULL
@@ -196,11 +196,22 @@ METRIC_SUMMARY = _sql(_VALUES + "SELECT mate, metric, count(*) AS n, round(avg(v
 
 
 def report_histogram(spark, sf):
-    values = al.capped_metrics(_aln(spark, sf)).filter("metric IN ('mapq', 'align_length', 'percent_identity')")
-    return al.range_histogram(values, 0.0, 101.0, 1.0, "mate", "metric")
+    return al.report_histograms(al.capped_metrics(_aln(spark, sf)))
 
 
-REPORT_HISTOGRAM = _sql(_VALUES + "SELECT mate, metric, CAST(floor(value) AS BIGINT) AS bin, count(*) AS n FROM v WHERE metric IN ('mapq', 'align_length', 'percent_identity') AND value >= 0 AND value < 101 GROUP BY 1, 2, 3")
+REPORT_HISTOGRAM = _sql(_VALUES + """, c AS (SELECT * FROM (VALUES ('mapq', 61::DOUBLE, 1::DOUBLE), ('align_score', 301, 1), ('align_length', 151, 1), ('as_al', 2.01, 0.01), ('align_proportion', 1.01, 0.01), ('percent_identity', 101, 1)) AS t(metric, most, width))
+SELECT mate, metric, CAST(floor(value / width) AS BIGINT) AS bin, count(*) AS n FROM v JOIN c USING (metric) WHERE value >= 0 AND value < most GROUP BY 1, 2, 3""")
+
+
+def dynamic_histogram(spark, sf):
+    """Alignment scores of each reference over their own range."""
+    d = al.with_metrics(_aln(spark, sf)).filter("as_score IS NOT NULL").select("rname", F.col("as_score").cast("double").alias("value"))
+    return al.dynamic_histogram(d, "rname")
+
+
+DYNAMIC_HISTOGRAM = _sql(""", u AS (SELECT rname, CAST(as_score AS DOUBLE) AS v FROM m WHERE as_score IS NOT NULL),
+g AS (SELECT rname, CASE WHEN min(v) = max(v) THEN min(v) - 1 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 1 ELSE max(v) END AS hi FROM u GROUP BY 1)
+SELECT rname, CAST(floor((v - lo) / ((hi + (hi - lo) * 0.05::DOUBLE - lo) / 100)) AS BIGINT) AS bin, count(*) AS n FROM u JOIN g USING (rname) GROUP BY 1, 2""")
 
 
 def cycle_quality_hist(spark, sf):
@@ -236,24 +247,28 @@ def coverage_summary(spark, sf):
 
 
 COVERAGE_SUMMARY = _sql(_DEPTH.format(where=" AND NOT unmapped AND mapq >= 5") + """,
-c AS (SELECT ref_name, ref_length, count(*) FILTER (is_primary) AS primary_reads, count(*) FILTER (NOT is_primary) AS secondary_reads, count(*) FILTER (is_primary AND proper) AS primary_concordant,
-  count(*) FILTER (NOT is_primary AND proper) AS secondary_concordant FROM x JOIN refs ON rname = ref_name WHERE NOT unmapped AND mapq >= 5 GROUP BY 1, 2),
-t AS (SELECT ref_name, CAST(sum(pd) AS BIGINT) AS pb, CAST(sum(sd) AS BIGINT) AS sb, CAST(sum(md) AS BIGINT) AS mb, count(*) FILTER (pd > 0) AS pc, count(*) AS ac, count(*) FILTER (md > 0) AS mc FROM d GROUP BY 1)
-SELECT ref_name, ref_length, primary_reads, secondary_reads, primary_concordant, secondary_concordant, coalesce(pb, 0) AS primary_bases, coalesce(sb, 0) AS secondary_bases, coalesce(mb, 0) AS mismatch_bases,
-  trunc(CAST(coalesce(pc, 0) AS DOUBLE) / ref_length * 10000) / 10000 AS breadth, trunc(CAST(coalesce(ac, 0) AS DOUBLE) / ref_length * 10000) / 10000 AS breadth_any, trunc(CAST(coalesce(mc, 0) AS DOUBLE) / ref_length * 10000) / 10000 AS breadth_mismatch,
-  trunc(CAST(coalesce(pb, 0) AS DOUBLE) / ref_length * 10000) / 10000 AS mean_depth, trunc(CAST(pb AS DOUBLE) / nullif(pc, 0) * 10000) / 10000 AS mean_covered_depth,
-  trunc(CAST(pb - mb AS DOUBLE) / nullif(pb, 0) * 10000) / 10000 AS identity, trunc(primary_reads * 1000.0::DOUBLE / ref_length * 10000) / 10000 AS reads_per_kb
-FROM c LEFT JOIN t USING (ref_name) WHERE primary_reads > 0""", "refs")
+c AS (SELECT ref_name, ref_length, count(*) FILTER (is_primary) AS pr, count(*) FILTER (NOT is_primary) AS sr, count(*) FILTER (is_primary AND proper) AS pc,
+  count(*) FILTER (NOT is_primary AND proper) AS sc FROM x JOIN refs ON rname = ref_name WHERE NOT unmapped AND mapq >= 5 GROUP BY 1, 2),
+t AS (SELECT ref_name, CAST(sum(pd) AS BIGINT) AS pb, CAST(sum(pd + sd) AS BIGINT) AS ab, CAST(sum(md) AS BIGINT) AS mm, count(*) FILTER (pd > 0) AS pp, count(*) AS ap, count(*) FILTER (md > 0) AS mp FROM d GROUP BY 1),
+f AS (SELECT ref_name, ref_length, pr, sr, pc, sc, coalesce(pb, 0) AS pb, coalesce(ab, 0) AS ab, coalesce(mm, 0) AS mm, coalesce(pp, 0) AS pp, coalesce(ap, 0) AS ap, coalesce(mp, 0) AS mp FROM c LEFT JOIN t USING (ref_name) WHERE pr > 0)
+SELECT ref_name, ref_length, ab AS aligned_bases, trunc(CAST(ap AS DOUBLE) / ref_length * 10000) / 10000 AS aligned_cov_ratio,
+  CASE WHEN ab > 0 THEN trunc(CAST(ab - mm AS DOUBLE) / ab * 10000) / 10000 ELSE 0 END AS aligned_cov_identity, trunc(CAST(ab AS DOUBLE) / nullif(ap, 0) * 10000) / 10000 AS aligned_pos_avg_cov,
+  ap AS aligned_pos_covered, mp AS aligned_pos_mismatched, pp AS aligned_pos_primary, pr + sr AS aligned_reads, pr AS aligned_reads_primary, sr AS aligned_reads_secondary, mm AS aligned_bases_mismatches,
+  pc AS aligned_reads_primary_concordant, sc AS aligned_reads_secondary_concordant, trunc(CAST(ab AS DOUBLE) / ref_length * 10000) / 10000 AS average_coverage,
+  trunc(CAST(pb AS DOUBLE) / ref_length * 10000) / 10000 AS average_coverage_primary, trunc(CAST(pr + sr AS DOUBLE) / (ref_length / 1000.0::DOUBLE) * 10000) / 10000 AS rpk FROM f""", "refs")
+
+
+def coverage_strings(spark, sf):
+    return al.depth_strings(al.high_pass(al.with_metrics(_aln(spark, sf)), mq=5), fixture(spark, sf, "refs"))
+
+
+COVERAGE_STRINGS = _sql(_DEPTH.format(where=" AND NOT unmapped AND mapq >= 5") + """, h AS (SELECT DISTINCT ref_name, ref_length FROM x JOIN refs ON rname = ref_name WHERE NOT unmapped AND mapq >= 5), g AS (SELECT ref_name, unnest(range(0, ref_length)) AS p FROM h)
+SELECT ref_name, string_agg(CAST(coalesce(pd, 0) AS VARCHAR), ',' ORDER BY p) AS primary_coverage, string_agg(CAST(coalesce(sd, 0) AS VARCHAR), ',' ORDER BY p) AS secondary_coverage, string_agg(CAST(coalesce(md, 0) AS VARCHAR), ',' ORDER BY p) AS mismatch_coverage
+FROM g LEFT JOIN d USING (ref_name, p) GROUP BY 1""", "refs")
 
 
 def coverage_run_stats(spark, sf):
-    d = al.with_metrics(_aln(spark, sf))
-    kept = al.high_pass(d, mq=5).withColumn("p", A.is_primary("flag"))
-    seen = _aln(spark, sf).agg(F.count("*").alias("alignments_seen"))
-    passed = kept.agg(F.count_if("p").alias("passed_primary"), F.count_if(~F.col("p")).alias("passed_secondary"))
-    known = kept.join(fixture(spark, sf, "refs"), F.col("rname") == F.col("ref_name"))
-    refs = known.agg(F.count_distinct(F.when(F.col("p"), F.col("rname"))).alias("refs_primary"), F.count_distinct(F.when(~F.col("p"), F.col("rname"))).alias("refs_secondary"))
-    return seen.join(F.broadcast(passed)).join(F.broadcast(refs))  # one row each
+    return al.run_counters(al.with_metrics(_aln(spark, sf)), fixture(spark, sf, "refs"), al.passes(mq=5))
 
 
 COVERAGE_RUN_STATS = _sql(""", k AS (SELECT * FROM x WHERE NOT unmapped AND mapq >= 5), h AS (SELECT k.* FROM k JOIN refs ON rname = ref_name)
@@ -262,21 +277,16 @@ SELECT (SELECT count(*) FROM aln) AS alignments_seen, (SELECT count(*) FROM k WH
 
 # classification of pairs: the first read's reference decides, every third reference has no class
 _CLASS = "CASE WHEN CAST(substring(rname, 4) AS BIGINT) % 3 <> 0 THEN concat('c', CAST(CAST(substring(rname, 4) AS BIGINT) % 2 AS STRING)) END"
-POOL_BINS = {"mapq": H.Bins(0, 60, 1), "align_length": H.Bins(0, 150, 1), "percent_identity": H.Bins(0, 100, 1)}
 
 
 def _classified(spark, sf):
+    """Names get a truth as their second part; records without a place have no reference."""
     d = _aln(spark, sf)
-    runs = al.name_runs(d).filter("r1 IS NOT NULL AND r2 IS NOT NULL")
+    classes = d.select(F.col("rname").alias("ref_name"), F.expr(_CLASS).alias("classification")).filter("classification IS NOT NULL").distinct()
     number = F.substring("qname", 2, 18).cast("long")
     truth = F.when(number % 4 == 0, "Negative").when(number % 4 == 1, "c0").otherwise("c1")
-    classes = d.select("rname", F.expr(_CLASS).alias("class")).filter("class IS NOT NULL").distinct()
-    joined = runs.withColumn("truth", truth).join(classes, F.col("r1.rname") == F.col("rname"), "left")
-    pool = (
-        F.when((F.col("r1.pos") == 0) & (F.lower("truth") == "negative"), "unmapped_tn").when(F.col("r1.pos") == 0, "unmapped_fn")
-        .when(F.lower("truth") == "negative", "control").when(F.col("class") == F.col("truth"), "tp").otherwise("cross")
-    )
-    return joined.withColumn("pool", pool)
+    named = d.withColumns({"qname": F.concat_ws(":", "qname", truth, F.lit("acc"), F.lit("1")), "rname": F.when(F.col("pos") > 0, F.col("rname"))})
+    return evaluation.classify(al.name_runs(named), classes)
 
 
 def classify_pairs(spark, sf):
@@ -291,24 +301,20 @@ CLASSIFY_PAIRS = _sql(_CLASSIFIED + "SELECT pool, count(*) AS n FROM z GROUP BY
 
 
 def eval_histograms(spark, sf):
-    pairs = _classified(spark, sf).filter("pool IN ('tp', 'control', 'cross')")
-    reads = pairs.select("pool", F.explode(F.array("r1", "r2")).alias("r")).select("pool", "r.*")
-    wide = al.with_metrics(reads).select("pool", F.col("mapq").cast("double").alias("mapq"), F.col("al").cast("double").alias("align_length"), F.col("pi").cast("double").alias("percent_identity"))
-    long = wide.unpivot("pool", ["mapq", "align_length", "percent_identity"], "metric", "value").filter("value IS NOT NULL")
-    bin_ = F.coalesce(*[F.when(F.col("metric") == m, b.of(F.col("value"))) for m, b in POOL_BINS.items()])
-    return long.groupBy("pool", "metric", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return evaluation.pool_histograms(_classified(spark, sf))
 
 
 EVAL_HISTOGRAMS = _sql(_CLASSIFIED.replace("FROM x WHERE", "FROM m WHERE") + """, u AS (SELECT pool, p.* FROM z JOIN p ON p.qname = z.qname AND (p.ord = o1 OR p.ord = o2) WHERE pool IN ('tp', 'control', 'cross')),
 dup AS (SELECT pool, p.* FROM z JOIN p ON p.qname = z.qname AND p.ord = o1 WHERE o1 = o2 AND pool IN ('tp', 'control', 'cross')),
 y AS (SELECT * FROM u UNION ALL SELECT * FROM dup),
-v AS (SELECT pool, 'mapq' AS metric, least(greatest(CAST(mapq AS DOUBLE), 0), 60) AS value FROM y UNION ALL SELECT pool, 'align_length', least(greatest(CAST(al AS DOUBLE), 0), 150) FROM y WHERE al IS NOT NULL
-UNION ALL SELECT pool, 'percent_identity', least(greatest(CAST(pi AS DOUBLE), 0), 100) FROM y WHERE pi IS NOT NULL)
-SELECT pool, metric, CAST(round(value) AS BIGINT) AS bin, count(*) AS n FROM v GROUP BY 1, 2, 3""")
+v AS (SELECT pool, 'mapq' AS metric, CAST(mapq AS DOUBLE) AS value FROM y UNION ALL SELECT pool, 'align_length', al FROM y UNION ALL SELECT pool, 'percent_identity', pi FROM y
+UNION ALL SELECT pool, 'align_score', as_score FROM y UNION ALL SELECT pool, 'as_al', sl FROM y UNION ALL SELECT pool, 'align_proportion', ap FROM y),
+c AS (SELECT * FROM (VALUES ('mapq', 60::DOUBLE, 1::DOUBLE), ('align_score', 1000, 1), ('align_length', 1000, 1), ('as_al', 1000, 0.1), ('align_proportion', 1, 0.01), ('percent_identity', 100, 1)) AS t(metric, most, width))
+SELECT pool, metric, CAST(round(least(greatest(value, 0), most) / width) AS BIGINT) AS bin, count(*) AS n FROM v JOIN c USING (metric) WHERE value IS NOT NULL GROUP BY 1, 2, 3""")
 
 NAMES = (
     "flag_decode tag_extract qname_tokens cigar_summary ref_span align_metrics filter_lowpass filter_highpass filter_counters sam_to_fastq mate_pairs orphans name_run_pairs "
-    "insert_size pair_count global_counters metric_summary report_histogram cycle_quality_hist coverage_depth coverage_summary coverage_run_stats classify_pairs eval_histograms"
+    "insert_size pair_count global_counters metric_summary report_histogram dynamic_histogram cycle_quality_hist coverage_depth coverage_summary coverage_strings coverage_run_stats classify_pairs eval_histograms"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}

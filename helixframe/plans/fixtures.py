@@ -38,18 +38,20 @@ FROM (
 
 REFS = "SELECT 'ref' || CAST(s_suppkey AS STRING) AS ref_name, 600 + (s_suppkey * 37) % 400 AS ref_length FROM {supplier} WHERE s_suppkey % 9 <> 0"
 
-# rank rows of a lineage: supplier -> nation -> region; some suppliers repeat a rank
+# nodes of a lineage for each supplier: all ranks and one that is no column, some without a name; some
+# organisms repeat a rank, have no name, or come in a second entry
 LINEAGE = """
-SELECT 'ref' || CAST(s_suppkey AS STRING) AS accession, CAST(n_nationkey AS BIGINT) + 100 AS tax_id, n_name AS name, 'genus' AS rank, CAST(1 AS BIGINT) AS ordinal
-  FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+SELECT 'ref' || CAST(s_suppkey AS STRING) AS accession, s_suppkey + 5000 AS tax_id, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS name,
+  s_suppkey % (10 + n) + 100 * n AS node_id, CASE WHEN (s_suppkey + n) % 11 = 0 THEN NULL ELSE r || ' ' || CAST(s_suppkey % (10 + n) AS STRING) END AS node_name,
+  r AS rank, CAST(n AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS entry
+  FROM {supplier} CROSS JOIN (VALUES ('realm', 1), ('domain', 2), ('kingdom', 3), ('phylum', 4), ('subphylum', 5), ('class', 6), ('subclass', 7), ('order', 8),
+    ('suborder', 9), ('family', 10), ('subfamily', 11), ('genus', 12), ('subgenus', 13), ('species', 14), ('subspecies', 15), ('no rank', 16)) AS v(r, n)
+  WHERE (s_suppkey + n) % 5 <> 0
 UNION ALL
-SELECT 'ref' || CAST(s_suppkey AS STRING), CAST(r_regionkey AS BIGINT) + 10, r_name, 'family', CAST(2 AS BIGINT)
-  FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+SELECT 'ref' || CAST(s_suppkey AS STRING), s_suppkey + 5000, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END, s_suppkey + 2000, s_name || ' again',
+  CASE WHEN s_suppkey % 2 = 0 THEN 'species' ELSE 'no rank' END, CAST(40 AS BIGINT), CAST(0 AS BIGINT) FROM {supplier} WHERE s_suppkey % 3 = 0
 UNION ALL
-SELECT 'ref' || CAST(s_suppkey AS STRING), s_suppkey + 1000, s_name, 'species', CAST(3 AS BIGINT) FROM {supplier}
-UNION ALL
-SELECT 'ref' || CAST(s_suppkey AS STRING), s_suppkey + 2000, s_name || ' again', CASE WHEN s_suppkey % 2 = 0 THEN 'species' ELSE 'no rank' END, CAST(4 AS BIGINT)
-  FROM {supplier} WHERE s_suppkey % 3 = 0
+SELECT 'ref' || CAST(s_suppkey AS STRING), s_suppkey + 6000, s_name || ' new', s_suppkey + 3000, '  ' || s_name || ' genus ', 'genus', CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM {supplier} WHERE s_suppkey % 8 = 0
 """
 
 # whole texts as DNA: letters are mapped onto bases, everything else is dropped
@@ -58,6 +60,9 @@ SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '
 FROM {documents}
 """
 
+# benchmark texts as DNA, of which the k-mers are a reference set
+BENCH = SEQS.replace("{documents}", "{benchmark}").replace("doc_id", "item_id AS doc_id")
+
 SCORES = "SELECT d.doc_id, CAST(n_chars % 61 AS DOUBLE) AS score, quality, toxic FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id"
 
 TASKS = """
@@ -65,13 +70,17 @@ SELECT p_brand AS id, CAST(count(*) AS DOUBLE) / 8 AS abundance, CAST(sum(p_size
 FROM {part} GROUP BY p_brand
 """
 
-TEXTS = {"aln": ALN, "refs": REFS, "lineage": LINEAGE, "seqs": SEQS, "scores": SCORES, "tasks": TASKS}
-TABLES = ("region", "nation", "supplier", "lineitem", "documents", "labels", "part")
+MANIFEST = """
+SELECT p_brand AS id, CASE WHEN min(p_size) % 3 = 0 THEN 'Negative' ELSE p_brand END AS keyword, CAST(sum(p_size) AS BIGINT) AS calculated_reads FROM {part} GROUP BY p_brand
+"""
+
+TEXTS = {"manifest": MANIFEST, "aln": ALN, "refs": REFS, "lineage": LINEAGE, "seqs": SEQS, "bench": BENCH, "scores": SCORES, "tasks": TASKS}
+TABLES = ("region", "nation", "supplier", "lineitem", "documents", "benchmark", "labels", "part")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TEXTS[name]
-    if name == "seqs":
+    if name in ("seqs", "bench"):
         text = text.replace(", '', 'g')", ", '')")  # all matches are replaced without a flag
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{%s}" % t in text}
     return spark.sql(text, **used)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import histograms as H
-from ..operators import simulate, taxonomy
+from ..operators import evaluation, simulate, taxonomy
 from .fixtures import fixture, with_sql
 
 BINS = H.Bins(0, 60, 1)
@@ -135,32 +135,41 @@ def confusion_metrics(spark, sf):
 
 CONFUSION_METRICS = _sql(_CONFUSION.format(grid=_THRESHOLDS) + "SELECT * FROM r")
 
-RANKS = ("family", "genus", "species")
+def lineage_pivot(spark, sf):
+    return taxonomy.lineage_pivot(fixture(spark, sf, "lineage"))
 
 
-def lineage_pivot(spark, sf):
-    return taxonomy.lineage_pivot(fixture(spark, sf, "lineage"), RANKS)
+def lineage_table(spark, sf):
+    """The pivot with its ids, of which many are missing, as doubles."""
+    d = lineage_pivot(spark, sf)
+    return d.withColumns({c: F.col(c).cast("double") for c in d.columns if c.endswith("_id")})
 
 
-_PIVOT = ", ".join(f"max_by({c}, ordinal) FILTER (rank = '{r}') AS {r}_{s}" for r in RANKS for c, s in (("tax_id", "id"), ("name", "name")))
-LINEAGE_PIVOT = with_sql("lineage") + f" SELECT accession, {_PIVOT} FROM lineage GROUP BY 1"
+# written out from the format, not from the operator: ranks of the table and of the report
+_TABLE_RANKS = "realm domain kingdom phylum subphylum class subclass order suborder family subfamily genus subgenus species subspecies".split()
+_JSON_RANKS = "realm kingdom phylum class order family genus species".split()
+_PIVOT = """, last AS (SELECT accession, max(entry) AS entry FROM lineage GROUP BY 1), n AS (SELECT lineage.* FROM lineage JOIN last USING (accession, entry)),
+o AS (SELECT *, row_number() OVER (PARTITION BY accession, rank ORDER BY ordinal DESC) AS r FROM n),
+t AS (SELECT accession, min(tax_id) AS tax_id, min(name) AS name, """ + ", ".join(f"max(node_id) FILTER (rank = '{r}' AND r = 1) AS {r}_id, max(node_name) FILTER (rank = '{r}' AND r = 1) AS {r}_name" for r in _TABLE_RANKS) + " FROM o GROUP BY 1)"
+LINEAGE_TABLE = with_sql("lineage") + _PIVOT + " SELECT accession, name, CAST(tax_id AS DOUBLE) AS tax_id, " + ", ".join(f"CAST({r}_id AS DOUBLE) AS {r}_id, {r}_name" for r in _TABLE_RANKS) + " FROM t"
 
 
 def lineage_lookup(spark, sf):
-    return taxonomy.lineage_lookup(fixture(spark, sf, "refs"), lineage_pivot(spark, sf), "ref_name", RANKS)
+    return taxonomy.lineage_lookup(fixture(spark, sf, "refs"), lineage_pivot(spark, sf), "ref_name")
 
 
-_JSON = " || ',' || ".join(f"'\"{r}\":{{\"id\":' || {r}_id || ',\"name\":\"' || {r}_name || '\"}}'" for r in RANKS)
-LINEAGE_LOOKUP = with_sql("lineage", "refs") + f", p AS (SELECT accession, {_PIVOT} FROM lineage GROUP BY 1) SELECT ref_name, ref_length, '{{' || {_JSON} || '}}' AS lineage FROM refs LEFT JOIN p ON accession = ref_name"
+_PART = "CASE WHEN {i} IS NOT NULL AND {n} IS NOT NULL THEN '\"{k}\":{{\"tax_id\":' || {i} || ',\"name\":\"' || {n} || '\"}}' END"
+_JSON = ", ".join([_PART.format(k="organism", i="tax_id", n="name"), *(_PART.format(k=r, i=f"{r}_id", n=f"{r}_name") for r in _JSON_RANKS)])
+LINEAGE_LOOKUP = with_sql("lineage", "refs") + _PIVOT + f" SELECT ref_name, ref_length, CASE WHEN accession IS NOT NULL THEN '{{' || concat_ws(',', {_JSON}) || '}}' END AS lineage FROM refs LEFT JOIN t ON accession = ref_name"
 
 
 def taxonomy_upsert(spark, sf):
-    nodes = fixture(spark, sf, "lineage")
+    nodes = fixture(spark, sf, "lineage").select("accession", "node_id", "node_name", "rank", "ordinal")
     return taxonomy.upsert(nodes.filter("rank = 'genus'"), nodes.filter("rank IN ('species', 'no rank')"), "accession", "ordinal")
 
 
-TAXONOMY_UPSERT = with_sql("lineage") + """, u AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY CASE WHEN rank = 'genus' THEN 0 ELSE 1 END DESC, ordinal DESC) AS r FROM lineage WHERE rank <> 'family')
-SELECT accession, tax_id, name, rank, ordinal FROM u WHERE r = 1"""
+TAXONOMY_UPSERT = with_sql("lineage") + """, u AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY CASE WHEN rank = 'genus' THEN 0 ELSE 1 END DESC, ordinal DESC) AS r FROM lineage WHERE rank IN ('genus', 'species', 'no rank'))
+SELECT accession, node_id, node_name, rank, ordinal FROM u WHERE r = 1"""
 
 
 def allocate_reads(spark, sf):
@@ -204,7 +213,7 @@ _CODE = f"CAST(list_sum(list_transform(range(1, {K + 1}), lambda j: greatest(ins
 
 
 def _kmers(spark, sf):
-    return taxonomy.kmer_counts(fixture(spark, sf, "seqs"), K).groupBy("kmer").agg(F.count("*").alias("n"))
+    return taxonomy.kmer_rows(fixture(spark, sf, "seqs"), K).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def kmers(spark, sf):
@@ -235,40 +244,80 @@ def kmer_decode(spark, sf):
 KMER_DECODE = _KMERS + " SELECT kmer, replace(kmer, 'N', 'A') AS decoded FROM k"
 
 
+ORIENT_K = 9
+
+
 def strand_orient(spark, sf):
-    d = fixture(spark, sf, "seqs")
-    return taxonomy.orient(d, d.filter("doc_id % 50 = 0"), 9)
+    """All documents against the k-mers of all benchmark texts."""
+    return taxonomy.orient(fixture(spark, sf, "seqs"), fixture(spark, sf, "bench"), ORIENT_K)
 
 
-STRAND_ORIENT = with_sql("seqs") + """, w AS (SELECT doc_id, seq, unnest(range(1, greatest(length(seq) - 7, 1))) AS i FROM seqs), k AS (SELECT doc_id, substring(seq, i, 9) AS kmer, count(*) AS n FROM w GROUP BY 1, 2),
-r AS (SELECT DISTINCT kmer AS ref FROM k WHERE doc_id % 50 = 0),
-s AS (SELECT doc_id, CAST(coalesce(sum(n) FILTER (kmer IN (SELECT ref FROM r)), 0) AS BIGINT) AS forward_hits, CAST(coalesce(sum(n) FILTER (reverse(translate(kmer, 'ACGT', 'TGCA')) IN (SELECT ref FROM r)), 0) AS BIGINT) AS reverse_hits FROM k GROUP BY 1)
+# k-mers are compared by code, where anything but a base counts as A
+STRAND_ORIENT = with_sql("seqs", "bench") + f""", w AS (SELECT doc_id, seq, unnest(range(1, greatest(length(seq) - {ORIENT_K - 2}, 1))) AS i FROM seqs), k AS (SELECT doc_id, substring(seq, i, {ORIENT_K}) AS kmer, count(*) AS n FROM w GROUP BY 1, 2),
+b AS (SELECT seq, unnest(range(1, greatest(length(seq) - {ORIENT_K - 2}, 1))) AS i FROM bench), r AS (SELECT DISTINCT replace(substring(seq, i, {ORIENT_K}), 'N', 'A') AS ref FROM b),
+s AS (SELECT doc_id, CAST(coalesce(sum(n) FILTER (replace(kmer, 'N', 'A') IN (SELECT ref FROM r)), 0) AS BIGINT) AS forward_hits, CAST(coalesce(sum(n) FILTER (replace(reverse(translate(kmer, 'ACGT', 'TGCA')), 'N', 'A') IN (SELECT ref FROM r)), 0) AS BIGINT) AS reverse_hits FROM k GROUP BY 1)
 SELECT q.doc_id, coalesce(forward_hits, 0) AS forward_hits, coalesce(reverse_hits, 0) AS reverse_hits, coalesce(reverse_hits, 0) > coalesce(forward_hits, 0) AS flipped FROM seqs AS q LEFT JOIN s USING (doc_id)"""
 
 
 def fasta_header(spark, sf):
-    d = fixture(spark, sf, "lineage").withColumn("h", S.fasta_header(F.concat(F.lit(">"), "accession", F.when(F.col("ordinal") > 1, F.concat(F.lit("  "), "name", F.lit(" "))).otherwise(F.lit("")))))
-    return d.select("accession", "ordinal", F.col("h.id").alias("id"), F.col("h.desc").alias("desc"))
+    d = fixture(spark, sf, "lineage").withColumn("h", S.fasta_header(F.concat(F.lit(">"), "accession", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("  "), F.coalesce("node_name", F.lit("")), F.lit(" "))).otherwise(F.lit("")))))
+    return d.select("accession", "ordinal", "entry", F.col("h.id").alias("id"), F.col("h.desc").alias("desc"))
 
 
-FASTA_HEADER = with_sql("lineage") + " SELECT accession, ordinal, accession AS id, CASE WHEN ordinal > 1 THEN trim(name) END AS desc FROM lineage"
+FASTA_HEADER = with_sql("lineage") + " SELECT accession, ordinal, entry, accession AS id, CASE WHEN ordinal % 2 = 0 THEN nullif(trim(coalesce(node_name, '')), '') END AS desc FROM lineage"
 
 
 def minimizer(spark, sf):
-    """Per document the canonical k-mer of least hash; the hash is our own, so rows only."""
-    d = taxonomy.kmer_counts(fixture(spark, sf, "seqs"), K)
-    return d.groupBy("doc_id").agg(F.min_by(S.canonical("kmer"), S.kmer_hash("kmer")).alias("minimizer"))
+    """Per document: no other k-mer's hash is below the minimizer's, which is canonical and one of its own.
+
+    The hash is our own, so the query returns these properties."""
+    d = taxonomy.kmer_rows(fixture(spark, sf, "seqs"), K)
+    least = d.groupBy("doc_id").agg(F.min_by(S.canonical("kmer"), S.kmer_hash("kmer")).alias("m"))
+    both = d.join(least, "doc_id").groupBy("doc_id").agg(
+        F.count_if(S.is_minimizer_against("kmer", "m")).alias("below"), F.bool_or(S.canonical("kmer") == F.col("m")).alias("own"), F.first(S.canonical("m") == F.col("m")).alias("canonical"), F.count("*").alias("n")
+    )
+    return both
+
+
+MINIMIZER = with_sql("seqs") + f" SELECT doc_id, CAST(0 AS BIGINT) AS below, true AS own, true AS canonical, CAST(length(seq) - {K - 1} AS BIGINT) AS n FROM seqs WHERE length(seq) >= {K}"
 
 
 def simulate_reads(spark, sf):
-    """Reads drawn from the longest sequences under length and insert histograms; rows only."""
-    genome = fixture(spark, sf, "seqs").select(F.col("doc_id").cast("string").alias("contig"), F.explode(S.split_contigs("seq", 1000)).alias("seq"))
-    return simulate.simulate(genome, n=10_000, prefix="sim", keyword="TEST", seed=7)
+    """Reads drawn without errors from long sequences: numbers, lengths, and whether both mates lie on
+    their contig, the second as its reverse complement."""
+    contigs = fixture(spark, sf, "seqs").select(F.col("doc_id").cast("string").alias("contig"), F.explode(S.split_contigs("seq", 1000)).alias("seq"))
+    reads = simulate.simulate(contigs, n=10_000, prefix="sim", keyword="TEST", seed=7).withColumn("contig", F.split("r1_id", ":")[2])
+    found = reads.join(contigs, "contig").groupBy("r1_id").agg(
+        F.bool_or(F.contains("seq", "r1_seq")).alias("first"), F.bool_or(F.contains("seq", S.reverse_complement("r2_seq"))).alias("second"), F.first(F.length("r1_seq") + F.length("r2_qual")).alias("length")
+    )
+    return found.groupBy("first", "second", "length").agg(F.count("*").alias("reads"))
+
+
+SIMULATE_READS = "SELECT true AS first, true AS second, CAST(300 AS INTEGER) AS length, CAST(10000 AS BIGINT) AS reads"
+
+
+def expected_totals(spark, sf):
+    return evaluation.expected_totals(fixture(spark, sf, "manifest"))
+
+
+EXPECTED_TOTALS = with_sql("manifest") + " SELECT CAST(sum(calculated_reads) FILTER (keyword <> 'Negative') AS BIGINT) AS expected_positives, CAST(coalesce(sum(calculated_reads) FILTER (keyword = 'Negative'), 0) AS BIGINT) AS expected_negatives FROM manifest"
+
+
+def roc_report_auc(spark, sf):
+    """Areas over 101 even thresholds with anchors, as a report shows them."""
+    return H.even_areas(H.even_curve(_hist(spark, sf), BINS, POSITIVES, NEGATIVES)).select("kind", F.round("area", 9).alias("area"))
+
 
+ROC_REPORT_AUC = _sql(_CONFUSION.format(grid="(SELECT unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in GRID101) + "]) AS threshold)") + """, e AS (SELECT row_number() OVER (ORDER BY threshold) AS step, fpr, recall AS tpr, precision FROM r),
+a AS (SELECT min_by(fpr, step) AS f0, min_by(tpr, step) AS t0, max_by(fpr, step) AS f1, max_by(tpr, step) AS t1 FROM e),
+p AS (SELECT 'roc' AS kind, step, fpr AS x, tpr AS y FROM e UNION ALL SELECT 'pr', step, tpr, precision FROM e UNION ALL SELECT 'roc', 0, 1, 1 FROM a WHERE f0 < 1 OR t0 < 1
+UNION ALL SELECT 'roc', 102, 0, 0 FROM a WHERE f1 > 0 OR t1 > 0 UNION ALL SELECT 'pr', 102, 0, 1 FROM a WHERE t1 > 0),
+z AS (SELECT kind, abs(x - lag(x) OVER v) AS dx, y + lag(y) OVER v AS s FROM p WINDOW v AS (PARTITION BY kind ORDER BY step))
+SELECT kind, round(sum(dx * s / 2), 9) AS area FROM z GROUP BY 1""")
 
 NAMES = (
     "hist_build hist_trim hist_cdf hist_inverse_cdf hist_percentile hist_stats threshold_counts roc_curve roc_auc roc_grid101 confusion_metrics lineage_pivot lineage_lookup "
-    "taxonomy_upsert allocate_reads allocate_copies genome_metrics contig_chunks reverse_complement kmers canonical_kmers kmer_encode kmer_decode strand_orient fasta_header minimizer simulate_reads"
+    "taxonomy_upsert allocate_reads allocate_copies genome_metrics contig_chunks reverse_complement kmers canonical_kmers kmer_encode kmer_decode strand_orient fasta_header minimizer simulate_reads expected_totals roc_report_auc"
 ).split()
-QUERIES = {n: globals()[n] for n in NAMES}
-ORACLES = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}
+QUERIES = {n: globals()[n] for n in NAMES} | {"lineage_pivot": lineage_table}
+ORACLES = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()} | {"lineage_pivot": LINEAGE_TABLE}

@@ -1,10 +1,13 @@
 """Pairing, coverage, orientation and curves on small tables."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from helixframe.operators import alignments as al
 from helixframe.operators import histograms as H
-from helixframe.operators import simulate, taxonomy
+from helixframe.operators import evaluation, simulate, taxonomy
 
 READS = "qname string, ord long, mate int, seq string, qual string"
 
@@ -65,6 +68,69 @@ def test_orientation(spark):
     assert {r.doc_id: r.flipped for r in taxonomy.orient(query, reference, 4).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_long_kmers_orient_by_join(spark):
+    rng = random.Random(3)
+    seq = "".join(rng.choice("ACGTN") for _ in range(400))
+    back = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reference = spark.createDataFrame([(0, seq[:300])], "doc_id long, seq string")
+    query = spark.createDataFrame([(1, back), (2, seq), (3, "CC"), (4, None)], "doc_id long, seq string")
+    for k in (5, 13):
+        known = {seq[i : i + k].replace("N", "A") for i in range(300 - k + 1)}
+        hits = lambda s: sum(s[i : i + k].replace("N", "A") in known for i in range(len(s) - k + 1))
+        got = {r.doc_id: (r.forward_hits, r.reverse_hits, r.flipped) for r in taxonomy.orient(query, reference, k).collect()}
+        for i, s, r in ((1, back, seq), (2, seq, back), (3, "CC", "GG"), (4, "", "")):
+            assert got[i] == (hits(s), hits(r), hits(r) > hits(s))
+
+
+def test_coverage_in_tiles(spark):
+    rng = random.Random(4)
+    rows = [(f"q{i}", 1, rng.choice((0, 256, 2)), rng.choice("rs"), rng.randint(1, 95), 50, rng.choice(("9M", "4M3N5X", "7=1X2D3=", "*"))) for i in range(80)]
+    d = spark.createDataFrame(rows, "qname string, ord long, flag int, rname string, pos long, mapq long, cigar string")
+    refs = spark.createDataFrame([("r", 100), ("s", 60)], "ref_name string, ref_length long")
+    for run in (lambda t: al.coverage_runs(d, refs, t), lambda t: al.coverage_summary(d, refs, t)):
+        depths = lambda t: sorted(map(str, run(t).collect()))  # noqa: E731, B023
+        if "start" in run(7).columns:
+            each = lambda t: sorted((r.ref_name, p, *r[3:]) for r in run(t).collect() for p in range(r.start, r.stop))  # noqa: E731, B023
+            assert each(7) == each(1 << 20) != []
+        else:
+            assert depths(7) == depths(1 << 20) != []
+    assert sum(r.aligned_reads_primary for r in al.coverage_summary(d, refs).collect()) == sum(r[2] != 256 for r in rows)
+
+
+def test_substitutions_and_indels(spark):
+    rng = np.random.default_rng(1)
+    base = np.frombuffer(b"acgtACGT" * 2500, np.uint8)
+    out, (subs, ins, dels) = simulate.mutate(base, len(base), 1.0, 0.0, rng)
+    upper = np.where(base >= 97, base - 32, base)
+    assert subs == len(base) and not (out == upper).any() and ins == dels == 0
+    for b in b"ACGT":  # each other base alike
+        share = np.unique(out[upper == b], return_counts=True)[1] / (upper == b).sum()
+        assert len(share) == 3 and abs(share - 1 / 3).max() < 0.03
+    out, (subs, ins, dels) = simulate.mutate(base, len(base) // 2, 0.0, 0.2, rng)
+    assert abs(ins / (len(base) // 2) - 0.1) < 0.01 and abs(dels / (len(base) // 2) - 0.1) < 0.02
+    assert len(simulate.mutate(base[:10], 50, 0.0, 0.5, rng)[0]) == 50
+    kept, counts = simulate.mutate(base[:100], 60, 0.0, 0.0, rng)
+    assert kept.tobytes() == upper[:60].tobytes() and counts == (0, 0, 0)
+
+
+def test_equal_chunks_have_their_weight(spark):
+    contigs = spark.createDataFrame([("a", "ACGTA" * 400)] * 2 + [("b", "GGGA" * 1000)], "contig string, seq string")
+    reads = simulate.simulate(contigs, 80, "p", "k").collect()
+    assert len(reads) == 80 == len({r.r1_id for r in reads}) and sum(":a:" in r.r1_id for r in reads) == 40
+
+
+def test_pools_of_name_parts(spark):
+    schema = "qname string, ord long, flag int, rname string, pos long, mapq long, cigar string, tags array<string>"
+    rows = [(f"i1:k1:a1:{n}", n, f, "t", 5, 50, "10M", []) for n in (1, 2) for f in (67, 131)]
+    runs = al.name_runs(spark.createDataFrame(rows, schema))
+    for mode, truth in (("id", "i1"), ("keyword", "k1"), ("accession", "a1")):
+        classes = spark.createDataFrame([("t", truth)], "ref_name string, classification string")
+        assert {r.pool for r in evaluation.classify(runs, classes, mode).collect()} == {"tp"}
+        other = {"id": "k1", "keyword": "a1", "accession": "i1"}[mode]
+        wrong = spark.createDataFrame([("t", other)], "ref_name string, classification string")
+        assert {r.pool for r in evaluation.classify(runs, wrong, mode).collect()} == {"cross"}
+
+
 def test_histogram_rounds_half_away_and_clamps(spark):
     d = spark.createDataFrame([(x,) for x in (-5.0, 0.49999999999999994, 0.5, 99.0)], "value double")
     assert {r.bin: r.n for r in H.build(d, H.Bins(0, 10, 1)).collect()} == {0: 2, 1: 1, 10: 1}
@@ -92,4 +158,8 @@ def test_allocation_without_weight(spark):
 
 def test_dynamic_histogram_covers_all(spark):
     d = spark.range(100).select(F.col("id").cast("double").alias("value"))
-    assert al.dynamic_histogram(d).agg(F.sum("n")).first()[0] == 100
+    got = {r.bin: r.n for r in al.dynamic_histogram(d).collect()}
+    width = 99 * 1.05 / 100  # padded at the top only
+    assert sum(got.values()) == 100 and got == {b: sum(int(v / width) == b for v in range(100)) for b in got} and max(got) == 95
+    one = spark.createDataFrame([(5.0,), (5.0,)], "value double")
+    assert [(r.bin, r.n) for r in al.dynamic_histogram(one).collect()] == [(47, 2)]
