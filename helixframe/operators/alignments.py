@@ -227,10 +227,10 @@ def depth_events(df: DataFrame) -> DataFrame:
     )
 
 
-def _swept(df: DataFrame, refs: DataFrame, tile: int) -> DataFrame:
+def _swept(changes: DataFrame, refs: DataFrame, tile: int) -> DataFrame:
     """Runs of equal depth, those without depth too, with the record counts that stand at position 0."""
     depths = ("primary", "secondary", "mismatch")
-    events = depth_events(df).join(refs, F.col("rname") == F.col("ref_name")).filter(F.col("at") < F.col("ref_length")).withColumn("tile", F.floor(F.col("at") / tile))
+    events = changes.join(refs, F.col("rname") == F.col("ref_name")).filter(F.col("at") < F.col("ref_length")).withColumn("tile", F.floor(F.col("at") / tile))
     # a tile begins with the depth that the tiles before leave, and ends where the next events begin
     along = Window.partitionBy("ref_name").orderBy("tile")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -249,13 +249,13 @@ def coverage_runs(df: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame
     0-based, stop excluded, clamped at the reference's end; runs without any depth are left out.
 
     A sweep over depth changes, so no position is materialised."""
-    return _swept(df, refs, tile).filter("primary_depth > 0 OR secondary_depth > 0").select("ref_name", "start", "stop", "primary_depth", "secondary_depth", "mismatch_depth")
+    return _swept(depth_events(df), refs, tile).filter("primary_depth > 0 OR secondary_depth > 0").select("ref_name", "start", "stop", "primary_depth", "secondary_depth", "mismatch_depth")
 
 
 def depth_strings(df: DataFrame, refs: DataFrame) -> DataFrame:
     """(ref_name, primary_coverage, secondary_coverage, mismatch_coverage): the depth of every position,
     joined by commas.  A string is as long as its reference, whatever the number of records."""
-    runs = _swept(df, refs, TILE)
+    runs = _swept(depth_events(df), refs, TILE)
     depths = ("primary", "secondary", "mismatch")
     first = runs.groupBy("ref_name", "ref_length").agg(F.min("start").alias("f"), F.sort_array(F.collect_list(F.struct("start", "stop", *[F.col(f"{c}_depth").alias(c) for c in depths]))).alias("r"))
     text = lambda c: F.array_join(F.concat(F.array_repeat(F.lit("0"), F.col("f").cast("int")), F.flatten(F.transform("r", lambda x: F.array_repeat(x[c].cast("string"), (x["stop"] - x["start"]).cast("int"))))), ",")
@@ -268,11 +268,16 @@ def trunc4(x: Column) -> Column:
 
 
 def coverage_summary(df: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame:
+    """Summary of records; one scan."""
+    return summary_of_events(depth_events(df), refs, tile)
+
+
+def summary_of_events(changes: DataFrame, refs: DataFrame, tile: int = TILE) -> DataFrame:
     """Per reference with primary alignments: reads, bases, breadth, mean depth, identity and reads per
-    kilobase; primary and secondary alignments together where a name does not tell.  One scan."""
+    kilobase; primary and secondary alignments together where a name does not tell."""
     n, some = F.col("stop") - F.col("start"), lambda c: F.sum(F.when(c, F.col("stop") - F.col("start")).otherwise(0))
     p, s, m = F.col("primary_depth"), F.col("secondary_depth"), F.col("mismatch_depth")
-    d = _swept(df, refs, tile).groupBy("ref_name", "ref_length").agg(
+    d = _swept(changes, refs, tile).groupBy("ref_name", "ref_length").agg(
         *[F.sum(c).alias(c) for c in _COUNTS], F.sum(n * p).alias("primary_bases"), F.sum(n * (p + s)).alias("aligned_bases"), F.sum(n * m).alias("mismatches"),
         some(p > 0).alias("pos_primary"), some((p > 0) | (s > 0)).alias("pos_covered"), some(m > 0).alias("pos_mismatched"),
     ).filter("primary_reads > 0")

@@ -1,8 +1,8 @@
 """Paired reads drawn from contigs under empirical or given distributions, with a seed.
 
 Contigs are cut into tasks by weight: the number of reads of a contig is its expected share, rounded
-by cumulative sums, so that totals hold.  Every read is then generated where its contig is, from a
-random generator seeded by (seed, contig, number): the outcome does not depend on partitioning.
+by cumulative sums, so that totals hold.  Every read comes from a random generator seeded by (seed,
+contig, number): the outcome does not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Reads generated by one row of work; a long contig has many such rows.
 CHUNK = 2_000
+#: Bases of a contig that go to one group of pairs.
+TILE = 1 << 16
 SLACK = 20
 READ_SCHEMA = "r1_id string, r1_seq string, r1_qual string, r2_id string, r2_seq string, r2_qual string"
 _BASES = np.frombuffer(b"ACGT", np.uint8)
@@ -108,28 +110,50 @@ def mutate(bases: np.ndarray, length: int, substitution: float, indel: float, rn
     return np.concatenate((out, padding)).astype(np.uint8), (int(sub.sum()), int(ins.sum()), int(dels.sum()))
 
 
-def _generate(model: Model, prefix: str, keyword: str, substitution: float, indel: float, seed: int):
-    def one(seq: bytes, contig: str, number: int) -> tuple:
+class _Draw:
+    """Lengths, insert and place of a read pair, from a generator seeded by (seed, contig, number)."""
+
+    def __init__(self, model: Model, seed: int, contig: str, number: int, size: int) -> None:
         mark = hashlib.blake2b(f"{seed}\0{contig}\0{number}".encode(), digest_size=16).digest()
-        rng = np.random.default_rng(int.from_bytes(mark, "little"))
-        l1, l2 = (int(model.draw(t, rng.random())) for t in model.tables[:2])
-        least = max(l1, l2) + SLACK + 1
+        self.rng = rng = np.random.default_rng(int.from_bytes(mark, "little"))
+        self.l1, self.l2 = (int(model.draw(t, rng.random())) for t in model.tables[:2])
+        least = max(self.l1, self.l2) + SLACK + 1
         insert = next((x for x in map(int, model.draw(model.tables[2], rng.random(100))) if x >= least), least)
-        size = insert + SLACK
-        start = int(rng.integers(0, max(len(seq) - size, 0) + 1))
-        piece = np.frombuffer(seq[start : start + size], np.uint8)
-        a, e1 = mutate(piece[: l1 + SLACK], l1, substitution, indel, rng)
-        b, e2 = mutate(piece[-(l2 + SLACK) :], l2, substitution, indel, rng)
-        quality = lambda tables, n: bytes(33 + int(model.draw(tables[min(i, len(tables) - 1)], p)) for i, p in enumerate(rng.random(n)))
-        name = lambda m, e: f"{prefix}:{keyword}:{contig}:{number} {m}:N:{e[0]}:{e[1]}:{e[2]}/{m}"
-        return (name(1, e1), a.tobytes().decode(), quality(model.q1, l1).decode(), name(2, e2), b.tobytes().translate(_COMPLEMENT)[::-1].decode(), quality(model.q2, l2).decode())
+        self.size = insert + SLACK
+        self.start = int(rng.integers(0, max(size - self.size, 0) + 1))
+
+
+def _places(model: Model, seed: int, tile: int):
+    """Rows (id, contig, size, salts, first, reads) -> one row a pair with its tile and salt."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["r1_id", "r1_seq", "r1_qual", "r2_id", "r2_seq", "r2_qual"]
         for f in frames:
-            for seq, contig, first, reads in zip(f["seq"], f["contig"], f["first"], f["reads"], strict=True):
-                raw = seq.encode()
-                yield pd.DataFrame([one(raw, contig, int(i)) for i in range(first, first + reads)], columns=columns)
+            for r in f.itertuples(index=False):
+                numbers = range(r.first, r.first + r.reads)
+                tiles = [_Draw(model, seed, r.contig, i, r.size).start // tile for i in numbers]
+                yield pd.DataFrame({"id": r.id, "contig": r.contig, "size": r.size, "number": numbers, "tile": tiles, "salt": [i % r.salts for i in numbers]})
+
+    return run
+
+
+def _generate(model: Model, prefix: str, keyword: str, substitution: float, indel: float, seed: int, tile: int):
+    columns = ["r1_id", "r1_seq", "r1_qual", "r2_id", "r2_seq", "r2_qual"]
+
+    def one(text: np.ndarray, begin: int, contig: str, number: int, size: int) -> tuple:
+        d = _Draw(model, seed, contig, number, size)
+        piece = text[d.start - begin : d.start - begin + d.size]
+        a, e1 = mutate(piece[: d.l1 + SLACK], d.l1, substitution, indel, d.rng)
+        b, e2 = mutate(piece[-(d.l2 + SLACK) :], d.l2, substitution, indel, d.rng)
+        quality = lambda tables, n: bytes(33 + int(model.draw(tables[min(i, len(tables) - 1)], p)) for i, p in enumerate(d.rng.random(n)))
+        name = lambda m, e: f"{prefix}:{keyword}:{contig}:{number} {m}:N:{e[0]}:{e[1]}:{e[2]}/{m}"
+        return (name(1, e1), a.tobytes().decode(), quality(model.q1, d.l1).decode(), name(2, e2), b.tobytes().translate(_COMPLEMENT)[::-1].decode(), quality(model.q2, d.l2).decode())
+
+    def run(pairs: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pd.DataFrame([], columns=columns)
+        text = np.frombuffer(pieces["piece"][0].encode(), np.uint8)
+        begin = int(pieces["tile"][0]) * tile
+        return pd.DataFrame([one(text, begin, c, int(n), int(s)) for c, n, s in zip(pairs["contig"], pairs["number"], pairs["size"], strict=True)], columns=columns)
 
     return run
 
@@ -153,8 +177,18 @@ def generate(tasks: DataFrame, prefix: str, keyword: str, model: Model | None =
     return _run(tasks.withColumns({"_from": F.lit(0).cast("long"), "_to": F.col("reads").cast("long")}), model, prefix, keyword, substitution, indel, seed)
 
 
-def _run(tasks: DataFrame, model: Model | None, prefix: str, keyword: str, substitution: float, indel: float, seed: int) -> DataFrame:
-    some = tasks.filter("_to > _from")
-    work = some.select("contig", "seq", "_to", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(CHUNK).cast("long"))).alias("first"))
-    chunks = work.select("contig", "seq", "first", F.least(F.lit(CHUNK), F.col("_to") - F.col("first")).alias("reads"))
-    return chunks.repartition("contig", "first").mapInPandas(_generate(model or Model(), prefix, keyword, substitution, indel, seed), READ_SCHEMA)
+def _run(tasks: DataFrame, model: Model | None, prefix: str, keyword: str, substitution: float, indel: float, seed: int, tile: int = TILE) -> DataFrame:
+    """Pairs are placed first, knowing only how long their contig is; then those of one tile meet its
+    bases, about CHUNK at a time.  So what moves of a contig is one tile for each CHUNK of pairs."""
+    model = model or Model()
+    reach = max(int(model.tables[2][0][-1]), max(int(t[0][-1]) for t in model.tables[:2]) + SLACK + 1) + SLACK
+    n = F.col("_to") - F.col("_from")
+    some = tasks.filter("_to > _from AND length(seq) > 0").select("contig", "seq", "_from", "_to", F.length("seq").cast("long").alias("size"), F.xxhash64("contig", "seq", "_from").alias("id"))
+    some = some.withColumn("salts", F.ceil(n * F.least(F.lit(1.0), F.lit(float(tile)) / F.col("size")) / CHUNK).cast("long"))
+    work = some.select("id", "contig", "size", "salts", "_to", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(CHUNK).cast("long"))).alias("first"))
+    chunks = work.select("id", "contig", "size", "salts", "first", F.least(F.lit(CHUNK), F.col("_to") - F.col("first")).alias("reads"))
+    pairs = chunks.repartition("id", "first").mapInPandas(_places(model, seed, tile), "id long, contig string, size long, number long, tile long, salt long")
+    cut = some.select("id", "salts", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {tile}"))).alias("tile"))
+    pieces = cut.select("id", "tile", F.substr("seq", (F.col("tile") * tile + 1).cast("int"), F.lit(tile + reach)).alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    key = ("id", "tile", "salt")
+    return pairs.groupBy(*key).cogroup(pieces.groupBy(*key)).applyInPandas(_generate(model, prefix, keyword, substitution, indel, seed, tile), READ_SCHEMA)

@@ -213,7 +213,7 @@ _CODE = f"CAST(list_sum(list_transform(range(1, {K + 1}), lambda j: greatest(ins
 
 
 def _kmers(spark, sf):
-    return taxonomy.kmer_rows(fixture(spark, sf, "seqs"), K).groupBy("kmer").agg(F.count("*").alias("n"))
+    return taxonomy.kmer_counts(fixture(spark, sf, "seqs"), K)
 
 
 def kmers(spark, sf):

@@ -11,11 +11,15 @@ Records go to Spark in Arrow batches.
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import expand, open_binary
@@ -147,18 +151,49 @@ class BinaryAlignments(DataSource):
         return _Reader(dict(self.options))
 
 
-def write_records(path: str, references: list[tuple[str, int]], records, text: str = "") -> None:
-    """Write (qname, flag, ref_id, pos 0-based, mapq, cigar [(operator, length)], seq, qual bytes, tags)."""
+def _pack(text: str, references: list[tuple[str, int]]) -> bytes:
     out = bytearray(MAGIC + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(references)))
     for name, length in references:
         raw = name.encode() + b"\0"
         out += struct.pack("<i", len(raw)) + raw + struct.pack("<i", length)
-    for qname, flag, ref_id, pos, mapq, cigar, seq, qual, tags in records:
-        name = qname.encode() + b"\0"
-        codes = [max(BASES.find(b), 0) if b in BASES else 15 for b in seq] + [0] * (len(seq) % 2)
-        body = _FIXED.pack(ref_id, pos, len(name), mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name
-        body += struct.pack(f"<{len(cigar)}I", *(n << 4 | OPERATORS.index(op) for op, n in cigar))
-        body += bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2)) + qual + tags
-        out += struct.pack("<i", len(body)) + body
+    return bytes(out)
+
+
+def _pack_record(qname, flag, ref_id, pos, mapq, cigar, seq, qual, tags) -> bytes:
+    name = qname.encode() + b"\0"
+    codes = [max(BASES.find(b), 0) if b in BASES else 15 for b in seq] + [0] * (len(seq) % 2)
+    body = _FIXED.pack(ref_id, pos, len(name), mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name
+    body += struct.pack(f"<{len(cigar)}I", *(n << 4 | OPERATORS.index(op) for op, n in cigar))
+    body += bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2)) + qual + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def write_binary(df: DataFrame, folder: str) -> None:
+    """One binary file a partition below folder, each with the references that its records name.
+
+    df (qname, flag, rname, pos 1-based, mapq, cigar, seq, qual as printable text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, out, refs, body = TaskContext.get().partitionId(), None, {}, []
+        for b in batches:
+            for r in b.to_pylist():
+                ref = refs.setdefault(r["rname"], len(refs))
+                cigar = [(x[-1], int(x[:-1])) for x in re.findall("[0-9]+[MIDNSHP=X]", r["cigar"])]
+                body.append(_pack_record(r["qname"], r["flag"], ref, r["pos"] - 1, r["mapq"], cigar, r["seq"], bytes(ord(c) - 33 for c in r["qual"]), b""))
+        if body:
+            store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+            store.create_dir(path, recursive=True)
+            out = gzip.compress(_pack("", [(n, 1 << 20) for n in refs]) + b"".join(body))
+            part = f"{path}/.part-{number:05d}-{TaskContext.get().attemptNumber()}"
+            with store.open_output_stream(part) as f:
+                f.write(out)
+            store.move(part, f"{path}/part-{number:05d}.bam")
+        yield pa.RecordBatch.from_arrays([pa.array([len(body)], pa.int64())], ["records"])
+
+    df.mapInArrow(run, "records long").agg({"records": "sum"}).collect()
+
+
+def write_records(path: str, references: list[tuple[str, int]], records, text: str = "") -> None:
+    """Write (qname, flag, ref_id, pos 0-based, mapq, cigar [(operator, length)], seq, qual bytes, tags)."""
     with gzip.open(path, "wb") as f:
-        f.write(bytes(out))
+        f.write(_pack(text, references) + b"".join(_pack_record(*r) for r in records))

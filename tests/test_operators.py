@@ -1,6 +1,7 @@
 """Pairing, coverage, orientation and curves on small tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -163,3 +164,20 @@ def test_dynamic_histogram_covers_all(spark):
     assert sum(got.values()) == 100 and got == {b: sum(int(v / width) == b for v in range(100)) for b in got} and max(got) == 95
     one = spark.createDataFrame([(5.0,), (5.0,)], "value double")
     assert [(r.bin, r.n) for r in al.dynamic_histogram(one).collect()] == [(47, 2)]
+
+
+def test_reads_do_not_depend_on_tiles(spark, monkeypatch):
+    rng = random.Random(6)
+    contigs = spark.createDataFrame([(c, "".join(rng.choice("ACGT") for _ in range(n)), r) for c, n, r in (("a", 5000, 60), ("b", 400, 30), ("c", 90, 5))], "contig string, seq string, reads long")
+    whole = sorted(map(tuple, simulate.generate(contigs, "p", "k", substitution=0.02, indel=0.02, seed=4).collect()))
+    monkeypatch.setattr(simulate, "CHUNK", 7)
+    small = simulate._run(contigs.withColumns({"_from": F.lit(0).cast("long"), "_to": F.col("reads")}), None, "p", "k", 0.02, 0.02, 4, tile=300)
+    assert sorted(map(tuple, small.collect())) == whole and len(whole) == 95
+
+
+def test_kmer_counts(spark):
+    seqs = ["ACGTNACGTN", "acG", "", None, "A" * 40 + "CGT" * 9, "AC"]
+    d = spark.createDataFrame(list(enumerate(seqs)), "doc_id long, seq string")
+    for k in (1, 3, 8, 9, 20):
+        want = Counter(s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1))
+        assert {r.kmer: r.n for r in taxonomy.kmer_counts(d, k).collect()} == want == Counter(r.kmer for r in taxonomy.kmer_rows(d, k).collect())
