@@ -136,6 +136,18 @@ def _places(model: Model, seed: int, tile: int):
     return run
 
 
+def _qualities(tables: list, shares: pd.Series) -> list[str]:
+    """Printable qualities of a group's reads from the uniform numbers of each: cycle by cycle, all reads at once."""
+    sizes = [len(x) for x in shares]
+    grid = np.zeros((len(sizes), max(sizes)))
+    for row, x in zip(grid, shares, strict=True):
+        row[: len(x)] = x
+    out = np.empty(grid.shape, np.uint8)
+    for i in range(grid.shape[1]):
+        out[:, i] = 33 + Model.draw(tables[min(i, len(tables) - 1)], grid[:, i])
+    return [row[:n].tobytes().decode() for row, n in zip(out, sizes, strict=True)]
+
+
 def _generate(model: Model, prefix: str, keyword: str, substitution: float, indel: float, seed: int, tile: int):
     columns = ["r1_id", "r1_seq", "r1_qual", "r2_id", "r2_seq", "r2_qual"]
 
@@ -144,16 +156,16 @@ def _generate(model: Model, prefix: str, keyword: str, substitution: float, inde
         piece = text[d.start - begin : d.start - begin + d.size]
         a, e1 = mutate(piece[: d.l1 + SLACK], d.l1, substitution, indel, d.rng)
         b, e2 = mutate(piece[-(d.l2 + SLACK) :], d.l2, substitution, indel, d.rng)
-        quality = lambda tables, n: bytes(33 + int(model.draw(tables[min(i, len(tables) - 1)], p)) for i, p in enumerate(d.rng.random(n)))
         name = lambda m, e: f"{prefix}:{keyword}:{contig}:{number} {m}:N:{e[0]}:{e[1]}:{e[2]}/{m}"
-        return (name(1, e1), a.tobytes().decode(), quality(model.q1, d.l1).decode(), name(2, e2), b.tobytes().translate(_COMPLEMENT)[::-1].decode(), quality(model.q2, d.l2).decode())
+        return (name(1, e1), a.tobytes().decode(), d.rng.random(d.l1), name(2, e2), b.tobytes().translate(_COMPLEMENT)[::-1].decode(), d.rng.random(d.l2))
 
     def run(pairs: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
             return pd.DataFrame([], columns=columns)
         text = np.frombuffer(pieces["piece"][0].encode(), np.uint8)
         begin = int(pieces["tile"][0]) * tile
-        return pd.DataFrame([one(text, begin, c, int(n), int(s)) for c, n, s in zip(pairs["contig"], pairs["number"], pairs["size"], strict=True)], columns=columns)
+        out = pd.DataFrame([one(text, begin, c, int(n), int(s)) for c, n, s in zip(pairs["contig"], pairs["number"], pairs["size"], strict=True)], columns=columns)
+        return out.assign(r1_qual=_qualities(model.q1, out["r1_qual"]), r2_qual=_qualities(model.q2, out["r2_qual"]))
 
     return run
 

@@ -181,3 +181,11 @@ def test_kmer_counts(spark):
     for k in (1, 3, 8, 9, 20):
         want = Counter(s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1))
         assert {r.kmer: r.n for r in taxonomy.kmer_counts(d, k).collect()} == want == Counter(r.kmer for r in taxonomy.kmer_rows(d, k).collect())
+
+
+def test_qualities_are_those_of_single_draws():
+    """Reads of several lengths, none included, over a model with fewer cycles than bases."""
+    model = simulate.Model(q1=[{10: 1, 20: 3}, {}, {2: 1}, {30: 5, 40: 5}])
+    shares = [np.random.default_rng(i).random(n) for i, n in enumerate((0, 1, 7, 3))]
+    want = ["".join(chr(33 + int(model.draw(model.q1[min(i, len(model.q1) - 1)], p))) for i, p in enumerate(x)) for x in shares]
+    assert simulate._qualities(model.q1, shares) == want
