@@ -1,16 +1,18 @@
-"""Binary alignment files (BAM): a Spark data source of one partition a file, and a writer.
+"""Binary alignment files (BAM): a Spark data source, and a writer.
 
     spark.dataSource.register(BinaryAlignments)
     spark.read.format("binary_alignments").load("a.bam")                    # records
     spark.read.format("binary_alignments").option("part", "references").load("a.bam")
     spark.read.format("binary_alignments").option("part", "header").load("a.bam")           # header text
 
-Records go to Spark in Arrow batches.
+Records go to Spark in Arrow batches.  Block-compressed files are split into ranges of about ``split``
+bytes (an option, 0: one partition a file); ``ord`` then is a record's place in the file, else its number.
+A range begins with the first place from which a chain of sound records starts, and the task before it
+must arrive at just that place: if it does not, the read fails rather than return other records.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
 import struct
 from collections.abc import Iterator
@@ -22,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import expand, open_binary
+from . import blocks
+from .files import expand, open_binary, open_plain
 
 # Fixed values of the format.
 MAGIC = b"BAM\1"
@@ -38,6 +41,10 @@ REFERENCE = "file string, ref_id int, ref_name string, ref_length int"
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 #: Records of an Arrow batch.
 BATCH = 4_096
+#: Compressed bytes of a partition.
+SPLIT = 64 << 20
+#: Records that have to follow each other for a place to be a record's start.
+CHAIN = 16
 _FIXED = struct.Struct("<iiBBHHHIiii")
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _INTS = {"A": "<B", "C": "<B", "c": "<b", "s": "<h", "S": "<H", "i": "<i", "I": "<i"}
@@ -95,48 +102,115 @@ def read_header(f) -> tuple[str, list[tuple[str, int]]]:
     return text, refs
 
 
+def _decode(raw: bytes) -> tuple:
+    ref, pos, name_size, mapq, bin_, n_cigar, flag, l_seq, next_ref, next_pos, tlen = _FIXED.unpack_from(raw)
+    at = _FIXED.size
+    name, at = raw[at : at + name_size].rstrip(b"\0").decode(errors="replace"), at + name_size
+    cigar, at = struct.unpack_from(f"<{n_cigar}I", raw, at), at + 4 * n_cigar
+    seq, at = unpack_bases(raw[at : at + (l_seq + 1) // 2], l_seq), at + (l_seq + 1) // 2
+    qual, tags = raw[at : at + l_seq], raw[at + l_seq :]
+    return ref, pos, mapq, bin_, flag, l_seq, next_ref, next_pos, tlen, name, unpack_cigar(cigar), seq, qual, tags, int_tag(tags, b"NM"), int_tag(tags, b"AS")
+
+
 def read_records(path: str) -> Iterator[tuple]:
     with open_binary(path) as f:
         read_header(f)
         ord_ = 0
         while len(size := f.read(4)) == 4:
-            raw = f.read(*struct.unpack("<i", size))
-            ref, pos, name_size, mapq, bin_, n_cigar, flag, l_seq, next_ref, next_pos, tlen = _FIXED.unpack_from(raw)
-            at = _FIXED.size
-            name, at = raw[at : at + name_size].rstrip(b"\0").decode(errors="replace"), at + name_size
-            cigar, at = struct.unpack_from(f"<{n_cigar}I", raw, at), at + 4 * n_cigar
-            seq, at = unpack_bases(raw[at : at + (l_seq + 1) // 2], l_seq), at + (l_seq + 1) // 2
-            qual, tags = raw[at : at + l_seq], raw[at + l_seq :]
-            yield (path, ord_, ref, pos, mapq, bin_, flag, l_seq, next_ref, next_pos, tlen, name, unpack_cigar(cigar), seq, qual, tags, int_tag(tags, b"NM"), int_tag(tags, b"AS"))
+            yield (path, ord_, *_decode(f.read(*struct.unpack("<i", size))))
             ord_ += 1
 
 
+def _after(b: blocks.Blocks, i: int, references: int) -> int | None:
+    """Where the record at byte i ends; None if no sound record starts there."""
+    if not b.need(i + 4 + _FIXED.size):
+        return None
+    size, ref, pos, name_size, _, _, n_cigar, _, l_seq, next_ref, next_pos, _ = struct.unpack("<i" + _FIXED.format[1:], b.get(i, i + 4 + _FIXED.size))
+    if not (-1 <= ref < references and -1 <= next_ref < references and pos >= -1 and next_pos >= -1 and name_size > 0 and l_seq >= 0):
+        return None
+    at = i + 4 + _FIXED.size
+    if _FIXED.size + name_size + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size or not b.need(at + name_size + 4 * n_cigar):
+        return None
+    name, operators = b.get(at, at + name_size), b.get(at + name_size, at + name_size + 4 * n_cigar)[::4]
+    if name[-1] or any(c < 32 for c in name[:-1]) or any(c & 15 >= len(OPERATORS) for c in operators):
+        return None
+    return i + 4 + size
+
+
+def _first_record(b: blocks.Blocks, references: int) -> int | None:
+    """The first byte from which CHAIN sound records, or all up to the end of the file, follow."""
+    i = 0
+    while b.need(i + 4):
+        at, n = i, 0
+        while n < CHAIN and (following := _after(b, at, references)) is not None and b.need(following):
+            at, n = following, n + 1
+            if not b.need(at + 1):
+                return i
+        if n == CHAIN:
+            return i
+        i += 1
+    return None
+
+
+def read_range(path: str, begin: int, end: int) -> Iterator[tuple]:
+    """Records that start in the blocks of this range of the file."""
+    with open_binary(path) as f:
+        _, refs = read_header(f)
+        after_header = f.tell()
+    with open_plain(path) as raw:
+        b = blocks.Blocks(raw, begin)
+        i = after_header if begin == 0 else _first_record(b, len(refs))
+        place = None if i is None else b.place(i)
+        while place is not None and place >> 16 < end:
+            if not b.need(i + 4) or not b.need(following := i + 4 + int.from_bytes(b.get(i, i + 4), "little")):
+                raise ValueError(f"{path}: truncated record at {place}")
+            yield (path, place, *_decode(b.get(i + 4, following)))
+            i = following
+            place = b.place(i)
+            b.drop(i)
+    # also where no record starts in this range: so every range's first place is checked by the one before
+    with open_plain(path) as raw:
+        later = blocks.Blocks(raw, end)
+        found = _first_record(later, len(refs))
+        if (None if found is None else later.place(found)) != place:
+            raise ValueError(f"{path}: no certain record start after {end}; read it with the option split = 0")
+
+
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, begin: int = 0, end: int | None = None) -> None:
+        super().__init__((path, begin, end))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths, self.part = expand(options["path"]), options.get("part", "records")
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        out = []
+        for p in self.paths:
+            parts = []
+            if self.part == "records" and p != "-":
+                with open_plain(p) as raw:
+                    parts = [_File(p, *r) for r in blocks.ranges(raw, self.split)]
+            out += parts or [_File(p)]
+        return out
 
     def read(self, partition):
+        path, begin, end = partition.value
         if self.part == "records":
             schema = pa.schema([(n, _ARROW[t]) for n, t in map(str.split, RECORD.split(", "))])
-            records = read_records(partition.value)
+            records = read_records(path) if end is None else read_range(path, begin, end)
             while rows := list(islice(records, BATCH)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             return
-        with open_binary(partition.value) as f:
+        with open_binary(path) as f:
             text, references = read_header(f)
         if self.part == "header":
-            yield partition.value, text
+            yield path, text
             return
         for i, (name, length) in enumerate(references):
-            yield partition.value, i, name, length
+            yield path, i, name, length
 
 
 class BinaryAlignments(DataSource):
@@ -183,7 +257,7 @@ def write_binary(df: DataFrame, folder: str) -> None:
         if body:
             store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
             store.create_dir(path, recursive=True)
-            out = gzip.compress(_pack("", [(n, 1 << 20) for n in refs]) + b"".join(body))
+            out = blocks.compress(_pack("", [(n, 1 << 20) for n in refs]) + b"".join(body))
             part = f"{path}/.part-{number:05d}-{TaskContext.get().attemptNumber()}"
             with store.open_output_stream(part) as f:
                 f.write(out)
@@ -195,5 +269,5 @@ def write_binary(df: DataFrame, folder: str) -> None:
 
 def write_records(path: str, references: list[tuple[str, int]], records, text: str = "") -> None:
     """Write (qname, flag, ref_id, pos 0-based, mapq, cigar [(operator, length)], seq, qual bytes, tags)."""
-    with gzip.open(path, "wb") as f:
-        f.write(_pack(text, references) + b"".join(_pack_record(*r) for r in records))
+    with open(path, "wb") as f:
+        f.write(blocks.compress(_pack(text, references) + b"".join(_pack_record(*r) for r in records)))

@@ -28,6 +28,14 @@ def open_binary(path: str) -> BinaryIO:
     return bz2.BZ2File(raw) if path.endswith(".bz2") else raw
 
 
+def open_plain(path: str) -> BinaryIO:
+    """The bytes of a file as they are, seekable."""
+    if "://" in path or path.startswith("file:"):
+        store, inner = fs.FileSystem.from_uri(path)
+        return store.open_input_file(inner)
+    return open(path, "rb")  # noqa: SIM115
+
+
 def expand(paths: str) -> list[str]:
     """Files of a comma-separated list of names, folders and patterns, in order."""
     out: list[str] = []

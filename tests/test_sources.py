@@ -110,3 +110,40 @@ def test_bam_header_text(spark, tmp_path):
     assert spark.read.format("binary_alignments").option("part", "header").load(path).first().text == "@HD\tVN:1.6\n"
     d = spark.read.format("binary_alignments").load(path)
     assert d.count() == 10_000 and d.selectExpr("max(ord)").first()[0] == 9_999
+
+
+def _varied(n):
+    """Records of very different lengths, some larger than a block, whose qualities look like anything."""
+    for i in range(n):
+        size = 90_000 if i % 211 == 5 else i * 37 % 301
+        yield (f"q{i}", 4 if i % 3 else 99, -1 if i % 3 else i % 2, -1 if i % 3 else i, i % 61, [("M", size)] if size else [], "ACGTN"[i % 5] * size, bytes((i * 31 + j * j) % 256 for j in range(size)), b"NMC" + bytes([i % 256]))
+
+
+@pytest.mark.parametrize("split", [3_000, 70_000, 400_000])
+def test_split_files_lose_no_record(spark, tmp_path, split):
+    path = str(tmp_path / "a.bam")
+    B.write_records(path, [("r", 9_000), ("s", 9)], _varied(2_000))
+    want = [r[2:] for r in B.read_records(path)]
+    size = (tmp_path / "a.bam").stat().st_size
+    got = [r for at in range(0, size, split) for r in B.read_range(path, at, min(size, at + split))]
+    assert [r[2:] for r in got] == want and [r[1] for r in got] == sorted({r[1] for r in got})
+    if split == 70_000:
+        spark.dataSource.register(B.BinaryAlignments)
+        d = spark.read.format("binary_alignments").option("split", split).load(path)
+        assert d.rdd.getNumPartitions() == -(-size // split) > 3
+        assert [r.qname for r in d.orderBy("ord").select("qname").collect()] == [f"q{i}" for i in range(2_000)]
+
+
+def test_split_of_other_files(tmp_path):
+    """Files of one member or without records are read whole, or have empty ranges."""
+    B.write_records(str(tmp_path / "none.bam"), [("r", 9)], [])
+    size = (tmp_path / "none.bam").stat().st_size
+    assert [r for at in range(0, size, 20) for r in B.read_range(str(tmp_path / "none.bam"), at, min(size, at + 20))] == []
+    (tmp_path / "one.bam").write_bytes(gzip.compress(bytes(100_000)))
+    with open(tmp_path / "one.bam", "rb") as raw:
+        assert list(B.blocks.ranges(raw, 10)) == []
+    B.write_records(str(tmp_path / "cut.bam"), [("r", 9)], list(_varied(500)))
+    whole = (tmp_path / "cut.bam").read_bytes()
+    (tmp_path / "cut.bam").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(ValueError):
+        list(B.read_range(str(tmp_path / "cut.bam"), 0, len(whole) // 2))
