@@ -16,8 +16,11 @@
    link to an earlier leader); then, if a block still has several components, all documents outside
    its largest component are searched against the whole block.  So no link between components is
    lost, and a group of m near copies takes about m searches of a small index.
-4. Blocks beyond MAX_BLOCK shingles are cut into slices by document; all pairs of slices are blocks
-   of their own and their links are joined by components again.
+4. Blocks beyond MAX_BLOCK shingles are cut into slices by document, each searched by itself.  Of each
+   slice the first of its largest component stands for it: those are searched in turn, cut again
+   where they are too many.  What is then outside its block's largest component is held, in slices,
+   against all slices of the block.  So no link between components is lost, and a family of m near
+   copies takes about m searches however many slices it has.
 
 A part that is empty in both sets agrees without a signature.  P leaves room for some; a document
 with more empty parts also emits the shingles of its prefix (the least hashes of which two such
@@ -466,6 +469,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _reshingle(k: int):
+    """Texts of a class's first doc_id -> the class with its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.text_batches(batches):
             shingles, bounds = shingle_sets(data, offsets, k)
@@ -474,7 +479,7 @@ def _reshingle(k: int):
             keep = pa.array([i for i, (d, w) in enumerate(zip(classes, wanted, strict=True)) if d == w], pa.int64())
             raw, cut = shingles.tobytes(), (8 * bounds).tolist()
             sets = pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()).take(keep)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(keep) for c in ("doc_id", "class_id", "block", "slice")), sets], ["doc_id", "class_id", "block", "slice", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(keep) for c in SET_KEY), sets], [*SET_KEY, "shingles"])
 
     return run
 
@@ -514,6 +519,75 @@ def _link(percent: int):
     return run
 
 
+SET_KEY = ("doc_id", "class_id", "block", "slice")
+SETS = "doc_id long, class_id long, block long, slice long, shingles binary"
+
+
+def _sliced(member: DataFrame, salt: int = 0) -> DataFrame:
+    """Members (first_doc, class_id, n, block) with their block's number of slices and their own slice.
+
+    The few weights are written, so that the join can split a block of many members."""
+    weights = member.groupBy("block").agg(F.sum("n").alias("weight")).filter(F.col("weight") > MAX_BLOCK)
+    cut = common.staged(weights.select("block", F.ceil(F.col("weight") * 2 / MAX_BLOCK).cast("long").alias("slices")), "slices")
+    own = F.pmod(F.xxhash64("class_id", F.lit(salt)), "slices").alias("slice")
+    wide = member.join(cut, "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
+    return wide.select("first_doc", "class_id", "n", "block", "slices", own)
+
+
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    ordered = sets.repartition("block", "slice").sortWithinPartitions("block", "slice", "doc_id", "class_id")
+    return ordered.mapInArrow(_link(percent), "a long, b long")
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with `label`, the least class that links lead to."""
+    found = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("label"))
+    return rows.join(found.hint("merge"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+
+
+def _of_most(labelled: DataFrame, *keys: str) -> DataFrame:
+    """The label that most rows of each key have, as `most`."""
+    return labelled.groupBy(*keys, "label").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.max_by("label", F.struct("c", "label")).alias("most"))
+
+
+def _across_slices(large: DataFrame, held: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links of all classes, with those between slices of one block (see 4 above): held has the
+    shingles of the classes of large, links those within slices."""
+
+    def search(rows: DataFrame, name: str) -> DataFrame:
+        sets = rows.join(held.hint("merge"), "class_id").select(F.col("first_doc").alias("doc_id"), *SET_KEY[1:], "shingles")
+        return common.staged(_linked(sets, percent), name)
+
+    within = links.join(large.select("class_id"), links["a"] == large["class_id"], "left_semi")
+    level, n_rows, salt = large, large.count(), 0
+    while True:
+        # one class stands for each slice: the label of its largest component is a class of the slice
+        first = _of_most(_labelled(level, within), "block", "slice").select("block", F.col("most").alias("class_id"))
+        rows = large.select("first_doc", "class_id", "n").join(first.hint("merge"), "class_id")
+        salt += 1
+        level = common.staged(_sliced(rows, salt), "level")
+        was, n_rows = n_rows, level.count()
+        within = search(level, "links")
+        links = links.union(within)
+        if n_rows >= was or not level.filter("slices > 1").limit(1).count():
+            break
+    labelled = common.staged(_labelled(large, links).drop("slices", "slice"), "labelled")
+    most = common.staged(_of_most(labelled, "block"), "most")
+    marked = common.staged(labelled.join(most, "block").select("first_doc", "class_id", "n", "block", (F.col("label") == F.col("most")).alias("inside")), "marked")
+    if marked.filter("NOT inside").limit(1).count():
+        # slice r of those outside meets slice s of those inside, and each other slice of its own kind
+        cut = lambda w: F.greatest(F.lit(1), F.ceil(w * 2 / MAX_BLOCK)).cast("long")
+        weights = marked.groupBy("block").agg(F.sum(F.when(~F.col("inside"), F.col("n"))).alias("out"), F.sum(F.when(F.col("inside"), F.col("n"))).alias("in"))
+        cuts = common.staged(weights.filter("out > 0").select("block", cut(F.col("out")).alias("r"), cut(F.col("in")).alias("s")), "cuts")
+        own = F.pmod(F.xxhash64("class_id"), F.when(F.col("inside"), F.col("s")).otherwise(F.col("r")))
+        dealt = marked.join(cuts, "block").withColumn("own", own)
+        met = "CASE WHEN inside THEN transform(sequence(0L, r - 1), i -> shiftleft(i, 31) + own) ELSE transform(sequence(0L, s - 1), i -> shiftleft(own, 31) + i) END"
+        others = "CASE WHEN inside OR r = 1 THEN array() ELSE transform(filter(sequence(0L, r - 1), i -> i <> own), i -> -1L - shiftleft(least(i, own), 31) - greatest(i, own)) END"
+        dealt = dealt.select("first_doc", "class_id", "block", F.explode(F.expr(f"concat({met}, {others})")).alias("slice"))
+        links = links.union(search(dealt, "links"))
+    return components(links).select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, group_id, row_key) of every row: the least doc_id that links
     lead to; the group of linked texts, which tells apart groups that a repeated doc_id names alike
@@ -535,20 +609,17 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     blocks = components(near).select(F.col("node").alias("class_id"), F.col("component").alias("block"))
 
     member = common.staged(classes.drop("parity").join(blocks.hint("merge"), "class_id"), "members")
-    weights = member.groupBy("block").agg(F.sum("n").alias("weight"))
-    slices = F.when(F.col("weight") > MAX_BLOCK, F.ceil(F.col("weight") * 2 / MAX_BLOCK)).otherwise(1).cast("int")
-    placed = member.join(weights, "block").withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("class_id"), "slices").cast("int"))
-    # slice i is compared within the blocks (i, j) and (j, i); one block of all where slices = 1
-    pairs = F.expr("CASE WHEN slices = 1 THEN array(-1L) ELSE transform(filter(sequence(0, slices - 1), j -> j <> own), j -> least(own, j) * 1000000L + greatest(own, j)) END")
-    placed = placed.select("first_doc", "class_id", "block", pairs.alias("parts"))
-
+    placed = _sliced(member)
     # always by shuffle: the members grow with the input
-    texts = named.join(placed.hint("merge"), named["doc_id"] == placed["first_doc"]).select("doc_id", "text", "class_id", "block", F.explode("parts").alias("slice"))
-    sets = texts.mapInArrow(_reshingle(k), "doc_id long, class_id long, block long, slice long, shingles binary")
-    ordered = sets.repartition("block", "slice").sortWithinPartitions("block", "slice", "doc_id", "class_id")
-    links = common.staged(ordered.mapInArrow(_link(percent), "a long, b long"), "links")
-    if placed.filter("parts[0] >= 0").limit(1).count():
-        links = components(links).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    texts = named.join(placed.hint("merge"), named["doc_id"] == placed["first_doc"]).select(*SET_KEY, "text")
+    sets = texts.mapInArrow(_reshingle(k), SETS)
+    links = common.staged(_linked(sets, percent), "links")
+    large = placed.filter("slices > 1")
+    if large.limit(1).count():
+        large = common.staged(large, "large")
+        own = named.join(large.hint("merge"), named["doc_id"] == large["first_doc"]).select(*SET_KEY, "text")
+        held = common.staged(own.mapInArrow(_reshingle(k), SETS).select("class_id", "shingles"), "held")
+        links = _across_slices(large, held, links, percent)
     # a component's name is the least doc_id of its classes
     root = links.select(F.col("a").alias("class_id"), F.col("b").alias("root")).union(links.select("b", "b")).distinct()
     rooted = root.join(member.select("class_id", "first_doc"), "class_id")

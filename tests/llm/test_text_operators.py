@@ -70,6 +70,38 @@ def test_ngram_join(spark, mixed, monkeypatch, k, percent, block):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
 
 
+@pytest.mark.parametrize("block", [700, 6_000])
+def test_large_blocks(spark, monkeypatch, block):
+    """Families over many slices: one chain, one star, and copies that only links of others join."""
+    monkeypatch.setattr(ngram_join, "MAX_BLOCK", block)
+    rnd, texts = random.Random(8), []
+    for f in range(3):
+        words = [f"f{f}w{i}" for i in range(80)]
+        for step in range(60):
+            if f == 0:  # a chain: each differs from the one before by one word, ends are far apart
+                words[(7 * step) % 80] = f"n{step}"
+                texts.append(list(words))
+            else:
+                x = list(words)
+                x[rnd.randrange(80 if f == 1 else 4)] = f"x{rnd.randrange(90)}"
+                texts.append(x)
+    rnd.shuffle(texts)
+    sets = [{tuple(w[j : j + 4]) for j in range(77)} for w in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if 100 * o >= 85 * (len(sets[a]) + len(sets[b]) - o) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) < 20
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    calls, across = [], ngram_join._across_slices
+    monkeypatch.setattr(ngram_join, "_across_slices", lambda *a: calls.append(1) or across(*a))
+    assert [c for _, c in sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(d).collect())] == root
+    assert bool(calls) == (block == 700)
+
+
 def test_t_occurrence_search():
     rnd = random.Random(1)
     sets = [np.array(sorted(rnd.sample(range(60), rnd.randint(1, 50)))) for _ in range(150)]
